@@ -43,9 +43,10 @@ def repeat_words(grams: Column) -> Column:
     return F.when(F.size(F.array_distinct(grams)) < F.size(grams), let(let(pairs, marked), covered)).otherwise(F.lit(0)).cast("long")
 
 
-def split_words(docs: DataFrame) -> DataFrame:
-    """doc_id, text, words; null texts have none."""
-    return docs.select("doc_id", "text").withColumn("words", F.coalesce(F.array_remove(F.split("text", BLANKS), ""), F.array().cast("array<string>")))
+def split_words(docs: DataFrame, row: bool = False) -> DataFrame:
+    """doc_id, text, words; null texts have none. row: with a struct __row of all columns."""
+    docs = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text") if row else docs.select("doc_id", "text")
+    return docs.withColumn("words", F.coalesce(F.array_remove(F.split("text", BLANKS), ""), F.array().cast("array<string>")))
 
 
 def ngrams(words: DataFrame) -> DataFrame:
@@ -57,12 +58,12 @@ def ngrams(words: DataFrame) -> DataFrame:
 
 
 def base(words: DataFrame) -> DataFrame:
-    """From split_words: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and the words."""
+    """From split_words: doc_id (and __row), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and the words."""
     n = F.size("words")
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
     grams = F.when(n > 2, F.slice(F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))), F.lit(1), n - 2)).otherwise(F.array().cast("array<long>"))
     out = words.withColumns({"lines": F.coalesce(lines, F.array().cast("array<string>")), "windows": grams}).select(
-        "doc_id", "words", n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.coalesce(F.regexp_count("text", F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
+        *(c for c in ("__row", "doc_id", "words") if c in words.columns), n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.coalesce(F.regexp_count("text", F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), repeat_words(F.col("windows")).alias("n_repeat_words"),
     )
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -90,14 +91,15 @@ def fit(docs: DataFrame, trusted: DataFrame) -> list[int]:
     return [round(SCALE * math.log((t + PRIOR * r / n_raw) / (n_target + PRIOR) / (r / n_raw))) for r, t in zip(raw, target, strict=True)]
 
 
-def score(docs: DataFrame, ratios: list[int]) -> DataFrame:
-    """doc_id, the base measures, base_failed, kept, n_grams, llr (for each n-gram; 0 without any)."""
+def score(docs: DataFrame, ratios: list[int], row: bool = False) -> DataFrame:
+    """doc_id (and __row: all columns of docs), the base measures, base_failed, kept, n_grams, llr (for each n-gram; 0 without any)."""
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
-    grams = ngrams(base(split_words(docs)))
+    own = ["__row", "doc_id"] if row else ["doc_id"]
+    grams = ngrams(base(split_words(docs, row)))
     total = F.aggregate("grams", F.lit(0).cast("long"), lambda a, g: a + F.get(table, g))
-    out = grams.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.size("grams").cast("long").alias("n_grams"), total.alias("sum"))
+    out = grams.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.size("grams").cast("long").alias("n_grams"), total.alias("sum"))
     kept = ~F.col("base_failed") & (F.col("sum") >= F.lit(round(THRESHOLD * SCALE)) * F.col("n_grams"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_grams", F.coalesce(F.col("sum") / F.lit(float(SCALE)) / F.nullif("n_grams", F.lit(0)), F.lit(0.0)).alias("llr"))
+    return out.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_grams", F.coalesce(F.col("sum") / F.lit(float(SCALE)) / F.nullif("n_grams", F.lit(0)), F.lit(0.0)).alias("llr"))
 
 
 def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:

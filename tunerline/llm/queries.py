@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunerline.llm import bpe, decontaminate, langid, line_dedup, quality_model, quality_rules, tokens, urls
+from tunerline.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, quality_model, quality_rules, suffix_dedup, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,11 +46,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed_lines"), F.col("__n_chunks").alias("n_removed_chunks"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(F.col("quality") == 1))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_language_id, op5_quality_classifier, op6_url_filters, op7_decontamination, op8_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_language_id, op4_ngram_jaccard, op5_quality_classifier, op6_url_filters, op7_decontamination, op8_line_dedup, op9_suffix_dedup, op10_quality_rules)}
 
 SQL = {}
 
