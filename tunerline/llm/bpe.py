@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import uuid
+from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -14,99 +14,89 @@ from pyspark.sql import DataFrame
 from tunerline.llm.common import worker_state
 
 #: Entries of a worker's table of pre-tokens seen; beyond it the table starts anew, which bounds memory and changes no result.
-CACHE = 250_000
+CACHE = 800_000
 #: Longer pre-tokens are merged each time and not kept.
 CACHED_BYTES = 64
 
 
-class RankQueue:
-    """Positions by merge rank. Three levels of 64-bit words mark which ranks have positions; the lowest set bit of each
-    level leads to the lowest rank. A rank's positions form a heap, so equal ranks come from left to right. Entries go
-    stale when a merge changes their pair; whoever pops them tells by the pair's present rank."""
-
-    __slots__ = ("buckets", "words", "groups", "top")
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.words: dict[int, int] = {}
-        self.groups: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, pos: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, pos)
-            return
-        self.buckets[rank] = [pos]
-        word, group = rank >> 6, rank >> 12
-        self.words[word] = self.words.get(word, 0) | 1 << (rank & 63)
-        self.groups[group] = self.groups.get(group, 0) | 1 << (word & 63)
-        self.top |= 1 << group
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.groups[group]
-        word = group << 6 | (bits & -bits).bit_length() - 1
-        bits = self.words[word]
-        rank = word << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        pos = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] &= ~(1 << (rank & 63))
-            if not self.words[word]:
-                self.groups[group] &= ~(1 << (word & 63))
-                if not self.groups[group]:
-                    self.top &= ~(1 << group)
-        return rank, pos
-
-
 def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token: the pair of lowest rank merges first, the leftmost of equals; O(n log n)."""
-    whole = ranks.get(data)
+    """Token ids of one pre-token: the pair of lowest rank merges first, the leftmost of equals; O(n log n).
+
+    The rank queue has a bucket of places for each rank, a heap, so that equal ranks come from left to right. Two levels
+    of bits say which ranks have places: summary has a bit for each 256 ranks, words the bits of those. The lowest set
+    bit of each level leads to the next rank. A place goes stale when a merge changes its pair; pair has the present rank.
+    """
+    get = ranks.get
+    whole = get(data)
     if whole is not None:
         return [whole]
     n = len(data)
-    end = list(range(1, n + 1))  # the part that starts at i ends before end[i]; parts are a linked list by start
+    end = list(range(1, n + 1))  # the part that starts at i ends before end[i]: a linked list by start
     before = list(range(-1, n - 1))
-    pair = [-1] * n  # rank of the pair that starts at i; -1: none
-    queue = RankQueue()
-    get = ranks.get
-    for i in range(n - 1):
-        r = get(data[i : i + 2], -1)
+    pair = [get(data[i : i + 2], -1) for i in range(n - 1)]
+    pair.append(-1)
+    buckets: dict[int, list[int]] = {}
+    words: dict[int, int] = {}
+    summary = 0
+    for i, r in enumerate(pair):
         if r >= 0:
-            pair[i] = r
-            queue.push(r, i)
-    while (top := queue.pop()) is not None:
-        rank, i = top
+            if r in buckets:
+                buckets[r].append(i)
+            else:
+                buckets[r] = [i]
+                w = r >> 8
+                words[w] = words.get(w, 0) | 1 << (r & 255)
+                summary |= 1 << w
+    while summary:
+        low = summary & -summary
+        w = low.bit_length() - 1
+        bits = words[w]
+        one = bits & -bits
+        rank = (w << 8) + one.bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) == 1:
+            i = bucket[0]
+            del buckets[rank]
+            words[w] = bits = bits ^ one
+            if not bits:
+                summary ^= low
+        else:
+            i = heappop(bucket)
         if pair[i] != rank:
             continue
         j = end[i]
         k = end[j]
         end[i], pair[j] = k, -1
+        h = before[i]
         if k < n:
             before[k] = i
             pair[i] = r = get(data[i : end[k]], -1)
-            if r >= 0:
-                queue.push(r, i)
         else:
-            pair[i] = -1
-        h = before[i]
-        if h >= 0:
-            pair[h] = r = get(data[h:k], -1)
+            pair[i] = r = -1
+        at = i
+        while True:  # the pair that now starts at i, then the one that ends with it
             if r >= 0:
-                queue.push(r, h)
+                if r in buckets:
+                    heappush(buckets[r], at)
+                else:
+                    buckets[r] = [at]
+                    w = r >> 8
+                    words[w] = words.get(w, 0) | 1 << (r & 255)
+                    summary |= 1 << w
+            if at == h or h < 0:
+                break
+            at = h
+            pair[h] = r = get(data[h:k], -1)
     out, i = [], 0
     while i < n:
-        out.append(ranks[data[i : end[i]]])
-        i = end[i]
+        j = end[i]
+        out.append(ranks[data[i:j]])
+        i = j
     return out
 
 
 class _Seen(dict):
-    """Pre-token -> (ids as text, number of ids, decoded bytes, ids), filled as asked for."""
+    """Pre-token -> (its ids as text, what they decode to), filled as asked for."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
@@ -116,7 +106,8 @@ class _Seen(dict):
     def __missing__(self, text: str):
         data = text.encode("utf-8")
         ids = merge(data, self.ranks)
-        made = (" ".join(map(str, ids)), len(ids), b"".join([self.tokens[i] for i in ids]), ids)
+        decoded = b"".join([self.tokens[i] for i in ids]).decode("utf-8")
+        made = (" ".join(map(str, ids)), text if decoded == text else decoded)
         if len(data) <= CACHED_BYTES:
             self[text] = made
         return made
@@ -146,11 +137,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
             n, ids_sha, text_sha, ids = [], [], [], []
             for text in b.column("text"):
                 parts = [seen[t] for t in find(text.as_py() or "")]
-                n.append(sum([p[1] for p in parts]))
-                ids_sha.append(sha(" ".join([p[0] for p in parts]).encode()).hexdigest())
-                text_sha.append(sha(b"".join([p[2] for p in parts])).hexdigest())
+                listed = " ".join([p[0] for p in parts])
+                n.append(listed.count(" ") + bool(listed))
+                ids_sha.append(sha(listed.encode()).hexdigest())
+                text_sha.append(sha("".join([p[1] for p in parts]).encode("utf-8")).hexdigest())
                 if with_ids:
-                    ids.append(pa.array([i for p in parts for i in p[3]], pa.int32()))
+                    ids.append(pa.array(list(map(int, listed.split())), pa.int32()))
                 if len(seen) > CACHE:
                     seen.clear()
             cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
