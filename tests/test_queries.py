@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tunerline.plans import table_queries, text_queries  # noqa: F401
+from tunerline.plans import extension_queries, table_queries, text_queries  # noqa: F401
 from tunerline.plans.catalog import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
