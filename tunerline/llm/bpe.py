@@ -11,10 +11,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tunerline.llm.common import worker_state
+from tunerline.llm.common import lean, worker_state
 
 #: Entries of a worker's table of pre-tokens seen; beyond it the table starts anew, which bounds memory and changes no result.
-CACHE = 800_000
+CACHE = 600_000
 #: Longer pre-tokens are merged each time and not kept.
 CACHED_BYTES = 64
 
@@ -127,6 +127,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
     nothing. Repeated rows and equal ids each give their row; no row is shuffled. Other columns of docs are not read.
     The vocabulary is broadcast; its size is that of the rank file, whatever the data's size.
     """
+    lean(docs.sparkSession)
     shared, key = docs.sparkSession.sparkContext.broadcast((ranks, pattern)), f"bpe:{uuid.uuid4().hex}"
     kind = dict(docs.dtypes)["doc_id"]
 

@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if its settled table is at most this large on disk; beyond it both sides are shuffled.
-BROADCAST_BYTES = 24 << 20
+#: A side of a join is broadcast only if its settled table is at most this large on disk (packed columns; rows in memory take up to ten times as much); beyond it both sides are shuffled.
+BROADCAST_BYTES = 8 << 20
+#: Bytes of an Arrow batch that goes to a Python worker.
+ARROW_BYTES = 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -21,11 +23,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def lean(spark: SparkSession) -> None:
+    """Let no Arrow batch for Python take more than ARROW_BYTES: texts are there several times over, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 class Settled:
     """A table written to the scratch folder: cuts lineage, survives lost executors, knows its size."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
+        lean(self.spark)
         self.path = f"{scratch_root(self.spark)}/tunerline/{name}-{uuid.uuid4().hex}"
         schema = df.schema
         df.write.option("compression", "zstd").parquet(self.path)
@@ -50,20 +60,28 @@ class Settled:
         fs.delete(path, True)
 
 
+def thinned(rows: DataFrame, by: str, counts: DataFrame, keep: int, h: str) -> DataFrame:
+    """rows with enough of each value of by left to choose keep from: those whose hash h is in the first 4 * keep / count
+    part of its range. counts: by, count, a bounded number of rows. Windows over the result then sort few rows, however large the input."""
+    part = F.pmod(F.col(h), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    return rows.join(F.broadcast(counts), by).where(part * F.col("count") < 4 * keep).drop("count")
+
+
 def bucket4(col: str = "doc_id"):
     """crc32 of the id as text, modulo 4; the fold with remainder 2 is held out."""
     return F.crc32(F.col(col).cast("string")) % 4
 
 
-#: State that a Python worker keeps between tasks (encoders, automata), by a key that the driver made.
+#: State that a Python worker keeps between tasks (encoders, automata), by a key that the driver made. Workers outlive a
+#: stage, so the state of another operator is dropped first: its memory would add to this one's.
 _worker: dict = {}
 
 
-def worker_state(key: str, make):
-    """Build once for each Python worker; an older state of the same kind is dropped."""
-    kind = key.split(":")[0]
+def worker_state(key: str, make=None):
+    """The worker's state for key, built once; without make the worker just lets go of what it holds."""
     if key not in _worker:
-        for k in [k for k in _worker if k.split(":")[0] == kind]:
-            del _worker[k]
+        _worker.clear()
+        if make is None:
+            return None
         _worker[key] = make()
     return _worker[key]

@@ -8,7 +8,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tunerline.llm.common import worker_state
+from tunerline.llm.common import lean, worker_state
 
 #: What an unknown character costs below the least score, as unigram tokenizers have it.
 UNK_PENALTY = 10.0
@@ -85,6 +85,7 @@ def count(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     Null and empty texts have 0 tokens and score 0. Equal ids and repeated rows each give their row. Nothing is
     shuffled; only the vocabulary, whose size the model fixes, is broadcast. Other columns of docs are not read.
     """
+    lean(docs.sparkSession)
     shared, key = docs.sparkSession.sparkContext.broadcast(pieces), f"unigram:{uuid.uuid4().hex}"
     kind = dict(docs.dtypes)["doc_id"]
 
