@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunerline.llm.common import Settled
+from tunerline.llm.common import Settled, worker_state
 
 #: A chunk ends after a line whose rolling hash, over so many lines, has this many low bits at zero (4 lines on average).
 ROLLED, ZERO_BITS = 2, 2
@@ -52,6 +52,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
+        worker_state("")
         for b in batches:
             row, first, n, k1, k2 = [], [], [], [], []
             for r, text in enumerate(b.column("text")):
@@ -105,8 +106,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     stay. Rows that equal another in id and text count as one place: each loses the same. Tables may be empty, and
     further columns may have any names but those three, which are replaced.
 
-    Counting by chunk adds up in tasks first, and joins by chunk or by row go through a broadcast only where the written
-    table is small by its measured size; else they shuffle, and runtime skew splitting takes care of frequent chunks.
+    Counting by chunk adds up in tasks first. Joins by chunk go through a broadcast where the written table is small by
+    its measured size; else they shuffle, and runtime skew splitting takes care of frequent chunks. The texts are shuffled once, by row.
     """
     found = Settled(chunk_table(docs), "chunks")
     place = F.struct("doc_id", "text_hash", "first")
@@ -119,7 +120,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     plan = Settled(plan, "chunk-removals")
     for x in (found, kept, sources, texts):
         x.drop()
-    return _cut(docs, plan.side())
+    return _cut(docs, plan.df)  # the removed bytes are in it: its size follows the input's, so the texts are shuffled to it
 
 
 def _cut(docs: DataFrame, plan: DataFrame) -> DataFrame:
