@@ -68,7 +68,7 @@ cut AS (
 fit AS (SELECT *, CASE {_RULES} END AS r FROM cut),
 listed(entry) AS (VALUES {_LISTED}),
 own AS (
-  SELECT *, regexp_replace(host, '^www\.', '') || '/' || regexp_replace(regexp_replace(path, '(index\.html?)?/*$', ''), '^/+', '') AS page FROM fit),
+  SELECT *, regexp_replace(host, '^www\.', '') || '/' || regexp_replace(regexp_replace(path, '(/index\.html?)?/*$', ''), '^/+', '') AS page FROM fit),
 found AS (
   SELECT o.page_id, o.host, o.path, max_by(l.entry, length(l.entry)) AS listed_as
   FROM (SELECT DISTINCT page_id, host, path, page FROM own WHERE r IS NULL AND host <> '') o JOIN listed l

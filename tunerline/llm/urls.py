@@ -41,7 +41,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 def canonical(host: Column, path: Column) -> Column:
     """Host without a leading www., then the path without trailing slashes and index pages; query and fragment don't count."""
-    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.lit("/"), F.regexp_replace(F.regexp_replace(path, r"(index\.html?)?/*\z", ""), r"^/+", ""))
+    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.lit("/"), F.regexp_replace(F.regexp_replace(path, r"(/index\.html?)?/*\z", ""), r"^/+", ""))
 
 
 def lookups(host: Column, path: Column) -> Column:
