@@ -8,7 +8,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunerline.llm.common import bucket4
+from tunerline.llm.common import bucket4, lean, thinned
 
 #: Bytes of a window; the last one of a text is filled up with zeros.
 LENGTH = 256
@@ -116,8 +116,8 @@ class Net:
 def sample(docs: DataFrame) -> DataFrame:
     """lang, text: the training sample, at most SAMPLE * LANGUAGES documents that aren't held out."""
     own = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).where(F.col("lang").isNotNull() & F.coalesce(bucket4() != 2, F.lit(True)) & F.col("text").isNotNull())
-    langs = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    own = own.join(F.broadcast(langs), "lang")
+    langs = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    own = thinned(own, "lang", langs, SAMPLE, "h")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     ids = own.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct()
     return docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
@@ -154,6 +154,7 @@ def identify(docs: DataFrame) -> DataFrame:
     there is nothing to learn from get und with score 0; else score is the probability of lang_pred, ties going to the
     first by name. Repeated rows and equal ids each give their row. The net is broadcast; its size is fixed.
     """
+    lean(docs.sparkSession)
     shared, kind = docs.sparkSession.sparkContext.broadcast(fit(docs)), dict(docs.dtypes)["doc_id"]
 
     def run(batches):
