@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunerline.llm.common import bucket4
+from tunerline.llm.common import bucket4, lean, thinned
 
 #: N-grams of 1 to 4 bytes share so many indicators, by a hash.
 FEATURES = 1 << 17
 #: Training sample: so many labelled documents of each class, by a hash of their ids.
 SAMPLE = 1_500
+#: A training text also counts by these first bytes of its second half, as short texts are rare among the labelled.
+EXCERPTS = (24, 96, 384)
 #: Smoothing of the class counts; penalty of a loss; rounds of coordinate descent; share of the naive Bayes weights.
 ALPHA, PENALTY, ROUNDS, SEED = 1.0, 1.0, 30, 11
 #: Score from which a document counts as good.
@@ -112,17 +114,23 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a sample, bounded by SAMPLE for each class, of labelled documents (labels: doc_id, quality) outside the held-out fold."""
     own = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & (bucket4() != 2)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rank = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = own.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).drop("rank")
+    own = thinned(own.withColumn("h", F.xxhash64("doc_id")), "quality", own.groupBy("quality").count(), SAMPLE, "h")
+    rank = F.row_number().over(Window.partitionBy("quality").orderBy("h", "doc_id"))
+    ids = own.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).drop("rank", "h")
 
     def cut(batches):
         seen = np.zeros(FEATURES, bool)
         for b in batches:
-            rows = [features((t or "").encode("utf-8"), seen).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"quality": b.column("quality").cast(pa.int32()), "row": pa.array(rows, pa.binary())})
+            quality, rows = [], []
+            for y, text in zip(b.column("quality").to_pylist(), b.column("text").to_pylist(), strict=True):
+                data = (text or "").encode("utf-8")
+                for part in {data, *(data[len(data) // 2 :][:n] for n in EXCERPTS)}:
+                    quality.append(y)
+                    rows.append(features(part, seen).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_pydict({"quality": pa.array(quality, pa.int32()), "row": pa.array(rows, pa.binary())})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("quality", "text").mapInArrow(cut, "quality int, row binary")
-    rows = sorted((int(r["quality"]), bytes(r["row"])) for r in rows.distinct().collect())  # 2 * SAMPLE documents; equal ones count once
+    rows = sorted((int(r["quality"]), bytes(r["row"])) for r in rows.distinct().collect())  # 2 * SAMPLE documents with their excerpts; equal ones count once
     order = np.random.default_rng(SEED).permutation(len(rows))
     return Model([np.frombuffer(rows[i][1], np.int32) for i in order], np.array([rows[i][0] for i in order], np.int64))
 
@@ -136,6 +144,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     they are one half. A document labelled twice counts with its lower label. Repeated rows and equal ids each give
     their row. Other columns are not read. The weights are broadcast; their number is fixed.
     """
+    lean(docs.sparkSession)
     shared, kind = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)), dict(docs.dtypes)["doc_id"]
 
     def run(batches):
