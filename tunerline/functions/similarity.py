@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tunerline.functions.text import END, START
+from tunerline.functions.text import END, START, let
 
 # Network families in their order, and the factors of the scores.
 FAMILIES = [
@@ -82,14 +82,21 @@ def tokens(s: Column) -> Column:
 
 def token_sets(a: Column, b: Column) -> Column:
     """struct(both, only_a, only_b): sorted common tokens and the rest of each side."""
-    x, y = tokens(a), tokens(b)
+    return let(F.struct(tokens(a).alias("x"), tokens(b).alias("y")), lambda p: _sets(p["x"], p["y"]))
+
+
+def _sets(x: Column, y: Column) -> Column:
     return F.struct(F.sort_array(F.array_intersect(x, y)).alias("both"), F.sort_array(F.array_except(x, y)).alias("only_a"), F.sort_array(F.array_except(y, x)).alias("only_b"))
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
-    s = token_sets(a, b)
-    both, one, two = F.array_join(s["both"], " "), F.array_join(F.concat(s["both"], s["only_a"]), " "), F.array_join(F.concat(s["both"], s["only_b"]), " ")
-    return F.greatest(edit_ratio(both, one), edit_ratio(both, two), edit_ratio(one, two))
+    """The best of three edit ratios between the common tokens, and these with the rest of either side. Each part is made once."""
+
+    def joined(s: Column) -> Column:
+        text = lambda *parts: F.array_join(F.concat(*parts), " ")
+        return F.struct(text(s["both"]).alias("x"), text(s["both"], s["only_a"]).alias("y"), text(s["both"], s["only_b"]).alias("z"))
+
+    return let(let(token_sets(a, b), joined), lambda t: F.greatest(edit_ratio(t["x"], t["y"]), edit_ratio(t["x"], t["z"]), edit_ratio(t["y"], t["z"])))
 
 
 def length_ratio(a: Column, b: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunerline.functions.text import trim_ws
-from tunerline.operators.lookup import dimension
 
 # Keywords by class; any of them anywhere in the name counts.
 SPORTS = [
@@ -28,11 +27,11 @@ def classified(categories: DataFrame, overrides: DataFrame | None = None) -> Dat
     out = categories.withColumn("classification", classify(F.col("category_name")))
     if overrides is None:
         return out
-    o = dimension(overrides.select(F.lower(trim_ws(F.col("name"))).alias("_k"), "forced"))
+    o = overrides.select(F.lower(trim_ws(F.col("name"))).alias("_k"), "forced")
     return out.withColumn("_k", F.lower(trim_ws(F.col("category_name")))).join(o, "_k", "left").withColumn("classification", F.coalesce("forced", "classification")).drop("_k", "forced")
 
 
 def included_streams(streams: DataFrame, categories: DataFrame) -> DataFrame:
     """Streams of categories that aren't excluded, with the category's name (its id where it has none)."""
     c = classified(categories).where(F.col("classification") != "not-sports").select("category_id", "category_name")
-    return streams.join(dimension(c), "category_id").withColumn("group_name", F.coalesce("category_name", F.col("category_id").cast("string"))).drop("category_name")
+    return streams.join(c, "category_id").withColumn("group_name", F.coalesce("category_name", F.col("category_id").cast("string"))).drop("category_name")

@@ -1,4 +1,5 @@
-"""Dimension indexes and keyed lookups."""
+"""Dimension indexes and keyed lookups. Joins carry no hints: the planner broadcasts a side that its statistics, or the
+run so far, show to be small, and shuffles it otherwise."""
 
 from __future__ import annotations
 
@@ -8,15 +9,6 @@ from pyspark.sql import functions as F
 from tunerline.functions.text import normalize
 from tunerline.plans.seeds import ALIASES, STATIONS
 
-#: A dimension is broadcast only up to so many rows, counted first; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def dimension(df: DataFrame) -> DataFrame:
-    """df for the small side of a join, with a broadcast hint if it is small. The count stops at the bound."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def reference_index(reference: DataFrame) -> DataFrame:
     """name_key, ref_id, pos, alt_pos: each normalised name of the open channels with the first channel that bears it.
 
@@ -50,4 +42,4 @@ def last_by_key(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
 def by_callsign(names: DataFrame, candidates: Column, stations: DataFrame) -> DataFrame:
     """key, callsign: for each row of names (key) the first candidate that is in the station table."""
     each = names.select("key", F.posexplode(candidates).alias("at", "callsign"))
-    return each.join(dimension(stations.select("callsign").distinct()), "callsign").groupBy("key").agg(F.min_by("callsign", "at").alias("callsign"))
+    return each.join(stations.select("callsign").distinct(), "callsign").groupBy("key").agg(F.min_by("callsign", "at").alias("callsign"))

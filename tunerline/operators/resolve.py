@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunerline.functions.similarity import combined_of, jaro, may_reach, network_family, winkler
+from tunerline.functions.similarity import FAMILIES, combined_of, jaro, may_reach, network_family, winkler
 from tunerline.functions.text import normalize
 from tunerline.functions.titles import callsigns, is_event, network_city, parse_event
-from tunerline.operators.lookup import by_callsign, dimension
+from tunerline.operators.lookup import by_callsign
 
 # Confidence by method, and the least score of a fuzzy match.
 CONFIDENCE = {"tvg_id": 0.99, "alias": 0.95, "callsign": 0.90, "network_city": 0.75}
@@ -34,14 +34,13 @@ def best_fuzzy(keys: DataFrame, candidates: DataFrame, threshold: float = THRESH
     """key, canonical_id, score: the best candidate (name_key, ref_id, pos, alt_pos) from the threshold on; the first of equals.
 
     A key of a network family meets its family's candidates by an equi join; a key without one meets all, through the
-    same join after its row is repeated for each family that candidates have. Pairs that can't reach the threshold go
+    same join after its row is repeated for each family. Pairs that can't reach the threshold go
     before the Python kernel sees them, and keys come distinct."""
     c = candidates.select("name_key", "ref_id", "pos", "alt_pos", F.coalesce(network_family(F.col("name_key")), F.lit("")).alias("family"))
-    families = c.select("family").distinct().agg(F.collect_set("family").alias("families"))  # ten at most
+    everyone = F.array(*[F.lit(f) for f in ["", *(f for _, f in FAMILIES)]])
     k = keys.select("key").distinct().withColumn("own", network_family(F.col("key")))
-    all_families = [r for (r,) in families.select(F.explode("families")).collect()]
-    k = k.select("key", F.explode(F.when(F.col("own").isNotNull(), F.array("own")).otherwise(F.array(*[F.lit(f) for f in all_families]).cast("array<string>"))).alias("family"))
-    pairs = k.join(dimension(c), "family").drop("family")
+    k = k.select("key", F.explode(F.when(F.col("own").isNotNull(), F.array("own")).otherwise(everyone)).alias("family"))
+    pairs = k.join(c, "family").drop("family")
     if prune:
         pairs = pairs.where(may_reach(F.col("key"), F.col("name_key"), threshold))
     scored = pairs.withColumn("j", jaro(F.col("key"), F.col("name_key")))
@@ -59,14 +58,14 @@ def decide(rows: DataFrame, reference: DataFrame, index: DataFrame, aliases: Dat
 
     reference: id of the open channels; index, aliases: from lookup; stations: callsign, network, city, pos."""
     k = rows.select(F.col("normalized_key").alias("key"), "name", "tvg_id")
-    k = k.join(dimension(reference.select(F.col("id").alias("tvg_id"), F.lit(True).alias("_id"))), "tvg_id", "left")
-    k = k.join(dimension(index.select(F.col("name_key").alias("key"), F.col("ref_id").alias("_ref"))), "key", "left")
-    k = k.join(dimension(aliases.select(F.col("name_key").alias("key"), F.col("canonical").alias("_alias"))), "key", "left")
+    k = k.join(reference.select(F.col("id").alias("tvg_id"), F.lit(True).alias("_id")), "tvg_id", "left")
+    k = k.join(index.select(F.col("name_key").alias("key"), F.col("ref_id").alias("_ref")), "key", "left")
+    k = k.join(aliases.select(F.col("name_key").alias("key"), F.col("canonical").alias("_alias")), "key", "left")
     k = k.join(by_callsign(k, callsigns(F.col("name")), stations).withColumnRenamed("callsign", "_sign"), "key", "left")
     city = network_city(F.col("name"))
     k = k.withColumn("_net", city["network"]).withColumn("_city", F.lower(city["city"]))
     places = stations.groupBy(F.upper("network").alias("_net"), F.lower("city").alias("_city")).agg(F.max_by("callsign", "pos").alias("_place"))
-    k = k.join(dimension(places), ["_net", "_city"], "left")
+    k = k.join(places, ["_net", "_city"], "left")
     got = F.coalesce(
         _hit(F.col("tvg_id"), "tvg_id", F.col("_id")), _hit(F.col("_ref"), "alias", F.col("_ref").isNotNull()), _hit(F.col("_alias"), "alias", F.col("_alias").isNotNull()),
         _hit(F.concat(F.lit("station:"), "_sign"), "callsign", F.col("_sign").isNotNull()), _hit(F.concat(F.lit("station:"), "_place"), "network_city", F.col("_place").isNotNull()),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tunerline.operators.lookup import dimension
 from tunerline.plans.catalog import query, table
 
 
@@ -13,7 +12,7 @@ from tunerline.plans.catalog import query, table
 def x_star_join(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
     places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    customers = t("customer").join(dimension(places), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name")
+    customers = t("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name")
     orders = t("orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderpriority", "r_name")
     items = t("lineitem").where("l_shipdate >= timestamp '1996-01-01'").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
     return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("r_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("revenue"))

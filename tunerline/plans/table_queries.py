@@ -93,19 +93,19 @@ def keys(spark, sf_dir):
 @query(f"WITH {CHAN}, {REF} SELECT c.stream_key, r.id AS canonical_id FROM chan c LEFT JOIN (SELECT id FROM ref WHERE NOT closed) r ON c.tvg_id = r.id")
 def q_join_tvg_id(spark, sf_dir):
     open_ = reference(spark, sf_dir).where(~F.col("closed")).select(F.col("id").alias("canonical_id"))
-    return chan(spark, sf_dir).join(lookup.dimension(open_), F.col("tvg_id") == F.col("canonical_id"), "left").select("stream_key", "canonical_id")
+    return chan(spark, sf_dir).join(open_, F.col("tvg_id") == F.col("canonical_id"), "left").select("stream_key", "canonical_id")
 
 
 @query(f"WITH {CHAN}, {KEYS}, {IDX} SELECT k.key, i.ref_id FROM keys k LEFT JOIN idx i ON k.key = i.name_key")
 def q_join_ref_name(spark, sf_dir):
     idx = lookup.reference_index(reference(spark, sf_dir)).select(F.col("name_key").alias("key"), "ref_id")
-    return keys(spark, sf_dir).join(lookup.dimension(idx), "key", "left")
+    return keys(spark, sf_dir).join(idx, "key", "left")
 
 
 @query(f"WITH {CHAN}, {KEYS}, {ALI} SELECT k.key, i.canonical FROM keys k LEFT JOIN alidx i ON k.key = i.name_key")
 def q_join_alias(spark, sf_dir):
     idx = lookup.alias_index(aliases(spark, sf_dir)).select(F.col("name_key").alias("key"), "canonical")
-    return keys(spark, sf_dir).join(lookup.dimension(idx), "key", "left")
+    return keys(spark, sf_dir).join(idx, "key", "left")
 
 
 SIGNS = rf"""cand AS (SELECT stream_key, unnest(list_distinct(regexp_extract_all(name, '\b([KW][A-Z]{{2,3}})\b', 1))) AS callsign, generate_subscripts(list_distinct(regexp_extract_all(name, '\b([KW][A-Z]{{2,3}})\b', 1)), 1) AS place_ FROM chan),
@@ -126,7 +126,7 @@ CITY = f"city AS (SELECT stream_key, upper(regexp_extract(name, '{_CITY}', 1)) A
 def q_join_network_city(spark, sf_dir):
     c = titles.network_city(F.col("name"))
     c = chan(spark, sf_dir).select("stream_key", c["network"].alias("network"), F.lower(c["city"]).alias("city"))
-    return c.join(lookup.dimension(stations(spark).select("network", F.lower("city").alias("city"), "callsign")), ["network", "city"]).select("stream_key", "callsign")
+    return c.join(stations(spark).select("network", F.lower("city").alias("city"), "callsign"), ["network", "city"]).select("stream_key", "callsign")
 
 
 STREAMS = "SELECT k, 1 + k % 80 AS category_id FROM (SELECT p_partkey AS k FROM {part}) s"
@@ -137,7 +137,7 @@ CLS = f"{CAT}, cls AS (SELECT category_id, category_name, CASE WHEN {SPORTS_SQL}
 
 @query(f"WITH {CAT}, s AS ({duck(STREAMS)}) SELECT s.k, coalesce(c.category_name, CAST(s.category_id AS VARCHAR)) AS group_name FROM s LEFT JOIN cat c ON c.category_id = s.category_id")
 def q_category_name_join(spark, sf_dir):
-    return view(spark, sf_dir, STREAMS).join(lookup.dimension(cats(spark, sf_dir)), "category_id", "left").select("k", F.coalesce("category_name", F.col("category_id").cast("string")).alias("group_name"))
+    return view(spark, sf_dir, STREAMS).join(cats(spark, sf_dir), "category_id", "left").select("k", F.coalesce("category_name", F.col("category_id").cast("string")).alias("group_name"))
 
 
 @query(f"WITH {CLS}, s AS ({duck(STREAMS)}) SELECT s.k, c.category_name AS group_name FROM s JOIN cls c ON c.category_id = s.category_id WHERE classification <> 'not-sports'")
