@@ -33,11 +33,14 @@ def lean(spark: SparkSession) -> None:
 class Settled:
     """A table written to the scratch folder: cuts lineage, survives lost executors, knows its size."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, few: bool = False):
+        """few: the rows are few for the partitions that they come from; write no more files than the cluster has cores."""
         self.spark = df.sparkSession
         lean(self.spark)
         self.path = f"{scratch_root(self.spark)}/tunerline/{name}-{uuid.uuid4().hex}"
         schema = df.schema
+        if few:
+            df = df.coalesce(max(1, self.spark.sparkContext.defaultParallelism))
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
