@@ -44,7 +44,7 @@ def windows(benchmark: DataFrame) -> DataFrame:
 
 def _known(terms: DataFrame) -> frozenset | None:
     """The terms (one column) for the workers, if their table is small by its measured size; else None: no filter."""
-    settled = Settled(terms, "terms")
+    settled = Settled(terms, "terms", few=True)
     found = frozenset(r[0].encode() for r in settled.df.collect()) if settled.bytes() <= BROADCAST_BYTES else None
     settled.drop()
     return found
@@ -55,6 +55,7 @@ def frequencies(docs: DataFrame, known: frozenset | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
+        worker_state("")
         keep, seen = shared.value, Counter()
 
         def out():
@@ -107,15 +108,16 @@ def index(docs: DataFrame, known: frozenset | None, wanted: frozenset | None = N
 
 
 def phrase_matches(indexed: DataFrame, anchored: DataFrame) -> DataFrame:
-    """doc_id, text_hash, start, length, items: every occurrence of a phrase. The postings of its rarest terms, each
-    shifted by its offset in the phrase, are intersected; the words around the rarest one must then equal the phrase."""
+    """doc_id, text_hash, start, length, items: every occurrence of a phrase.
+
+    The postings of its rarest term, shifted by the term's offset, are the candidates. A posting has its neighbours with
+    it, so the list of the next rarest term is intersected in place, at its own offset; then all words must equal the phrase."""
     posted = indexed.select("doc_id", "text_hash", F.explode("postings").alias("p")).select("doc_id", "text_hash", "p.*")
-    wanted = anchored.select("phrase_id", F.size("picked").alias("lists"), F.posexplode("picked").alias("nth", "a")).select("phrase_id", "lists", "nth", "a.term", "a.offset")
-    starts = posted.join(wanted, "term").where("pos >= offset")
-    context = F.when((F.col("nth") == 0) & (F.col("at") >= F.col("offset")), F.struct("context", (F.col("at") - F.col("offset")).alias("first")))
-    both = starts.groupBy("doc_id", "text_hash", "phrase_id", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count_distinct("nth").alias("met"), F.max("lists").alias("lists"), F.max(context).alias("c"))
-    hit = both.where("met = lists and c is not null").join(anchored.select("phrase_id", "terms", "items"), "phrase_id")
-    return hit.where(F.slice("c.context", F.col("c.first") + 1, F.size("terms")) == F.col("terms")).select("doc_id", "text_hash", "start", F.size("terms").alias("length"), "items")
+    wanted = anchored.select(F.col("picked")[0]["term"].alias("term"), F.col("picked")[0]["offset"].alias("offset"), F.get("picked", F.lit(1)).alias("second"), "terms", "items")
+    first = F.col("at") - F.col("offset")
+    near = F.coalesce(F.get("context", first + F.col("second.offset")) == F.col("second.term"), F.col("second").isNull())
+    hit = posted.join(wanted, "term").where((first >= 0) & near).where(F.slice("context", first + 1, F.size("terms")) == F.col("terms"))
+    return hit.select("doc_id", "text_hash", (F.col("pos") - F.col("offset")).alias("start"), F.size("terms").alias("length"), "items")
 
 
 def proximity_matches(indexed: DataFrame, query: list[str], span: int) -> DataFrame:
@@ -140,15 +142,15 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items share windows and each count. Repeated rows and equal ids are judged row by row. Columns besides are not read.
 
     Two passes over the texts: how often the benchmark's terms occur, then the postings of each window's rarest terms.
-    Shuffled are counts, and candidate places spread by document, phrase and place, so no frequent passage meets in one task.
+    Shuffled are counts and the places of exact matches, by document; no frequent term or passage meets in one task.
     """
-    phrases = Settled(windows(benchmark), "windows")
+    phrases = Settled(windows(benchmark), "windows", few=True)
     known = _known(phrases.df.select(F.explode("terms").alias("term")).distinct())
-    counts = Settled(frequencies(docs, known), "term-counts")
-    anchored = Settled(anchors(phrases.side(), counts.side()), "anchors")
+    counts = Settled(frequencies(docs, known), "term-counts", few=True)
+    anchored = Settled(anchors(phrases.side(), counts.side()), "anchors", few=True)
     phrases.drop()
     counts.drop()
-    wanted = _known(anchored.df.select(F.explode("picked.term").alias("term")).distinct())
+    wanted = _known(anchored.df.select(F.col("picked")[0]["term"].alias("term")).distinct())
     indexed = Settled(index(docs, known, wanted), "postings")
     hits = phrase_matches(indexed.df, anchored.side())
     spans = hits.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"))
