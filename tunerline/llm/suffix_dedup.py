@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunerline.llm.common import Settled
+from tunerline.llm.common import Settled, worker_state
 
 #: Bytes of a repeated string.
 LENGTH = 400
@@ -77,6 +77,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
+        worker_state("")
         for b in batches:
             row, pos, before, after, grams, digests = [], [], [], [], [], []
             for r, text in enumerate(b.column("text")):
@@ -273,7 +274,7 @@ def _counted_buckets(rows: DataFrame) -> DataFrame:
 
     strings = rows.mapInArrow(run, "w1 long, w2 long, c1 long, c2 long, place long")
     twice = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    return strings.join(twice, ["w1", "w2"]).select("c1", "c2", (-F.col("place")).alias("lo"), (F.lit(LENGTH) - F.col("place")).alias("hi"))
+    return strings.join(Settled(twice, "repeated-strings", few=True).side(), ["w1", "w2"]).select("c1", "c2", (-F.col("place")).alias("lo"), (F.lit(LENGTH) - F.col("place")).alias("hi"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -288,8 +289,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     mixed = contexts.df.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("gram")
     wanted = contexts.df.join(mixed, "gram").groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.collect_list(F.struct("pos", "c1", "c2")).alias("at"))
     wanted = Settled(wanted, "wanted-contexts")
-    rows = Settled(_contexts(docs, wanted.side()).dropDuplicates(["k1", "k2", "first", "c1", "c2"]), "bucket-rows")
-    sizes = Settled(rows.df.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "bucket-sizes")
+    rows = Settled(_contexts(docs, wanted.df).dropDuplicates(["k1", "k2", "first", "c1", "c2"]), "bucket-rows")
+    sizes = Settled(rows.df.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "bucket-sizes", few=True)
     found = _sorted_buckets(rows.df.join(sizes.side().where(F.col("m") <= BUCKET), ["k1", "k2"]).drop("m"))
     found = found.unionByName(_counted_buckets(rows.df.join(sizes.side().where(F.col("m") > BUCKET), ["k1", "k2"]).drop("m")))
     covered = found.groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
@@ -316,7 +317,8 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows = rows.join(repeats(docs).side(), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")), "left").select("doc_id", "text", "spans")
+    # both joins to the texts shuffle: what is joined to them grows with the input
+    rows = rows.join(repeats(docs).df, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")), "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for b in batches:
