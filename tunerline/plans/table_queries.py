@@ -179,14 +179,10 @@ def _fuzzy_sql(keys_: str) -> str:
     return f"fpairs AS (SELECT a, ref_id, o, CAST({COMBINED} AS DOUBLE) AS score FROM ({duck_token_ratio(pairs, 'a, b, ref_id, o')}) t), fuz AS (SELECT a AS key, arg_max(ref_id, (score, -o)) AS canonical_id, max(score) AS score FROM fpairs GROUP BY a HAVING max(score) >= 0.85)"
 
 
-def _some_keys(spark, sf_dir):
-    return keys(spark, sf_dir).where("length(key) % 4 = 0")
-
-
-@query(f"WITH {CHAN}, {KEYS}, {IDX}, {FUZZY_IDX}, part_keys AS (SELECT key FROM keys WHERE length(key) % 4 = 0), {_fuzzy_sql('part_keys')} SELECT key, canonical_id, round(score, 6) AS score FROM fuz")
+@query(f"WITH {CHAN}, {KEYS}, {IDX}, {FUZZY_IDX}, {_fuzzy_sql('keys')} SELECT key, canonical_id, round(score, 6) AS score FROM fuz")
 def q_fuzzy_best(spark, sf_dir):
     idx = lookup.reference_index(reference(spark, sf_dir))
-    return resolve.best_fuzzy(_some_keys(spark, sf_dir), idx).withColumn("score", F.round("score", 6))
+    return resolve.best_fuzzy(keys(spark, sf_dir), idx).withColumn("score", F.round("score", 6))
 
 
 def _event(rows: str) -> str:
@@ -300,9 +296,9 @@ def q_classify_counts(spark, sf_dir):
     return c.agg(F.count_if(F.col("classification") != "not-sports").alias("included"), F.count_if(F.col("classification") == "not-sports").alias("excluded"))
 
 
-@query(f"WITH {RES}, e AS (SELECT source_id, stream_key, 'ref-' || (k % 512) AS want, k % 17 = 0 AS ev FROM chan WHERE k % 13 = 0), j AS (SELECT CASE WHEN ev THEN is_event ELSE NOT is_event AND canonical_id IS NOT DISTINCT FROM want END AS ok FROM res JOIN e USING (source_id, stream_key)) SELECT count(*) AS total, count(*) FILTER (ok) AS correct, round(count(*) FILTER (ok) / count(*), 6) AS accuracy FROM j")
+@query(f"WITH {RES}, e AS (SELECT source_id, stream_key, tvg_id AS want, k % 17 = 0 AS ev FROM chan WHERE tvg_id IS NOT NULL), j AS (SELECT CASE WHEN ev THEN is_event ELSE NOT is_event AND canonical_id IS NOT DISTINCT FROM want END AS ok FROM res JOIN e USING (source_id, stream_key)) SELECT count(*) AS total, count(*) FILTER (ok) AS correct, round(count(*) FILTER (ok) / count(*), 6) AS accuracy FROM j")
 def q_accuracy(spark, sf_dir):
-    e = chan(spark, sf_dir).where("k % 13 = 0").select("source_id", "stream_key", F.concat(F.lit("ref-"), (F.col("k") % 512).cast("string")).alias("expected_id"), (F.col("k") % 17 == 0).alias("expect_event"))
+    e = chan(spark, sf_dir).where("tvg_id is not null").select("source_id", "stream_key", F.col("tvg_id").alias("expected_id"), (F.col("k") % 17 == 0).alias("expect_event"))
     return metrics.accuracy(resolved(spark, sf_dir), e).withColumn("accuracy", F.round("accuracy", 6))
 
 

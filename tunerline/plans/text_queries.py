@@ -10,8 +10,8 @@ from tunerline.plans.catalog import query, table
 from tunerline.plans.frames import duck, view
 
 CHAN = f"chan AS ({duck(frames.CHANNELS)})"
-#: Accented text: the start of each document.
-ROWS = "rows_ AS (SELECT doc_id, substr(text, 1, 60) AS s FROM documents)"
+#: Accented text: the documents.
+ROWS = "rows_ AS (SELECT doc_id, text AS s FROM documents)"
 
 CODES = "|".join(text.COUNTRY_CODES)
 PREFIX_RE = rf"^\s*(?:\[(?:{CODES})\]\s*|(?:{CODES})(?:\s*[:|]\s*|\s+-\s+))"
@@ -51,8 +51,8 @@ def chan(spark, sf_dir):
     return view(spark, sf_dir, frames.CHANNELS)
 
 
-def starts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("s"))
+def prose(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s"))
 
 
 @query(f"WITH {CHAN} SELECT stream_key, {duck_prefix('name')} AS stripped FROM chan")
@@ -72,13 +72,13 @@ def q_feed_hint(spark, sf_dir):
 
 @query(f"WITH {ROWS} SELECT doc_id, {duck_ascii('s')} AS plain FROM rows_")
 def q_translit(spark, sf_dir):
-    return starts(spark, sf_dir).select("doc_id", text.transliterate(F.col("s")).alias("plain"))
+    return prose(spark, sf_dir).select("doc_id", text.transliterate(F.col("s")).alias("plain"))
 
 
 @query(f"WITH {CHAN}, {ROWS} SELECT stream_key AS id, {duck_normal('name')} AS normalized, {duck_hint('name')} AS feed_hint FROM chan UNION ALL SELECT CAST(doc_id AS VARCHAR), {duck_normal('s')}, {duck_hint('s')} FROM rows_")
 def q_normalize(spark, sf_dir):
     n = lambda df, key, c: df.select(key.alias("id"), text.normalize(F.col(c)).alias("n")).select("id", "n.*")
-    return n(chan(spark, sf_dir), F.col("stream_key"), "name").unionByName(n(starts(spark, sf_dir), F.col("doc_id").cast("string"), "s"))
+    return n(chan(spark, sf_dir), F.col("stream_key"), "name").unionByName(n(prose(spark, sf_dir), F.col("doc_id").cast("string"), "s"))
 
 
 @query(rf"WITH {CHAN}, u AS (SELECT url FROM chan UNION ALL SELECT url FROM pages) SELECT url, coalesce(nullif(lower(regexp_extract(split_part(url, '?', 1), '\.([a-zA-Z0-9]+)$', 1)), ''), 'ts') AS ext FROM u")
@@ -239,7 +239,7 @@ t6 AS (SELECT *, (a IS NOT NULL OR coalesce(upper(league) IN ({LEAGUES}), false)
 
 
 def _titles(spark, sf_dir):
-    return chan(spark, sf_dir).select(F.col("stream_key").alias("id"), "name", "group_name").unionByName(starts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("s").alias("name"), F.lit("x").alias("group_name")))
+    return chan(spark, sf_dir).select(F.col("stream_key").alias("id"), "name", "group_name").unionByName(prose(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("s").alias("name"), F.lit("x").alias("group_name")))
 
 
 def _g(i: int) -> str:
