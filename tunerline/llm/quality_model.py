@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tunerline.llm.common import bucket4, lean, thinned
 
-#: N-grams of 1 to 4 bytes share so many indicators, by a hash.
+#: N-grams of 1 to 4 bytes, and word 2-grams of one word twice, share so many indicators, by a hash.
 FEATURES = 1 << 17
 #: Training sample: so many labelled documents of each class, by a hash of their ids.
 SAMPLE = 1_500
@@ -21,6 +22,8 @@ EXCERPTS = (24, 96, 384)
 ALPHA, PENALTY, ROUNDS, SEED = 1.0, 1.0, 30, 11
 #: Score from which a document counts as good.
 GOOD = 0.7
+#: Word 2-grams of one word twice are told apart by their share of the words only; each share that is exceeded is an indicator.
+TWINS = (0.02, 0.05, 0.1, 0.2, 0.4)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,6 +36,11 @@ def features(text: bytes, seen: np.ndarray) -> np.ndarray:
             break
         key = (key[: len(x) - n + 1] << np.uint64(8)) | x[n - 1 :]
         seen[(((key + np.uint64(n << 40)) * _M) >> np.uint64(47)).astype(np.int64)] = True
+    words = text.split()
+    twins = sum(map(eq, words, words[1:]))
+    for k, share in enumerate(TWINS):
+        if twins > share * len(words):
+            seen[k] = True
     out = np.flatnonzero(seen)
     seen[out] = False
     return out
