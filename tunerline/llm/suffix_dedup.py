@@ -287,7 +287,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     own = [F.first(c).alias(c) for c in ("doc_id", "text_hash", "pos")]
     contexts = Settled(again.df.groupBy("gram", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), *own), "contexts")
     mixed = contexts.df.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("gram")
-    wanted = contexts.df.join(mixed, "gram").groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.collect_list(F.struct("pos", "c1", "c2")).alias("at"))
+    mixed = Settled(mixed, "mixed-grams")  # else its aggregation would keep the join from splitting a frequent gram
+    wanted = contexts.df.join(mixed.side(), "gram").groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.collect_list(F.struct("pos", "c1", "c2")).alias("at"))
     wanted = Settled(wanted, "wanted-contexts")
     rows = Settled(_contexts(docs, wanted.df).dropDuplicates(["k1", "k2", "first", "c1", "c2"]), "bucket-rows")
     sizes = Settled(rows.df.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "bucket-sizes", few=True)
@@ -299,7 +300,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     verdicts = Settled(verdicts, "verdicts")
     spans = again.df.join(verdicts.side(), ["c1", "c2"]).select("doc_id", "text_hash", F.explode(F.when(F.col("whole"), F.array(F.struct((F.col("pos") - F.col("before")).alias("lo"), (F.col("pos") + F.col("after")).alias("hi")))).otherwise(F.transform("parts", lambda x: F.struct((F.col("pos") + x["lo"]).alias("lo"), (F.col("pos") + x["hi"]).alias("hi"))))).alias("s"))
     out = Settled(spans.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.sort_array(F.collect_set("s")).alias("spans")), "spans")
-    for x in (again, contexts, wanted, rows, sizes, verdicts):
+    for x in (again, contexts, mixed, wanted, rows, sizes, verdicts):
         x.drop()
     return out
 
