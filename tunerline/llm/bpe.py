@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from tunerline.llm.common import lean, worker_state
 
 #: Entries of a worker's table of pre-tokens seen; beyond it the table starts anew, which bounds memory and changes no result.
-CACHE = 600_000
+CACHE = 500_000
 #: Longer pre-tokens are merged each time and not kept.
 CACHED_BYTES = 64
 
@@ -96,18 +96,21 @@ def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Seen(dict):
-    """Pre-token -> (its ids as text, what they decode to), filled as asked for."""
+    """Pre-token -> its ids as text, filled as asked for. Its ids are decoded at once; odd has what doesn't decode to the pre-token."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.ranks, self.tokens = ranks, {v: k for k, v in ranks.items()}
+        self.odd: dict[str, str] = {}
         self.find = regex.compile(pattern).findall
 
     def __missing__(self, text: str):
         data = text.encode("utf-8")
         ids = merge(data, self.ranks)
         decoded = b"".join([self.tokens[i] for i in ids]).decode("utf-8")
-        made = (" ".join(map(str, ids)), text if decoded == text else decoded)
+        if decoded != text:
+            self.odd[text] = decoded
+        made = " ".join(map(str, ids))
         if len(data) <= CACHED_BYTES:
             self[text] = made
         return made
@@ -137,11 +140,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
         for b in batches:
             n, ids_sha, text_sha, ids = [], [], [], []
             for text in b.column("text"):
-                parts = [seen[t] for t in find(text.as_py() or "")]
-                listed = " ".join([p[0] for p in parts])
+                found = find(text.as_py() or "")
+                listed = " ".join([seen[t] for t in found])
+                decoded = "".join([seen.odd.get(t, t) for t in found] if seen.odd else found)
                 n.append(listed.count(" ") + bool(listed))
                 ids_sha.append(sha(listed.encode()).hexdigest())
-                text_sha.append(sha("".join([p[1] for p in parts]).encode("utf-8")).hexdigest())
+                text_sha.append(sha(decoded.encode("utf-8")).hexdigest())
                 if with_ids:
                     ids.append(pa.array(list(map(int, listed.split())), pa.int32()))
                 if len(seen) > CACHE:
