@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from tunerline.llm.common import lean, worker_state
 
 #: Entries of a worker's table of pre-tokens seen; beyond it the table starts anew, which bounds memory and changes no result.
-CACHE = 500_000
+CACHE = 800_000
 #: Longer pre-tokens are merged each time and not kept.
 CACHED_BYTES = 64
 
