@@ -70,6 +70,18 @@ def test_jaccard_threshold_is_exact(spark):
     assert _by_row(jaccard_join.join(spark.createDataFrame(cases, "doc_id long, text string")), cases, "n_shingles", "component_id") == brute.jaccard(cases)
 
 
+def test_jaccard_of_sizes_that_differ(spark):
+    """A text and itself with more words at its end: nobody else shares their rare shingles, and no leader has both sizes' band."""
+    cases = []
+    for n, more in ((100, 15), (100, 20), (100, 25), (100, 26), (60, 13), (60, 15), (60, 16), (401, 90)):
+        a = [f"t{len(cases)}w{i}" for i in range(n + 4)]
+        k = len(cases)
+        cases += [(k, " ".join(a)), (k + 1, " ".join(a + [f"t{k}x{i}" for i in range(more)]))]
+    want = brute.jaccard(cases)
+    assert len({c for _, c in want}) == 8 + 2  # 100 with 126, and 60 with 76, are too far apart
+    assert _by_row(jaccard_join.join(spark.createDataFrame(cases, "doc_id long, text string")), cases, "n_shingles", "component_id") == want
+
+
 def test_suffixes(docs, rows, monkeypatch):
     want = brute.repeats(rows)
     cols = ("n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -356,9 +356,10 @@ def join(docs: DataFrame) -> DataFrame:
     comps = components(links.df)
     label = shared.df.join(comps.side(), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     label = Settled(label, "labelled")
+    # tiles of two are open too, if their sizes allow a link: leaders have tried those of like size only
     # shingles with the same members, as those of a passage have, make one tile: they are told by two hashes of the members
     mark = F.bit_xor(F.xxhash64("node")).alias("x1"), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 32))).alias("x2")
-    open_ = label.df.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), *mark).where("m > 2 and c1 <> c2")
+    open_ = label.df.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("n1"), F.max("n").alias("n2"), *mark).where(f"c1 <> c2 and (m > 2 or n2 * {NUM} <= n1 * {DEN})")
     open_ = open_.groupBy("m", "x1", "x2").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
     rows = label.df.join(Settled(open_, "open-tiles", few=True).side(), "h").join(classes.df.select("node", "bits"), "node")
     rows = rows.withColumn("sub", F.pmod(F.xxhash64("node", "h"), F.col("parts")).cast("int"))
