@@ -149,6 +149,29 @@ def test_chunks_resist_shifts():
     assert len(cut(lines) & cut(["new"] + lines[:90] + ["mid"] + lines[90:])) > len(cut(lines)) * 0.8
 
 
+def test_short_passages_of_lines(spark):
+    """Passages of 2 to 6 lines, some with blank ones, between lines of their own go from all texts but the first."""
+    rows, want = [], {}
+    for n in (2, 3, 4, 5, 6):
+        for k in range(6):
+            passage = [f"passage {n} {k} line {i}" for i in range(n)]
+            if k % 2:
+                passage.insert(1, "")
+            for copy in range(2):
+                before, after = [[f"{side} {n} {k} {copy} {i}" for i in range(k % 4)] for side in ("before", "after")]
+                want[len(rows)] = "\n".join(before + after if copy else before + passage + after)
+                rows.append((len(rows), "\n".join(before + passage + after)))
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == want
+
+
+def test_no_line_is_lost(spark):
+    rng = random.Random(6)
+    rows = [(i, "\n".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x for r in out for x in r["text"].split("\n")} - {""} == {x for _, t in rows for x in t.split("\n")}
+
+
 def test_quality_rules(spark, docs, rows):
     got = _by_row(quality_rules.judge(docs, docs.where("doc_id % 2 = 0").select("doc_id")), rows, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     assert [g[:6] for g in got] == [brute.base_rules(t) for _, t in rows]

@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines."""
+"""Line dedup by content-defined chunks of lines, and by pairs of lines between their ends."""
 
 from __future__ import annotations
 
@@ -24,9 +24,10 @@ def _turn(x: int, by: int) -> int:
 
 def chunks(lines: list[str]) -> list[tuple[int, int]]:
     """(first line, number of lines) of each chunk: a cyclic polynomial over the last ROLLED line hashes sets the ends.
+    After them the shorter chunks that are none of these: from each line that isn't blank to the LEAST_LINES-th such line.
 
     Whether a line ends a chunk depends on it and on the lines just before it, so lines added or lost elsewhere in a
-    text shift the chunks and don't change them."""
+    text shift the chunks and don't change them. A passage that starts or ends within a chunk is made of shorter ones."""
     out, first, rolling, hashes = [], 0, 0, []
     for i, line in enumerate(lines):
         h = xxhash.xxh3_64_intdigest(line.encode("utf-8"))
@@ -39,7 +40,9 @@ def chunks(lines: list[str]) -> list[tuple[int, int]]:
             first = i + 1
     if first < len(lines):
         out.append((first, len(lines) - first))
-    return out
+    full, known = [i for i, line in enumerate(lines) if line.strip()], set(out)
+    short = [(i, j + 1 - i) for i, j in zip(full, full[LEAST_LINES - 1 :])]
+    return out + [x for x in short if x not in known]
 
 
 def _key(data: bytes) -> tuple[int, int]:
@@ -101,8 +104,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs, text without the chunks that came before, and __n_lines, __n_removed, __n_chunks.
 
     A chunk of LEAST_LINES lines or more whose bytes are those of an earlier chunk, in the order of doc_id (null first),
-    the hash of the text, and the line, is removed; the first stays. A hash of 128 bits finds the candidates, and each
-    goes only if its bytes equal the kept chunk's. A text that loses all its lines becomes empty; null and empty texts
+    the hash of the text, and the line, is removed; the first stays. So every run of lines that came before goes, from
+    its first line that isn't blank to its last, if it has LEAST_LINES such lines. Chunks overlap: lines of a first copy
+    go if they came before in another chunk, but of each removed line an earlier equal one stays. A hash of 128 bits
+    finds the candidates, and each goes only if its bytes equal the kept chunk's. A text that loses all its lines becomes empty; null and empty texts
     stay. Rows that equal another in id and text count as one place: each loses the same. Tables may be empty, and
     further columns may have any names but those three, which are replaced.
 
