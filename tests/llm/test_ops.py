@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -87,22 +88,55 @@ def test_suffixes(docs, rows, monkeypatch):
     cols = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert _by_row(suffix_dedup.dedup(docs), rows, *cols) == want
     assert sum(x[1] for x in want) > 1000
-    monkeypatch.setattr(suffix_dedup, "BUCKET", 1)  # all buckets by counts
+    kept = _by_row(suffix_dedup.dedup(docs, with_text=True), rows, "kept_bytes", "kept_sha256")
+    assert all(brute.sha(bytes(a)) == b for a, b in kept)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 1)  # all groups are split, down to single strings
     monkeypatch.setattr(suffix_dedup, "BLOCK", 512)
+    monkeypatch.setattr(suffix_dedup, "SORTED", 3)
     assert _by_row(suffix_dedup.dedup(docs), rows, *cols) == want
     assert suffix_dedup.dedup(docs.limit(0)).collect() == []
 
 
-def test_common_extensions():
-    parts = [b"", b"a", b"ab", b"abc", b"abd", b"b", b"ab"]
-    s = [suffix_dedup.Suffix(p) for p in parts]
-    for x in s:
-        for y in s:
-            n = x.common(y)
-            assert x.data[:n] == y.data[:n] and (n == min(len(x.data), len(y.data)) or x.data[n] != y.data[n])
-            assert x.compare(y) == (x.data > y.data) - (x.data < y.data)
-    s[3].hashes = s[4].hashes  # a collision of all prefixes
-    assert s[3].common(s[4]) == 2
+def test_suffixes_of_edited_passages(spark, monkeypatch):
+    """One passage of 700 bytes in 40 texts, edited and cut in other places in each: strings that overlap it in every way."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    cases = []
+    for i in range(40):
+        p = list(passage)
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            p[rng.randrange(len(p))] = rng.choice("XYZ")
+        lo, hi = rng.choice([(0, 700), (rng.randrange(200), 700), (0, 700 - rng.randrange(200)), (150, 560)])
+        cases.append((i, "".join(rng.choice("ijkl\x00é") for _ in range(rng.randrange(60))) + "".join(p[lo:hi]) + "".join(rng.choice("mnop") for _ in range(rng.randrange(60)))))
+    d = spark.createDataFrame(cases, "doc_id long, text string")
+    cols = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = brute.repeats(cases)
+    assert len({x[1] for x in want}) > 10
+    for bucket in (suffix_dedup.BUCKET, 7):
+        monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+        assert _by_row(suffix_dedup.dedup(d), cases, *cols) == want
+
+
+def _suffixes(parts):
+    width = max(1, max(map(len, parts)))
+    return suffix_dedup.Suffixes(np.array([list(p.ljust(width, b"\0")) for p in parts], np.uint8), np.array([len(p) for p in parts]))
+
+
+def test_hashed_sort():
+    rng = random.Random(9)
+    groups = [[bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(9))) for _ in range(n)] for n in (1, 2, 3, 17, 64, 5)]
+    parts = [p for g in groups for p in g]
+    first = np.concatenate([np.full(len(g), sum(map(len, groups[:i]))) for i, g in enumerate(groups)])
+    count = np.concatenate([np.full(len(g), len(g)) for g in groups])
+    common = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    for broken in (False, True):
+        s = _suffixes(parts)
+        if broken:
+            s.hashes[:] = 0  # all prefixes collide
+        order, shared = s.sort(first, count)
+        got = [parts[i] for i in order]
+        assert got == [p for g in groups for p in sorted(g)]
+        assert shared.tolist() == [-1 if i == first[i] else common(got[i - 1], got[i]) for i in range(len(got))]
 
 
 def test_decontamination(spark, docs, rows):

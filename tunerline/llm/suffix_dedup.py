@@ -1,9 +1,8 @@
-"""Suffix-array dedup of repeated byte strings over a sparse set of suffixes, compared by prefix hashes."""
+"""Suffix-array dedup of repeated byte strings: a sparse set of suffixes, mergesorted by hashed comparisons and checked by bytes."""
 
 from __future__ import annotations
 
 import hashlib
-from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -20,38 +19,33 @@ GRAM = 256
 #: Places in a string where its mark can be, and the bytes kept before a mark.
 PLACES = LENGTH - GRAM + 1
 LEFT = PLACES - 1
-#: Marks are compared for so many places of the mark at a time; strings with the mark in these places share all but STEP - 1 bytes at either end.
-STEP = 29
-#: Buckets of suffixes up to this size are sorted in one task; larger ones are counted string by string.
-BUCKET = 4_096
+#: Suffixes that are sorted together in one task; a larger group is split by the bytes that follow and precede its gram.
+BUCKET = 1_024
+#: Whole groups are gathered to about so many suffixes, which are sorted at once.
+SORTED = 8_192
 #: Bytes of a text that are hashed at once.
 BLOCK = 1 << 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64((1 << 18) - 1)
+_powers: list[np.ndarray] = []
 
 
-class _Powers:
+def _power() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, enough for a block with its margins."""
-
-    def __init__(self, n: int = BLOCK + 2 * LENGTH):
-        inverse = pow(_BASE, -1, 1 << 64)
-        self.up, self.down = (np.cumprod(np.full(n, b, np.uint64)) for b in (_BASE, inverse))
-
-
-_powers: list[_Powers] = []
+    if not _powers:
+        _powers[:] = [np.cumprod(np.full(BLOCK + 2 * LENGTH, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers[0], _powers[1]
 
 
 def marks(data: np.ndarray) -> np.ndarray:
     """Ascending places of the marked suffixes of a text: for each string of LENGTH bytes the place of the least gram
     hash in it, the leftmost of equals."""
-    if not _powers:
-        _powers.append(_Powers())
-    p, found = _powers[0], []
+    (up, down), found = _power(), []
     for lo in range(0, len(data) - LENGTH + 1, BLOCK):
         part = data[lo : lo + BLOCK + LENGTH - 1].astype(np.uint64)
         prefix = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * p.up[: len(part)], out=prefix[1:])
-        gram = (prefix[GRAM:] - prefix[:-GRAM]) * p.down[: len(part) - GRAM + 1]
+        np.cumsum(part * up[: len(part)], out=prefix[1:])
+        gram = (prefix[GRAM:] - prefix[:-GRAM]) * down[: len(part) - GRAM + 1]
         gram ^= gram >> np.uint64(29)
         gram *= np.uint64(0xBF58476D1CE4E5B9)
         least = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64)
@@ -71,238 +65,291 @@ def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, pos, before, after, gram, c1, c2: the marked suffixes of all texts. gram is the hash of the
-    marked gram, c1 and c2 of the context: before bytes (LEFT at most) in front and after bytes (LENGTH at most) from the mark."""
-    kind = dict(docs.dtypes)["doc_id"]
+class Suffixes:
+    """Byte strings with polynomial hashes of all their prefixes, sorted by groups. A common extension is found by binary
+    search over the prefix hashes, so a comparison takes a logarithm of the length; all of a mergesort's steps of one
+    kind are done at once. The bytes of neighbours are compared at the end: a collision can't pass."""
 
-    def run(batches):
-        worker_state("")
-        for b in batches:
-            row, pos, before, after, grams, digests = [], [], [], [], [], []
-            for r, text in enumerate(b.column("text")):
-                data = (text.as_py() or "").encode("utf-8")
-                n = len(data)
-                if n < LENGTH:
-                    continue
-                at = marks(np.frombuffer(data, np.uint8))
-                row.append(np.full(len(at), r))
-                pos.append(at)
-                before.append(np.minimum(at, LEFT))
-                after.append(np.minimum(n - at, LENGTH))
-                for i in at.tolist():
-                    grams.append(xxhash.xxh3_64_intdigest(data[i : i + GRAM]))
-                    lo = i - LEFT
-                    digests.append(xxhash.xxh3_128_digest(data[max(lo, 0) : i + LENGTH], seed=min(i, LEFT)))
-                if len(digests) > 200_000:
-                    yield flush(b, row, pos, before, after, grams, digests)
-                    row, pos, before, after, grams, digests = [], [], [], [], [], []
-            if digests:
-                yield flush(b, row, pos, before, after, grams, digests)
-
-    def flush(b, row, pos, before, after, grams, digests):
-        at = pa.array(np.concatenate(row))
-        c1, c2 = _halves(digests)
-        one = lambda x, t: pa.array(np.concatenate(x).astype(t))
-        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").take(at), "text_hash": b.column("text_hash").take(at), "pos": one(pos, np.int64), "before": one(before, np.int32), "after": one(after, np.int32), "gram": pa.array(np.array(grams, np.uint64).view(np.int64)), "c1": c1, "c2": c2})
-
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, pos long, before int, after int, gram long, c1 long, c2 long")
-
-
-def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """A row for each wanted context (at: array of pos, c1, c2, by row __d, __h) and each STEP places of its mark:
-    k1, k2 (hash of the bytes that all strings with such places share), first (place), c1, c2, left, right (the up to
-    STEP - 1 bytes before, reversed, and after)."""
+    def __init__(self, rows: np.ndarray, size: np.ndarray):
+        """rows: (n, width) bytes, of which the first size count."""
+        self.rows, self.size = rows, size
+        self.hashes = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
+        np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * _power()[0][: rows.shape[1]], axis=1, out=self.hashes[:, 1:])
 
-    def run(batches):
-        for b in batches:
-            keys, first, c1, c2, left, right = [], [], [], [], [], []
-            for text, at in zip(b.column("text").to_pylist(), b.column("at").to_pylist(), strict=True):
-                data = text.encode("utf-8")
-                for x in at:
-                    p = x["pos"]
-                    for o in range(0, PLACES, STEP):
-                        lo, hi = p - o, p + LENGTH - o - STEP + 1
-                        if lo < 0:
-                            break
-                        if hi > len(data):
-                            continue
-                        keys.append(xxhash.xxh3_128_digest(data[lo:hi], seed=o))
-                        first.append(o)
-                        c1.append(x["c1"])
-                        c2.append(x["c2"])
-                        left.append(data[max(0, lo - STEP + 1) : lo][::-1])
-                        right.append(data[hi : hi + STEP - 1])
-            if keys:
-                k1, k2 = _halves(keys)
-                yield pa.RecordBatch.from_pydict({"k1": k1, "k2": k2, "first": pa.array(first, pa.int32()), "c1": pa.array(c1, pa.int64()), "c2": pa.array(c2, pa.int64()), "left": pa.array(left, pa.binary()), "right": pa.array(right, pa.binary())})
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")))
-    return rows.select("text", "at").mapInArrow(run, "k1 long, k2 long, first int, c1 long, c2 long, left binary, right binary")
-
-
-_MOD = (1 << 61) - 1
-
-
-class Suffix:
-    """A suffix with prefix hashes: the common extension with another is found by binary search over them, then its
-    bytes are compared, so a collision can't lengthen it."""
-
-    __slots__ = ("data", "hashes")
-
-    def __init__(self, data: bytes):
-        self.data = data
-        h, out = 0, [0]
-        for x in data:
-            h = (h * 1_000_003 + x + 1) % _MOD
-            out.append(h)
-        self.hashes = out
-
-    def common(self, other: Suffix) -> int:
-        a, b = self.hashes, other.hashes
-        lo, hi = 0, min(len(a), len(b)) - 1
-        while lo < hi:
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bytes that strings i and j begin with alike, by their hashes."""
+        lo, hi = np.zeros(len(i), np.int64), np.minimum(self.size[i], self.size[j])
+        for _ in range(self.rows.shape[1].bit_length()):
             mid = (lo + hi + 1) >> 1
-            if a[mid] == b[mid]:
-                lo = mid
-            else:
-                hi = mid - 1
-        if self.data[:lo] != other.data[:lo]:
-            lo = next(i for i in range(lo) if self.data[i] != other.data[i])
+            same = self.hashes[i, mid] == self.hashes[j, mid]
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         return lo
 
-    def compare(self, other: Suffix) -> int:
-        n = self.common(other)
-        return (self.data[n : n + 1] > other.data[n : n + 1]) - (self.data[n : n + 1] < other.data[n : n + 1])
-
-
-def _classes(parts: list[bytes]) -> list[list[int]]:
-    """[depth][i]: equal numbers for parts that begin with the same depth bytes, -1 for shorter ones. The parts are
-    mergesorted by hashed comparisons; neighbours' common extensions part the classes."""
-    s = [Suffix(x) for x in parts]
-    order = sorted(range(len(s)), key=cmp_to_key(lambda i, j: s[i].compare(s[j])))
-    shared = [0] + [s[i].common(s[j]) for i, j in zip(order, order[1:], strict=False)]
-    out = []
-    for depth in range(STEP):
-        at, c = [-1] * len(s), 0
-        for i, n in zip(order, shared, strict=True):
-            c += n < depth
-            if len(parts[i]) >= depth:
-                at[i] = c
-        out.append(at)
+    def _next(self, i: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The byte at a place, plus 1; 0 after the end."""
+        return np.where(at < self.size[i], self.rows[i, np.minimum(at, self.rows.shape[1] - 1)].astype(np.int16) + 1, 0)
+
+    def compare(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Negative, 0 or positive as i comes before j, equals it or comes after it."""
+        n = self.common(i, j)
+        return self._next(i, n) - self._next(j, n)
+
+    def _merged(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        order = np.arange(len(first))
+        at, width = order - first, 1
+        while width < count.max():
+            run = at // width
+            other = (run ^ 1) * width  # where the run to merge with begins
+            lo, hi = np.zeros(len(at), np.int64), np.clip(count - other, 0, width)
+            ask = np.flatnonzero(lo < hi)
+            while len(ask):  # how many of that run come before each string
+                mid = (lo[ask] + hi[ask]) >> 1
+                c = self.compare(order[first[ask] + other[ask] + mid], order[ask])
+                less = (c < 0) | ((c == 0) & (run[ask] & 1 == 1))
+                lo[ask], hi[ask] = np.where(less, mid + 1, lo[ask]), np.where(less, hi[ask], mid)
+                ask = ask[lo[ask] < hi[ask]]
+            to = np.empty_like(order)
+            to[first + (run & ~1) * width + at - run * width + lo] = order
+            order, width = to, 2 * width
+        return order
+
+    def _shared(self, order: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of the order the bytes shared with the string before (-1 for a group's first), by the bytes themselves, and whether the two are in order."""
+        a, b = order[:-1], order[1:]
+        differ = self.rows[a] != self.rows[b]
+        n = np.where(differ.any(1), differ.argmax(1), self.rows.shape[1])
+        n = np.minimum(n, np.minimum(self.size[a], self.size[b]))
+        head = first[1:] == np.arange(1, len(order))
+        fine = head | (self._next(a, n) <= self._next(b, n))
+        return np.concatenate([[-1], np.where(head, -1, n)]), np.concatenate([[True], fine])
+
+    def sort(self, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """order, shared: the rows of each group in order, and the bytes that each shares with the one before (-1: none
+        before). first, count: for each row the first row of its group, whose rows are side by side, and their number."""
+        order = self._merged(first, count)
+        shared, fine = self._shared(order, first)
+        if not fine.all():  # hashes collided: those groups are sorted by their bytes
+            for lo in np.unique(first[~fine]).tolist():
+                own = range(lo, lo + int(count[lo]))
+                order[lo : own.stop] = sorted(own, key=lambda i: self.rows[i, : self.size[i]].tobytes())
+            shared, _ = self._shared(order, first)
+        return order, shared
+
+
+def repeated(left: Suffixes, right: Suffixes, first: np.ndarray, count: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(n, PLACES) booleans: whether the string with a context's mark at a place occurs twice. left: bytes before the
+    marks, from there backwards; right: bytes from the marks on; weight: how often a context occurs; low, high: places asked for.
+
+    Both sides are sorted. Contexts with equal strings are those that share enough bytes to the left and to the right,
+    so two neighbours in the orders part the contexts of each place into classes, whose weights are added up."""
+    out = np.zeros((len(first), PLACES), bool)
+    low, high = np.maximum(low, LENGTH - right.size), np.minimum(high, left.size)
+    sides = []
+    for side in (left, right):
+        order, shared = side.sort(first, count)
+        most = np.zeros(len(order), np.int64)
+        most[order] = np.maximum(shared, np.append(shared[1:], -1))  # with the nearest others
+        sides.append((order, shared, np.where(weight > 1, 1 << 30, most)))
+    (left_order, left_shared, left_most), (right_order, right_shared, right_most) = sides
+    low, high = np.maximum(low, LENGTH - right_most), np.minimum(high, left_most)
+    lone = (count == 1) & (weight > 1)
+    at = np.arange(PLACES)
+    out[lone] = (at >= low[lone, None]) & (at <= high[lone, None])
+    open_ = np.flatnonzero((low <= high) & (count > 1))
+    classes = [np.empty(len(first), np.int64) for _ in range(2)]
+    for place in range(int(low[open_].min()), int(high[open_].max()) + 1) if len(open_) else ():
+        x = open_[(low[open_] <= place) & (place <= high[open_])]
+        if len(x):
+            classes[0][left_order] = np.cumsum(left_shared < place)
+            classes[1][right_order] = np.cumsum(right_shared < LENGTH - place)
+            _, same = np.unique(classes[0][x] * (len(first) + 1) + classes[1][x], return_inverse=True)
+            out[x, place] = np.bincount(same, weight[x])[same] > 1
     return out
 
 
-def repeated_places(left: list[bytes], right: list[bytes]) -> list[list[int]]:
-    """For each context of a bucket the t in 0..STEP-1 whose string (t bytes of left, STEP - 1 - t of right) another context has as well."""
-    by_left, by_right = _classes(left), _classes(right)
-    out: list[list[int]] = [[] for _ in left]
-    for t in range(STEP):
-        seen: dict[tuple[int, int], list[int]] = {}
-        for i, key in enumerate(zip(by_left[t], by_right[STEP - 1 - t], strict=True)):
-            if key[0] >= 0 and key[1] >= 0:
-                seen.setdefault(key, []).append(i)
-        for group in seen.values():
-            if len(group) > 1:
-                for i in group:
-                    out[i].append(t)
-    return out
+def _matrices(ctx: pa.Array, before: np.ndarray) -> tuple[Suffixes, Suffixes]:
+    """The bytes before the marks, backwards, and from the marks on."""
+    ends = np.frombuffer(ctx.buffers()[1], np.int32)[ctx.offset : ctx.offset + len(ctx) + 1].astype(np.int64)
+    data = np.frombuffer(ctx.buffers()[2], np.uint8)
+    mark = ends[:-1] + before
+    back = data[np.maximum(mark[:, None] - 1 - np.arange(LEFT), 0)]
+    on = data[np.minimum(mark[:, None] + np.arange(LENGTH), len(data) - 1)]
+    return Suffixes(back, before), Suffixes(on, ends[1:] - mark)
 
 
-def _runs(places: list[int]):
-    """(first, last) of each run of consecutive numbers."""
-    start = last = None
-    for x in places:
-        if last is not None and x == last + 1:
-            last = x
-            continue
-        if last is not None:
-            yield start, last
-        start = last = x
-    if last is not None:
-        yield start, last
+_ID = ("gram", "h1", "h2")
+_ROW = "gram long, h1 long, h2 long, before int, ctx binary, n long, k1 long, k2 long, low int, high int"
 
 
-def _sorted_buckets(rows: DataFrame) -> DataFrame:
-    """c1, c2, lo, hi (bytes relative to the mark): from rows of small buckets, k1 and k2 kept together."""
+def _sorted_groups(rows: DataFrame) -> DataFrame:
+    """gram, h1, h2, parts (spans relative to the mark): the contexts of groups (k1, k2) of bounded size, sorted within each."""
 
-    def buckets(batches):
-        key, rows = None, []
+    def gathered(batches):
+        held, n = [], 0
         for b in batches:
-            for k1, k2, *row in zip(*[b.column(c).to_pylist() for c in ("k1", "k2", "first", "c1", "c2", "left", "right")], strict=True):
-                if (k1, k2) != key:
-                    if len(rows) > 1:
-                        yield rows
-                    key, rows = (k1, k2), []
-                rows.append(row)
-        if len(rows) > 1:
-            yield rows
+            k = np.stack([b.column(c).to_numpy() for c in ("k1", "k2")], 1)
+            if held and n >= SORTED:  # what has ended goes; the last group may go on
+                last = [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in ("k1", "k2")]
+                other = (k != last).any(1)
+                cut = int(other.argmax()) if other.any() else len(k)
+                held.append(b.slice(0, cut))
+                if cut == len(k):
+                    continue
+                yield pa.Table.from_batches(held)
+                b, held, n = b.slice(cut), [], 0
+            held.append(b)
+            n += b.num_rows
+        if n:
+            yield pa.Table.from_batches(held)
 
     def run(batches):
-        out = [[], [], [], []]
-        for rows in buckets(batches):
-            for (first, c1, c2, _, _), places in zip(rows, repeated_places([r[3] for r in rows], [r[4] for r in rows]), strict=True):
-                for a, z in _runs(places):
-                    for x, v in zip(out, (c1, c2, -first - z, LENGTH - first - a), strict=True):
-                        x.append(v)
-            if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["c1", "c2", "lo", "hi"])
-                out = [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["c1", "c2", "lo", "hi"])
+        small = (b.slice(i, SORTED) for b in batches for i in range(0, b.num_rows, SORTED))
+        for table in gathered(small):
+            t = table.combine_chunks()
+            k = np.stack([t.column(c).to_numpy() for c in ("k1", "k2")], 1)
+            heads = np.concatenate([[True], (k[1:] != k[:-1]).any(1)])
+            group = np.cumsum(heads) - 1
+            first = np.flatnonzero(heads)[group]
+            count = np.bincount(group)[group]
+            weight, before, low, high = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "before", "low", "high"))
+            ctx = t.column("ctx").combine_chunks()
+            left, right = _matrices(ctx.chunk(0) if isinstance(ctx, pa.ChunkedArray) else ctx, before)
+            ok = repeated(left, right, first, count, weight, low, high)
+            edge = np.zeros((len(ok), 1), bool)
+            turns = np.diff(np.concatenate([edge, ok, edge], 1).astype(np.int8), axis=1)
+            row, a = np.nonzero(turns == 1)
+            z = np.nonzero(turns == -1)[1] - 1  # both in the order of rows and places
+            hit = np.unique(row)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ok))[hit])])
+            parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(-z, pa.int64()), pa.array(LENGTH - a, pa.int64())], names=["lo", "hi"]))
+            yield pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[hit]) for c in _ID] + [parts], names=[*_ID, "parts"])
+
+    return rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(run, "gram long, h1 long, h2 long, parts array<struct<lo:long,hi:long>>")
+
+
+def _halved(rows: DataFrame) -> DataFrame:
+    """The rows once for each half of their places that they can have, grouped anew by the bytes that all strings with such places share."""
 
-    return rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(run, "c1 long, c2 long, lo long, hi long")
+    def run(batches):
+        for b in batches:
+            take, k, lows, highs = [], [], [], []
+            for i, (before, ctx, low, high) in enumerate(zip(*[b.column(c).to_pylist() for c in ("before", "ctx", "low", "high")], strict=True)):
+                mid = (low + high) // 2
+                for lo, hi in ((low, mid), (mid + 1, high)):
+                    if before >= lo and len(ctx) - before >= LENGTH - hi:
+                        take.append(i)
+                        k.append(xxhash.xxh3_128_digest(ctx[before - lo : before + LENGTH - hi], seed=lo * LENGTH + hi))
+                        lows.append(lo)
+                        highs.append(hi)
+            if take:
+                at = pa.array(take, pa.int64())
+                own = {c: b.column(c).take(at) for c in ("gram", "h1", "h2", "before", "ctx", "n")}
+                yield pa.RecordBatch.from_pydict(own | dict(zip(("k1", "k2"), _halves(k), strict=True)) | {"low": pa.array(lows, pa.int32()), "high": pa.array(highs, pa.int32())})
+
+    return rows.mapInArrow(run, _ROW)
+
+
+def _single(rows: DataFrame) -> DataFrame:
+    """gram, h1, h2, parts of rows with one place each: strings are counted by their bytes."""
+    string = F.expr(f"substring(ctx, before - low + 1, {LENGTH})")
+    rows = rows.withColumn("string", string)
+    twice = Settled(rows.groupBy("k1", "k2", "string").agg(F.sum("n").alias("t")).where("t > 1").drop("t"), "strings", few=True)
+    return rows.join(twice.side(), ["k1", "k2", "string"]).select(*_ID, F.array(F.struct((-F.col("low")).cast("long").alias("lo"), (F.lit(LENGTH) - F.col("low")).cast("long").alias("hi"))).alias("parts"))
+
+
+def marked(texts: DataFrame) -> DataFrame:
+    """gram, tid, pos, w: the marked suffixes of texts (tid, w, text), by the hash of the marked gram."""
 
+    def run(batches):
+        worker_state("")
+        for b in batches:
+            tid, w, row, pos, grams = b.column("tid"), b.column("w"), [], [], []
+            for r, text in enumerate(b.column("text")):
+                data = text.as_py().encode("utf-8")
+                at = marks(np.frombuffer(data, np.uint8))
+                row.append(np.full(len(at), r))
+                pos.append(at)
+                grams += [xxhash.xxh3_64_intdigest(data[i : i + GRAM]) for i in at.tolist()]
+            rows = pa.array(np.concatenate(row) if row else [], pa.int64())
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(np.array(grams, np.uint64).view(np.int64)), "tid": tid.take(rows), "pos": pa.array(np.concatenate(pos) if pos else [], pa.int64()), "w": w.take(rows)})
+
+    return texts.select("tid", "w", "text").mapInArrow(run, "gram long, tid long, pos long, w long")
 
-def _counted_buckets(rows: DataFrame) -> DataFrame:
-    """The same for large buckets: every string's own hash, counted with partial sums in each task."""
+
+def contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """gram, h1, h2 (the context's name: hashes of its gram and of all of it), before, ctx, tid, pos, w: LEFT bytes at
+    most before, and LENGTH at most from each place of wanted (tid, at: array of pos) on."""
 
     def run(batches):
+        out = [[] for _ in range(7)]
         for b in batches:
-            digests, c1, c2, place = [], [], [], []
-            for k1, k2, first, x1, x2, left, right in zip(*[b.column(c).to_pylist() for c in ("k1", "k2", "first", "c1", "c2", "left", "right")], strict=True):
-                head = k1.to_bytes(8, "little", signed=True) + k2.to_bytes(8, "little", signed=True)
-                for t in range(STEP):
-                    if len(left) >= t and len(right) >= STEP - 1 - t:
-                        digests.append(xxhash.xxh3_128_digest(head + bytes([t]) + left[:t] + right[: STEP - 1 - t]))
-                        c1.append(x1)
-                        c2.append(x2)
-                        place.append(first + t)
-            if digests:
-                w1, w2 = _halves(digests)
-                yield pa.RecordBatch.from_pydict({"w1": w1, "w2": w2, "c1": pa.array(c1, pa.int64()), "c2": pa.array(c2, pa.int64()), "place": pa.array(place, pa.int64())})
-
-    strings = rows.mapInArrow(run, "w1 long, w2 long, c1 long, c2 long, place long")
-    twice = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    return strings.join(Settled(twice, "repeated-strings", few=True).side(), ["w1", "w2"]).select("c1", "c2", (-F.col("place")).alias("lo"), (F.lit(LENGTH) - F.col("place")).alias("hi"))
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """__d, __h, spans: for each text with any, the spans (array of lo, hi) that strings of LENGTH bytes cover which also start elsewhere."""
-    every = Settled(suffixes(docs), "suffixes")
-    twice = Settled(every.df.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
-    again = Settled(every.df.join(twice.side(), "gram"), "repeated-suffixes")
+            for tid, w, text, at in zip(*[b.column(c) for c in ("tid", "w", "text", "at")], strict=True):
+                tid, w, data = tid.as_py(), w.as_py(), text.as_py().encode("utf-8")
+                for p in at.as_py():
+                    before = min(p, LEFT)
+                    ctx = data[p - before : p + LENGTH]
+                    for x, v in zip(out, (xxhash.xxh3_64_intdigest(data[p : p + GRAM]), xxhash.xxh3_128_digest(ctx, seed=before), before, ctx, tid, p, w), strict=True):
+                        x.append(v)
+                    if len(out[0]) >= 8_192:
+                        yield made(out)
+                        out = [[] for _ in range(7)]
+        if out[0]:
+            yield made(out)
+
+    def made(out):
+        gram, digest, before, ctx, tid, pos, w = out
+        h1, h2 = _halves(digest)
+        return pa.RecordBatch.from_pydict({"gram": pa.array(np.array(gram, np.uint64).view(np.int64)), "h1": h1, "h2": h2, "before": pa.array(before, pa.int32()), "ctx": pa.array(ctx, pa.binary()), "tid": pa.array(tid, pa.int64()), "pos": pa.array(pos, pa.int64()), "w": pa.array(w, pa.int64())})
+
+    rows = texts.join(wanted, "tid").select("tid", "w", "text", "at")
+    return rows.mapInArrow(run, "gram long, h1 long, h2 long, before int, ctx binary, tid long, pos long, w long")
+
+
+def verdicts(found: DataFrame) -> Settled:
+    """gram, h1, h2, parts: the repeated spans of each context that has any, relative to its mark. found: as from contexts."""
+    rows = found.groupBy(*_ID, "before", "ctx").agg(F.sum("w").alias("n"))
+    rows = rows.select("*", F.col("gram").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).alias("low"), F.lit(LEFT).alias("high"))
+    parts, level = [], 0
+    while rows is not None:
+        own = Settled(rows, f"contexts-{level}")
+        large = Settled(own.df.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BUCKET).drop("m"), "large-groups", few=True)
+        none = large.df.isEmpty()
+        small = own.df if none else own.df.join(large.side(), ["k1", "k2"], "left_anti")
+        parts.append(Settled(_sorted_groups(small), "sorted"))
+        rows = None
+        if not none:
+            rest = own.df.join(large.side(), ["k1", "k2"])
+            if not rest.where("low = high").isEmpty():
+                parts.append(Settled(_single(rest.where("low = high")), "counted"))
+            if not rest.where("low < high").isEmpty():
+                rows = _halved(rest.where("low < high"))
+                level += 1
+        if rows is None:
+            break
+    out = parts[0].df
+    for p in parts[1:]:
+        out = out.unionByName(p.df)
+    if len(parts) == 1:
+        return parts[0]
+    return Settled(out.groupBy(*_ID).agg(F.array_distinct(F.flatten(F.collect_list("parts"))).alias("parts")), "verdicts")
+
+
+def repeats(texts: DataFrame) -> DataFrame:
+    """tid, spans: for each of texts (tid, w, text: distinct ones with their number) that has any, the sorted spans (lo, hi)
+    of strings of LENGTH bytes that also start elsewhere."""
+    every = Settled(marked(texts), "marks")
+    twice = Settled(every.df.groupBy("gram").agg(F.sum("w").alias("n")).where("n > 1").select("gram"), "grams")
+    wanted = Settled(every.df.join(twice.side(), "gram").groupBy("tid").agg(F.collect_list("pos").alias("at")), "wanted")
     every.drop()
     twice.drop()
-    own = [F.first(c).alias(c) for c in ("doc_id", "text_hash", "pos")]
-    contexts = Settled(again.df.groupBy("gram", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), *own), "contexts")
-    mixed = contexts.df.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("gram")
-    mixed = Settled(mixed, "mixed-grams")  # else its aggregation would keep the join from splitting a frequent gram
-    wanted = contexts.df.join(mixed.side(), "gram").groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.collect_list(F.struct("pos", "c1", "c2")).alias("at"))
-    wanted = Settled(wanted, "wanted-contexts")
-    rows = Settled(_contexts(docs, wanted.df).dropDuplicates(["k1", "k2", "first", "c1", "c2"]), "bucket-rows")
-    sizes = Settled(rows.df.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "bucket-sizes", few=True)
-    found = _sorted_buckets(rows.df.join(sizes.side().where(F.col("m") <= BUCKET), ["k1", "k2"]).drop("m"))
-    found = found.unionByName(_counted_buckets(rows.df.join(sizes.side().where(F.col("m") > BUCKET), ["k1", "k2"]).drop("m")))
-    covered = found.groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
-    whole = contexts.df.select("c1", "c2", (F.col("n") > 1).alias("whole"))
-    verdicts = whole.join(covered, ["c1", "c2"], "left").where("whole or parts is not null").dropDuplicates(["c1", "c2"])
-    verdicts = Settled(verdicts, "verdicts")
-    spans = again.df.join(verdicts.side(), ["c1", "c2"]).select("doc_id", "text_hash", F.explode(F.when(F.col("whole"), F.array(F.struct((F.col("pos") - F.col("before")).alias("lo"), (F.col("pos") + F.col("after")).alias("hi")))).otherwise(F.transform("parts", lambda x: F.struct((F.col("pos") + x["lo"]).alias("lo"), (F.col("pos") + x["hi"]).alias("hi"))))).alias("s"))
-    out = Settled(spans.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).agg(F.sort_array(F.collect_set("s")).alias("spans")), "spans")
-    for x in (again, contexts, mixed, wanted, rows, sizes, verdicts):
-        x.drop()
-    return out
+    found = Settled(contexts(texts, wanted.df), "contexts")
+    wanted.drop()
+    sure = verdicts(found.df)
+    spans = found.df.select(*_ID, "tid", "pos").join(sure.side(), list(_ID)).select("tid", F.explode(F.transform("parts", lambda x: F.struct((F.col("pos") + x["lo"]).alias("lo"), (F.col("pos") + x["hi"]).alias("hi")))).alias("s"))
+    out = Settled(spans.groupBy("tid").agg(F.sort_array(F.collect_set("s")).alias("spans")), "spans")
+    found.drop()
+    sure.drop()
+    return out.df
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -313,22 +360,23 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     null and empty texts, and those under LENGTH bytes, lose nothing. A removal may cut inside a character. Repeated
     rows are copies of each other. Other columns are not read.
 
-    Of the suffixes only marked ones are compared (about one in 73): those in a bucket share GRAM bytes. Equal contexts
-    are counted; different ones are compared by sorted suffixes. No bucket is gathered without a bound on its size.
+    Equal texts are one text with a number, grouped by the text itself. Only marked suffixes (about one in 73) whose gram
+    occurs twice are sorted; equal contexts are added up first, by their bytes. A group of suffixes beyond BUCKET is split
+    by further bytes until it is small or its strings are equal, so no task gathers an unbounded group. Hashes deal rows
+    out and name contexts (192 bits) and texts (SHA-256); what is equal is decided by bytes.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    # both joins to the texts shuffle: what is joined to them grows with the input
-    rows = rows.join(repeats(docs).df, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")), "left").select("doc_id", "text", "spans")
+    own = docs.select("doc_id", "text")
+    long_ = F.octet_length("text") >= LENGTH
+    texts = own.where(long_).groupBy("text").agg(F.count(F.lit(1)).alias("w")).select("text", "w", F.monotonically_increasing_id().alias("tid"))
+    texts = Settled(texts, "texts")
 
     def run(batches):
         for b in batches:
-            size, gone, runs, sha, kept = [], [], [], [], []
-            spans = b.column("spans")
-            for r, text in enumerate(b.column("text").to_pylist()):
-                data = (text or "").encode("utf-8")
+            key, gone, runs, sha, kept = [], [], [], [], []
+            for text, spans in zip(b.column("text").to_pylist(), b.column("spans"), strict=True):
+                data = text.encode("utf-8")
                 parts, end, n, cut = [], 0, 0, -1
-                for s in spans[r].as_py() or ():
+                for s in spans.as_py():
                     lo, hi = s["lo"], s["hi"]
                     if lo > cut:  # a new run; touching ones are one
                         parts.append(data[end:lo])
@@ -338,12 +386,19 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
                         end = cut = hi
                 parts.append(data[end:])
                 left = b"".join(parts)
-                size.append(len(data))
+                key.append(hashlib.sha256(data).hexdigest())
                 gone.append(len(data) - len(left))
                 runs.append(n)
                 sha.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
-            cols = {"doc_id": b.column("doc_id"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-            yield pa.RecordBatch.from_pydict(cols | ({"kept_bytes": pa.array(kept, pa.binary())} if with_text else {}))
-
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text)
+            cols = {"key": pa.array(key, pa.string()), "gone": pa.array(gone, pa.int64()), "runs": pa.array(runs, pa.int64()), "sha": pa.array(sha, pa.string())}
+            yield pa.RecordBatch.from_pydict(cols | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
+
+    cut = texts.df.join(repeats(texts.df), "tid").select("text", "spans").mapInArrow(run, "key string, gone long, runs long, sha string" + ", kept binary" * with_text)
+    cut = Settled(cut, "cut-texts")
+    texts.drop()
+    data = F.coalesce("text", F.lit(""))
+    rows = own.select("doc_id", F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("own"), *([F.encode(data, "UTF-8").alias("all")] if with_text else []))
+    rows = rows.join(cut.side(), F.col("own") == F.col("key"), "left")
+    out = rows.select("doc_id", "n_bytes", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("runs", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"), *([F.coalesce("kept", "all").alias("kept_bytes")] if with_text else []))
+    return out
