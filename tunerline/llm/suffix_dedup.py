@@ -19,7 +19,7 @@ GRAM = 256
 #: Places in a string where its mark can be, and the bytes kept before a mark.
 PLACES = LENGTH - GRAM + 1
 LEFT = PLACES - 1
-#: Suffixes that are sorted together in one task; a larger group is split by the bytes that follow and precede its gram.
+#: Different suffixes that are sorted together in one task; a larger group is split by the bytes that follow and precede its gram.
 BUCKET = 1_024
 #: Whole groups are gathered to about so many suffixes, which are sorted at once.
 SORTED = 8_192
@@ -178,7 +178,6 @@ def _matrices(ctx: pa.Array, before: np.ndarray) -> tuple[Suffixes, Suffixes]:
 
 
 _ID = ("gram", "h1", "h2")
-_ROW = "gram long, h1 long, h2 long, before int, ctx binary, n long, k1 long, k2 long, low int, high int"
 
 
 def _sorted_groups(rows: DataFrame) -> DataFrame:
@@ -228,33 +227,32 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
 
 
 def _halved(rows: DataFrame) -> DataFrame:
-    """The rows once for each half of their places that they can have, grouped anew by the bytes that all strings with such places share."""
+    """The contexts of large groups, once for each half of their places that they can have, cut to the bytes that strings
+    with such places cover and grouped anew (k1, k2) by the bytes that all of these share. up, up1, up2 name the whole context."""
 
     def run(batches):
         for b in batches:
-            take, k, lows, highs = [], [], [], []
+            take, k, h, befores, parts, lows, highs = [], [], [], [], [], [], []
             for i, (before, ctx, low, high) in enumerate(zip(*[b.column(c).to_pylist() for c in ("before", "ctx", "low", "high")], strict=True)):
                 mid = (low + high) // 2
                 for lo, hi in ((low, mid), (mid + 1, high)):
                     if before >= lo and len(ctx) - before >= LENGTH - hi:
+                        own = min(before, hi)
+                        part = ctx[before - own : before + LENGTH - lo]
                         take.append(i)
                         k.append(xxhash.xxh3_128_digest(ctx[before - lo : before + LENGTH - hi], seed=lo * LENGTH + hi))
+                        h.append(xxhash.xxh3_128_digest(part, seed=(lo * LENGTH + hi) * LENGTH + own))
+                        befores.append(own)
+                        parts.append(part)
                         lows.append(lo)
                         highs.append(hi)
             if take:
                 at = pa.array(take, pa.int64())
-                own = {c: b.column(c).take(at) for c in ("gram", "h1", "h2", "before", "ctx", "n")}
-                yield pa.RecordBatch.from_pydict(own | dict(zip(("k1", "k2"), _halves(k), strict=True)) | {"low": pa.array(lows, pa.int32()), "high": pa.array(highs, pa.int32())})
+                (k1, k2), (h1, h2) = _halves(k), _halves(h)
+                up = {x: b.column(c).take(at) for x, c in (("up", "gram"), ("up1", "h1"), ("up2", "h2"), ("n", "n"))}
+                yield pa.RecordBatch.from_pydict(up | {"gram": k1, "h1": h1, "h2": h2, "before": pa.array(befores, pa.int32()), "ctx": pa.array(parts, pa.binary()), "k1": k1, "k2": k2, "low": pa.array(lows, pa.int32()), "high": pa.array(highs, pa.int32())})
 
-    return rows.mapInArrow(run, _ROW)
-
-
-def _single(rows: DataFrame) -> DataFrame:
-    """gram, h1, h2, parts of rows with one place each: strings are counted by their bytes."""
-    string = F.expr(f"substring(ctx, before - low + 1, {LENGTH})")
-    rows = rows.withColumn("string", string)
-    twice = Settled(rows.groupBy("k1", "k2", "string").agg(F.sum("n").alias("t")).where("t > 1").drop("t"), "strings", few=True)
-    return rows.join(twice.side(), ["k1", "k2", "string"]).select(*_ID, F.array(F.struct((-F.col("low")).cast("long").alias("lo"), (F.lit(LENGTH) - F.col("low")).cast("long").alias("hi"))).alias("parts"))
+    return rows.mapInArrow(run, "up long, up1 long, up2 long, n long, gram long, h1 long, h2 long, before int, ctx binary, k1 long, k2 long, low int, high int")
 
 
 def marked(texts: DataFrame) -> DataFrame:
@@ -306,32 +304,33 @@ def contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verdicts(found: DataFrame) -> Settled:
-    """gram, h1, h2, parts: the repeated spans of each context that has any, relative to its mark. found: as from contexts."""
+    """gram, h1, h2, parts: the repeated spans of each context that has any, relative to its mark. found: as from contexts.
+
+    Groups of up to BUCKET contexts are sorted. Larger ones are halved by places: a half has less of each context, so
+    that more of them are equal and count as one; with a single place left all of a group are. Verdicts then go back up."""
     rows = found.groupBy(*_ID, "before", "ctx").agg(F.sum("w").alias("n"))
     rows = rows.select("*", F.col("gram").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).alias("low"), F.lit(LEFT).alias("high"))
-    parts, level = [], 0
-    while rows is not None:
-        own = Settled(rows, f"contexts-{level}")
-        large = Settled(own.df.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BUCKET).drop("m"), "large-groups", few=True)
-        none = large.df.isEmpty()
-        small = own.df if none else own.df.join(large.side(), ["k1", "k2"], "left_anti")
-        parts.append(Settled(_sorted_groups(small), "sorted"))
-        rows = None
-        if not none:
-            rest = own.df.join(large.side(), ["k1", "k2"])
-            if not rest.where("low = high").isEmpty():
-                parts.append(Settled(_single(rest.where("low = high")), "counted"))
-            if not rest.where("low < high").isEmpty():
-                rows = _halved(rest.where("low < high"))
-                level += 1
-        if rows is None:
+    levels, halves = [], []
+    while True:
+        own = Settled(rows, f"contexts-{len(levels)}")
+        large = Settled(own.df.where("low < high").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BUCKET).drop("m"), "large-groups", few=True)
+        split = not large.df.isEmpty()
+        levels.append(Settled(_sorted_groups(own.df.join(large.side(), ["k1", "k2"], "left_anti") if split else own.df), "sorted"))
+        if split:
+            halves.append(Settled(_halved(own.df.join(large.side(), ["k1", "k2"])), "halves"))
+            rows = halves[-1].df.groupBy(*_ID, "before", "ctx", "k1", "k2", "low", "high").agg(F.sum("n").alias("n"))
+        own.drop()
+        large.drop()
+        if not split:
             break
-    out = parts[0].df
-    for p in parts[1:]:
-        out = out.unionByName(p.df)
-    if len(parts) == 1:
-        return parts[0]
-    return Settled(out.groupBy(*_ID).agg(F.array_distinct(F.flatten(F.collect_list("parts"))).alias("parts")), "verdicts")
+    out = levels.pop()
+    while levels:
+        half, below = halves.pop(), out
+        risen = half.df.select("up", "up1", "up2", *_ID).join(below.side(), list(_ID)).select(F.col("up").alias("gram"), F.col("up1").alias("h1"), F.col("up2").alias("h2"), "parts")
+        out = Settled(levels[-1].df.unionByName(risen).groupBy(*_ID).agg(F.array_distinct(F.flatten(F.collect_list("parts"))).alias("parts")), "verdicts")
+        for x in (half, below, levels.pop()):
+            x.drop()
+    return out
 
 
 def repeats(texts: DataFrame) -> DataFrame:
@@ -362,7 +361,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     Equal texts are one text with a number, grouped by the text itself. Only marked suffixes (about one in 73) whose gram
     occurs twice are sorted; equal contexts are added up first, by their bytes. A group of suffixes beyond BUCKET is split
-    by further bytes until it is small or its strings are equal, so no task gathers an unbounded group. Hashes deal rows
+    by further bytes, which makes more of them equal, until it is small; no task gathers an unbounded group. Hashes deal rows
     out and name contexts (192 bits) and texts (SHA-256); what is equal is decided by bytes.
     """
     own = docs.select("doc_id", "text")
