@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: tiles of documents of like size that share a rare shingle, bitmaps that bound overlaps, exact intersections."""
+"""N-gram Jaccard join: size-banded tiles of documents that share a rare shingle, bitmaps that bound overlaps, exact intersections of sorted arrays, checked word by word."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunerline.llm.common import Settled, worker_state
+from tunerline.llm.common import Settled, unused, worker_state
 from tunerline.llm.components import components
 
 #: Words of a shingle.
@@ -24,45 +24,103 @@ FREQUENT, PORTION = 100_000, 1 << 21
 #: Ratio of sizes that have a leader in common.
 BAND = 1.1
 #: Documents of a tile.
-TILE = 512
-#: Bytes hashed at once.
-BLOCK = 1 << 20
-_BASE = 0xD6E8FEB86659FD93
+TILE = 4_096
+#: Words whose hashes a worker keeps between texts.
+VOCABULARY = 1 << 18
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_powers: list[np.ndarray] = []
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        _powers[:] = [np.cumprod(np.full(size, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _powers[0], _powers[1]
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Ascending distinct 64-bit hashes of the text's shingles, A-Z lower-cased; of the whole sequence if it has fewer words."""
-    words = text.encode("utf-8").translate(_LOWER).split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    ends = np.flatnonzero(data == 32)  # words hold no blanks
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - WORDS + 1)
-    last = ends[min(WORDS, len(words)) - 1 :]
-    out, i = [], 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(last, starts[i] + BLOCK)))
-        lo, hi = int(starts[i]), int(last[j - 1])
-        up, down = _power(hi - lo)
-        prefix = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=prefix[1:])
-        at = starts[i:j] - lo
-        h = (prefix[last[i:j] - lo] - prefix[at]) * down[at]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0x94D049BB133111EB)
-        out.append(h ^ (h >> np.uint64(29)))
-        i = j
-    return np.unique(np.concatenate(out))
+_ALL = (1 << 64) - 1
+
+
+class Vocabulary(dict):
+    """Word -> its place in hashes, which has two 64-bit hashes of each word; filled as asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = np.zeros((2, 1 << 12), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        if at == self.hashes.shape[1]:
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], 1)
+        x = xxhash.xxh3_128_intdigest(word)
+        self.hashes[:, at] = x & _ALL, x >> 64
+        return at
+
+    def places(self, text: str | None) -> np.ndarray:
+        """The places of a text's words, A-Z lower-cased: equal numbers for equal words, until the vocabulary is emptied."""
+        words = text.encode("utf-8").translate(_LOWER).split() if text else []
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def vocabulary() -> Vocabulary:
+    """The worker's vocabulary, begun anew when it has grown beyond VOCABULARY."""
+    v = worker_state("shingle-words", Vocabulary)
+    if len(v) > VOCABULARY:
+        v.clear()
+    return v
+
+
+def _mixed(hashes: np.ndarray, words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    h = np.full(len(starts), width, np.uint64)
+    for k in range(width):
+        h = (h ^ hashes[words[starts + k]]) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _equal(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, width: int) -> np.ndarray:
+    """Whether the shingles that start at i in x and at j in y have the same words."""
+    k = np.arange(width)
+    return (x[i[:, None] + k] == y[j[:, None] + k]).all(1)
+
+
+def shingles(words: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending 64-bit hashes of a text's distinct shingles, and where they start; of the whole sequence if it has fewer words.
+
+    What is distinct is decided by the words: two shingles of one hash both stay."""
+    width = min(WORDS, len(words))
+    if not width:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = _mixed(v.hashes[0], words, np.arange(len(words) - width + 1), width)
+    order = np.argsort(h)
+    h = h[order]
+    same = h[1:] == h[:-1]
+    if same.any():
+        if _equal(words, order[1:][same], words, order[:-1][same], width).all():
+            keep = np.concatenate([[True], ~same])
+        else:
+            seen: set[tuple[int, ...]] = set()
+            keep = np.array([not (t in seen or seen.add(t)) for t in (tuple(words[i : i + width].tolist()) for i in order.tolist())])
+        h, order = h[keep], order[keep]
+    return h, order
+
+
+def digest(h: np.ndarray, starts: np.ndarray, words: np.ndarray, v: Vocabulary) -> bytes:
+    """128 bits that stand for a set, from 128 bits of each shingle."""
+    g = _mixed(v.hashes[1], words, starts, min(WORDS, len(words)))
+    order = np.lexsort((g, h)) if (h[1:] == h[:-1]).any() else slice(None)
+    return xxhash.xxh3_128_digest(h[order].tobytes() + g[order].tobytes())
+
+
+def _node(d: bytes) -> int:
+    return int.from_bytes(d[:8], "big", signed=True)
+
+
+def overlap(x: np.ndarray, y: np.ndarray, v: Vocabulary) -> tuple[int, int, int]:
+    """Shingles of the texts with words x and y, and how many both have: hashes are intersected, then compared word by word."""
+    width = min(WORDS, len(x))
+    (hx, sx), (hy, sy) = shingles(x, v), shingles(y, v)
+    if width != min(WORDS, len(y)) or not width:
+        return len(hx), len(hy), 0
+    plain = not ((hx[1:] == hx[:-1]).any() or (hy[1:] == hy[:-1]).any())
+    if plain:
+        _, i, j = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
+        plain = _equal(x, sx[i], y, sy[j], width).all()
+        both = len(i)
+    if not plain:  # a hash stands for two shingles
+        a, b = ({tuple(w[k : k + width].tolist()) for k in s.tolist()} for w, s in ((x, sx), (y, sy)))
+        both = len(a & b)
+    return len(hx), len(hy), both
 
 
 def bitmap(hashes: np.ndarray, size: int = BITS) -> bytes:
@@ -87,16 +145,17 @@ def sets(docs: DataFrame) -> DataFrame:
         return [{"h": a, "n": b} for a, b in zip(h[keep].view(np.int64).tolist(), n[keep].tolist(), strict=True)]
 
     def run(batches):
-        worker_state("")
         portion, held = [], 0
         for b in batches:
             n, node, check, bits, frequent = [], [], [], [], []
             for text in b.column("text"):
-                h = shingles(text.as_py())
-                x = xxhash.xxh3_128_intdigest(h.tobytes())
+                v = vocabulary()
+                words = v.places(text.as_py())
+                h, starts = shingles(words, v)
+                x = digest(h, starts, words, v)
                 n.append(len(h))
-                node.append((x >> 64) - (1 << 63))
-                check.append((x & ((1 << 64) - 1)) - (1 << 63))
+                node.append(_node(x))
+                check.append(int.from_bytes(x[8:], "big", signed=True))
                 bits.append(bitmap(h))
                 frequent.append(None)
                 portion.append(h)
@@ -110,30 +169,58 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node long, check long, bits binary, frequent array<struct<h:long,n:long>>")
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def named_apart(classes: DataFrame) -> dict[tuple[int, int], int]:
+    """(node, check) -> another node, for classes that share the 64 bits of node with another; none share it afterwards.
+
+    Nodes are as good as random, so of N classes about N * N / 2**64 are concerned: some hundred of 5e10."""
+    own: dict[tuple[int, int], int] = {}
+    turn = 0
+    while True:
+        turn += 1
+        now = classes.select("node", "check", _renamed(own)) if own else classes.select("node", "check", F.col("node").alias("now"))
+        twice = now.join(now.groupBy("now").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("now"), "now").select("node", "check").collect()
+        if not twice:
+            return own
+        for r in twice:
+            own[r["node"], r["check"]] = xxhash.xxh3_64_intdigest(f"{r['node']},{r['check']}", seed=turn) - (1 << 63)
+
+
+def _renamed(own: dict[tuple[int, int], int]):
+    """The column now: node, or the other node of named_apart."""
+    out = F.col("node")
+    for (node, check), other in own.items():
+        out = F.when((F.col("node") == node) & (F.col("check") == check), F.lit(other)).otherwise(out)
+    return out.alias("now")
+
+
+def prefixes(docs: DataFrame, frequent: np.ndarray, renamed: dict[tuple[int, int], int]) -> DataFrame:
     """h, node, n: for each document the rarest shingles, so many that any set similar enough has one of them among its own.
 
     A set of n needs an overlap of ceil(NUM * n / DEN), so n minus that, plus one, first shingles do. Copies within a
     partition are given once."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, renamed))
 
     def run(batches):
-        worker_state("")
-        order = shared.value  # most frequent first
+        order, other = shared.value  # most frequent first
         by_hash = np.argsort(order, kind="stable")
         known = order[by_hash]
         seen: set[bytes] = set()
         for b in batches:
             hs, nodes, ns = [], [], []
             for text in b.column("text"):
-                h = shingles(text.as_py())
+                v = vocabulary()
+                words = v.places(text.as_py())
+                h, starts = shingles(words, v)
                 if not len(h):
                     continue
-                digest = xxhash.xxh3_128_digest(h.tobytes())
-                if digest in seen:
+                x = digest(h, starts, words, v)
+                if x in seen:
                     continue
                 if len(seen) < 200_000:
-                    seen.add(digest)
+                    seen.add(x)
+                node = _node(x)
+                if other:
+                    node = other.get((node, int.from_bytes(x[8:], "big", signed=True)), node)
                 n = len(h)
                 k = n - -(-NUM * n // DEN) + 1
                 if len(known):
@@ -146,7 +233,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                         rare = np.concatenate([rare, late])
                     h = rare
                 hs.append(h[:k])
-                nodes.append(np.full(k, int.from_bytes(digest[:8], "big") - (1 << 63), np.int64))
+                nodes.append(np.full(k, node, np.int64))
                 ns.append(np.full(k, n, np.int64))
             if hs:
                 yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(hs).view(np.int64)), "node": pa.array(np.concatenate(nodes)), "n": pa.array(np.concatenate(ns))})
@@ -225,13 +312,14 @@ def bounded(pairs: DataFrame) -> DataFrame:
 
 
 def tiles(rows: DataFrame) -> DataFrame:
-    """a, b: pairs of different components within the tiles that the bitmaps don't rule out. rows: h, s, t (a tile), sub
-    (s or t), node, n, comp, bits. In a tile of two parts only pairs across them are compared."""
+    """a, b: pairs of different components within the tiles that the bitmaps don't rule out. rows: h, tile (a band of
+    sizes), s, t (parts of a tile), sub (s or t), home (whether the tile is of the document's own band), node, n, comp,
+    bits. In a tile of two parts only pairs across them are compared; two guests meet in another tile."""
 
     def whole(batches):
         key, held = None, []
         for b in batches:
-            k = list(zip(*[b.column(c).to_pylist() for c in ("h", "s", "t")], strict=True))
+            k = list(zip(*[b.column(c).to_pylist() for c in ("h", "tile", "s", "t")], strict=True))
             i = 0
             while i < len(k):
                 j = i
@@ -247,32 +335,35 @@ def tiles(rows: DataFrame) -> DataFrame:
             yield key, pa.Table.from_batches(held)
 
     def run(batches):
-        a, z = set(), 0
-        for (_, s, t), table in whole(batches):
-            n, comp, node, sub = (table.column(c).to_numpy() for c in ("n", "comp", "node", "sub"))
+        a = set()
+        for (_, _, s, t), table in whole(batches):
+            n, comp, node, sub, home = (table.column(c).to_numpy() for c in ("n", "comp", "node", "sub", "home"))
             bits = _words(table.column("bits"))
             for i in range(len(n)):
                 ok = (n[i + 1 :] * NUM <= n[i] * DEN) & (n[i] * NUM <= n[i + 1 :] * DEN) & (comp[i + 1 :] != comp[i])
+                if not home[i]:
+                    ok &= home[i + 1 :]
                 if s != t:
                     ok &= sub[i + 1 :] != sub[i]
                 at = np.flatnonzero(ok) + i + 1
                 if len(at):
                     at = at[_bound(bits[at], bits[i], n[at], n[i])]
                     a.update((min(x, int(node[i])), max(x, int(node[i]))) for x in node[at].tolist())
-            if len(a) > 100_000:
-                yield out(a)
-                a = set()
+                if len(a) > 100_000:
+                    yield out(a)
+                    a = set()
         yield out(a)
 
     def out(a):
         rows = sorted(a)
         return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in rows], pa.int64()), "b": pa.array([x[1] for x in rows], pa.int64())})
 
-    return rows.repartition("h", "s", "t").sortWithinPartitions("h", "s", "t").mapInArrow(run, "a long, b long")
+    keys = ("h", "tile", "s", "t")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def _hashed(docs: DataFrame, nodes: DataFrame, what: str, make) -> DataFrame:
-    """node, n and what: size and make(shingles) of the named documents (nodes: node, __d, __h)."""
+def _made(docs: DataFrame, nodes: DataFrame, what: str, make) -> DataFrame:
+    """node, n and what: size and make(text, hashes) of the named documents (nodes: node, __d, __h)."""
 
     def run(batches):
         seen: set[int] = set()
@@ -281,10 +372,11 @@ def _hashed(docs: DataFrame, nodes: DataFrame, what: str, make) -> DataFrame:
             for k, t in zip(b.column("node").to_pylist(), b.column("text"), strict=True):
                 if k not in seen:  # else a repeated row
                     seen.add(k)
-                    h = shingles(t.as_py())
+                    v, t = vocabulary(), t.as_py()
+                    h = shingles(v.places(t), v)[0]
                     node.append(k)
                     n.append(len(h))
-                    made.append(make(h))
+                    made.append(make(t, h))
             yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), what: pa.array(made, pa.binary())})
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -294,7 +386,7 @@ def _hashed(docs: DataFrame, nodes: DataFrame, what: str, make) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> Settled:
     """a, b: the pairs that are similar enough. Only documents in pairs are hashed again: first for wide bitmaps, which
-    rule out most pairs, then for the sorted arrays of what is left, which are intersected."""
+    rule out most pairs, then the texts of what is left meet, whose sorted arrays are intersected and compared by words."""
 
     def named(p: Settled) -> Settled:
         nodes = p.df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -302,68 +394,79 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> Settled:
 
     pairs = Settled(pairs.distinct(), "candidates", few=True)
     nodes = named(pairs)
-    bits = Settled(_hashed(docs, nodes.side(), "wide", wide_bitmap), "wide-bitmaps")
+    bits = Settled(_made(docs, nodes.side(), "wide", lambda t, h: wide_bitmap(h)), "wide-bitmaps")
     narrow = lambda p: bits.df.select(F.col("node").alias(p), F.col("n").alias(f"n{p}"), F.col("wide").alias(f"x{p}"))
     close = Settled(bounded(narrow("a").join(pairs.side(), "a").join(narrow("b"), "b")).distinct(), "close-pairs", few=True)
     for x in (nodes, bits, pairs):
         x.drop()
     nodes = named(close)
-    arrays = Settled(_hashed(docs, nodes.side(), "set", lambda h: h.tobytes()), "shingle-sets")
+    texts = Settled(_made(docs, nodes.side(), "text", lambda t, h: t.encode("utf-8")), "pair-texts")
     nodes.drop()
 
     def run(batches):
+        last, words = None, None
         for b in batches:
             ok = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(DEN * both >= NUM * (len(x) + len(y) - both))
+                x, y = x.as_py(), y.as_py()
+                v = vocabulary()
+                if x != last or not len(v):  # an emptied vocabulary gives other places
+                    last, words = x, v.places(x.decode("utf-8"))
+                nx, ny, both = overlap(words, v.places(y.decode("utf-8")), v)
+                ok.append(DEN * both >= NUM * (nx + ny - both))
             yield pa.RecordBatch.from_pydict({c: b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")})
 
-    side = lambda p, x: arrays.df.select(F.col("node").alias(p), F.col("set").alias(x))
+    side = lambda p, x: texts.df.select(F.col("node").alias(p), F.col("text").alias(x))
     full = side("a", "x").join(close.side(), "a").join(side("b", "y").join(close.side().select("b").distinct(), "b", "left_semi"), "b")
     out = Settled(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "links", few=True)
     close.drop()
-    arrays.drop()
+    texts.drop()
     return out
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, class_size, text_hash.
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, class_size, text_hash, component.
 
     Documents link when their sets of shingles have DEN * intersection >= NUM * union; component_id is the smallest
-    doc_id (nulls aside) that links reach, class_size the number of documents with the very same set. Texts without a
+    doc_id (nulls aside) that links reach, component a number of its own for each component (null without shingles), class_size the number of documents with the very same set. Texts without a
     word, null ones too, have no shingles and link with nothing; they are their own component. Texts of fewer words
     have one shingle. Repeated rows are copies of each other. Other columns of docs are not read.
 
-    Copies become one node. A shingle that nodes share in their prefixes makes a tile. First each node is compared with
-    leaders of like size in each tile, which joins large groups of near copies by about as many comparisons as they
-    have members. Then all pairs across what is still apart are compared within tiles; large tiles are split by a hash
-    of the node and each pair of parts is a task, so no frequent shingle gathers in one. Bitmaps rule out most pairs,
-    small ones in the tiles and wide ones after, before the exact intersection. Shingles are compared by 64-bit hashes.
+    Copies become one node. A shingle that nodes share in their prefixes makes tiles, one for each band of sizes that can
+    link with one another. First each node is compared with leaders of like size, which joins large groups of near copies
+    by about as many comparisons as they have members. Then all pairs across what is still apart are compared within
+    tiles; large tiles are split by a hash of the node and each pair of parts is a task, so no frequent shingle gathers
+    in one. Bitmaps rule out most pairs, small ones in the tiles and wide ones after, before the exact intersection.
+    Hashes of 64 bits only find candidates: what is distinct in a text, and what two texts share, is compared word by
+    word. Equal sets are told by 128 bits of each shingle.
     """
     own = Settled(sets(docs), "sets")
     classes = own.df.where("n > 0").groupBy("node", "check").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("class_size"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("rep"))
     classes = Settled(classes, "classes")
-    if not classes.df.groupBy("node").count().where("count > 1").isEmpty():
-        raise ValueError("two different sets have the same 64-bit digest; choose another _BASE")
+    renamed = named_apart(classes.df)
+    if renamed:
+        for x in (own, classes):
+            x.df = x.df.withColumn("node", _renamed(renamed))
     heavy = own.df.where("frequent is not null").select(F.explode("frequent").alias("f")).groupBy("f.h").agg(F.sum("f.n").alias("n")).where("n > 8")
     heavy = np.array([r["h"] for r in heavy.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64)
-    shared = Settled(shared_prefixes(prefixes(docs, heavy)), "shared-prefixes")
+    shared = Settled(shared_prefixes(prefixes(docs, heavy, renamed)), "shared-prefixes")
     tried = Settled(leaders(shared.df), "leader-pairs", few=True)
     bits = lambda p: classes.df.select(F.col("node").alias(p), F.col("n").alias(f"n{p}"), F.col("bits").alias(f"x{p}"))
     links = verified(docs, bounded(bits("a").join(tried.side(), "a").join(bits("b"), "b")), classes.df)
     comps = components(links.df)
     label = shared.df.join(comps.side(), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     label = Settled(label, "labelled")
+    # a document is at home in its own band and a guest in the one above: sets that link differ in size by DEN / NUM at most
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM)) + 1e-9).cast("int")
+    placed = label.df.withColumn("place", F.explode(F.array(F.struct(band.alias("tile"), F.lit(True).alias("home")), F.struct((band + 1).alias("tile"), F.lit(False).alias("home"))))).select("h", "node", "n", "comp", "place.tile", "place.home")
     # tiles of two are open too, if their sizes allow a link: leaders have tried those of like size only
-    # shingles with the same members, as those of a passage have, make one tile: they are told by two hashes of the members
-    mark = F.bit_xor(F.xxhash64("node")).alias("x1"), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 32))).alias("x2")
-    open_ = label.df.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("n1"), F.max("n").alias("n2"), *mark).where(f"c1 <> c2 and (m > 2 or n2 * {NUM} <= n1 * {DEN})")
-    open_ = open_.groupBy("m", "x1", "x2").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
-    rows = label.df.join(Settled(open_, "open-tiles", few=True).side(), "h").join(classes.df.select("node", "bits"), "node")
+    # shingles with the same members, as those of a passage have, make one tile: they are told by hashes of the members
+    mark = F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"), F.sum(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 32))).alias("x3")
+    open_ = placed.groupBy("h", "tile").agg(F.count(F.lit(1)).alias("m"), F.max("home").alias("some"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("n1"), F.max("n").alias("n2"), *mark).where(f"some and c1 <> c2 and (m > 2 or n2 * {NUM} <= n1 * {DEN})")
+    open_ = open_.groupBy("tile", "m", "n1", "n2", "x1", "x2", "x3").agg(F.min("h").alias("h")).select("h", "tile", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
+    rows = placed.join(Settled(open_, "open-tiles", few=True).side(), ["h", "tile"]).join(classes.df.select("node", "bits"), "node")
     rows = rows.withColumn("sub", F.pmod(F.xxhash64("node", "h"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("h", F.least("sub", "other").alias("s"), F.greatest("sub", "other").alias("t"), "sub", "node", "n", "comp", "bits")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("h", "tile", F.least("sub", "other").alias("s"), F.greatest("sub", "other").alias("t"), "sub", "home", "node", "n", "comp", "bits")
     more = verified(docs, tiles(rows).distinct().join(tried.side(), ["a", "b"], "left_anti"), classes.df)
     if not more.df.isEmpty():  # join the components that the new links connect
         first, side = comps, comps.side()
@@ -378,8 +481,29 @@ def join(docs: DataFrame) -> DataFrame:
     label = classes.df.select("node", "check", "class_size", "least").join(comps.side(), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     label = Settled(label, "class-components")
     least = Settled(label.df.groupBy("comp").agg(F.min("least").alias("component_id")), "component-ids", few=True)
-    final = Settled(label.df.join(least.side(), "comp").select("node", "check", "class_size", "component_id"), "class-ids")
+    final = Settled(label.df.join(least.side(), "comp").select("node", "check", "class_size", "component_id", F.col("comp").alias("component")), "class-ids")
     rows = own.df.select("doc_id", "text_hash", "n", "node", "check").join(final.side(), ["node", "check"], "left")
     for x in (classes, shared, tried, label, least, links, more, comps):
         x.drop()
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "text_hash")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "text_hash", "component")
+
+
+def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that stay, of found = join(docs): of each component one row, that of the smallest doc_id (null
+    last), then of the least hash of the text; all rows without shingles. Of rows that repeat in id and text one stays;
+    which one isn't defined where they differ in further columns."""
+    d, h, k = unused(docs, "__d", "__h", "__k")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    first = found.where("component is not null").groupBy("component").agg(F.min(place).alias("p"))
+    first = first.select(F.col("p.doc_id").alias(d), F.col("p.text_hash").alias(h))
+    none = found.where("component is null").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h))
+    kept = Settled(first.unionByName(none).distinct(), "kept")
+    again = found.where("component is not null").groupBy(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).count().where("count > 1").drop("count")
+    again = Settled(again, "repeated-rows", few=True)
+    rows = docs.withColumn(k, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(k) == F.col(h))
+    rows = rows.join(kept.side(), same, "left_semi")
+    if again.df.isEmpty():
+        return rows.drop(k)
+    one = rows.join(again.side(), same, "left_semi").groupBy("doc_id", k).agg(F.first(F.struct(*docs.columns)).alias(d)).select(f"{d}.*")
+    return rows.join(again.side(), same, "left_anti").drop(k).unionByName(one)
