@@ -58,11 +58,31 @@ def test_jaccard(docs, rows, monkeypatch):
     assert _by_row(jaccard_join.join(docs), rows, "n_shingles", "component_id") == want
     monkeypatch.setattr(jaccard_join, "TILE", 2)  # many parts of tiles
     monkeypatch.setattr(jaccard_join, "FREQUENT", 3)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 50)
+    monkeypatch.setattr(jaccard_join, "_node", lambda d: d[0] & 7)  # most sets share their node's bits
     assert _by_row(jaccard_join.join(docs), rows, "n_shingles", "component_id") == want
     assert jaccard_join.join(docs.limit(0)).collect() == []
 
 
+def test_jaccard_of_words_that_collide(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2**64, whatever its base."""
+    w = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    cases = [(1, w), (2, w.translate(str.maketrans("ab", "ba"))), (3, w.upper())]
+    assert _by_row(jaccard_join.join(spark.createDataFrame(cases, "doc_id long, text string")), cases, "n_shingles", "component_id") == [(1, 1), (1, 2), (1, 1)]
+
+
+def test_overlaps_are_of_words():
+    texts = ["a b c d e f a b c d e", "a b c d e g", "b a", "B A", "a b", "", "x"] + [" ".join(random.Random(i).choices("ab", k=40)) for i in range(3)]
+    for broken in (False, True):
+        v = jaccard_join.Vocabulary()
+        places = [v.places(t) for t in texts]
+        if broken:
+            v.hashes[:] = 0  # all shingles of a text have one hash
+        sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
+        for x, a in zip(places, sets, strict=True):
+            for y, b in zip(places, sets, strict=True):
+                assert jaccard_join.overlap(x, y, v) == (len(a), len(b), len(a & b))
+
+
 def test_jaccard_threshold_is_exact(spark):
     a = [f"w{i}" for i in range(49)]  # 45 shingles
     cases = []
@@ -90,7 +110,7 @@ def test_suffixes(docs, rows, monkeypatch):
     assert sum(x[1] for x in want) > 1000
     kept = _by_row(suffix_dedup.dedup(docs, with_text=True), rows, "kept_bytes", "kept_sha256")
     assert all(brute.sha(bytes(a)) == b for a, b in kept)
-    monkeypatch.setattr(suffix_dedup, "BUCKET", 1)  # all groups are split, down to single strings
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 1)  # all groups are split, down to single places
     monkeypatch.setattr(suffix_dedup, "BLOCK", 512)
     monkeypatch.setattr(suffix_dedup, "SORTED", 3)
     assert _by_row(suffix_dedup.dedup(docs), rows, *cols) == want
@@ -154,17 +174,43 @@ def test_decontamination_without_broadcast(docs, rows, spark, monkeypatch):
     from tunerline.llm import common
 
     items = [(1, "spam spam spam"), (2, "a b c d e")]
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     got = _by_row(decontaminate.judge(docs, spark.createDataFrame(items, "item_id long, text string")), rows, "n_hit")
     assert got == [(w[1],) for w in brute.contamination(rows, items)]
 
 
+def test_decontamination_filter_may_err(docs, rows, spark, monkeypatch):
+    """A Bloom filter that lets every word pass changes nothing."""
+    monkeypatch.setattr(decontaminate, "filter_of", lambda terms: None)
+    items = [(1, "spam spam spam"), (2, "a b c d e")]
+    got = _by_row(decontaminate.judge(docs, spark.createDataFrame(items, "item_id long, text string")), rows, "n_hit")
+    assert got == [(w[1],) for w in brute.contamination(rows, items)]
+
+
+def test_index_is_by_term(spark):
+    d = spark.createDataFrame([(1, "b a B"), (2, "b a B"), (3, None)], "doc_id long, text string")
+    texts, postings = decontaminate.index(d)
+    assert sorted((r["doc_id"], r["n_words"]) for r in texts.df.collect()) == [(1, 3), (2, 3), (3, 0)]
+    assert sorted((r["term"], r["positions"]) for r in postings.df.collect()) == [("a", [1]), ("b", [0, 2])]
+
+
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha x x x x beta"), (3, "beta alpha"), (None, "beta alpha")], "doc_id long, text string")
-    near = decontaminate.proximity_matches(decontaminate.index(d, None), ["alpha", "beta"], 4)
-    assert sorted((r["doc_id"] or 0) for r in near.collect()) == [0, 1, 3]
-    assert decontaminate.proximity_matches(decontaminate.index(d, None), ["gamma"], 4).collect() == []
+    texts = [(1, "alpha x x beta"), (2, "alpha x x x x beta"), (3, "beta alpha"), (None, "x x x beta alpha"), (5, "alpha"), (6, ""), (7, "alpha x beta x x gamma " * 50), (8, "gamma x x x alpha beta")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    docs, postings = decontaminate.index(d)
+    asked = {"two": ["alpha", "beta"], "one": ["alpha"], "none": ["delta"], "three": ["alpha", "beta", "gamma"], "empty": []}
+    queries = spark.createDataFrame(list(asked.items()), "item string, picked array<string>")
+    got = {(r["item"], r["doc_id"]) for r in decontaminate.proximity_matches(postings.df, queries, 4).join(docs.df, "key").collect()}
+    place = lambda w, t: [i for i, x in enumerate(w) if x == t]
+    near = lambda w, q: any(all(any(abs(p - o) < 4 for o in place(w, t)) for t in q[1:]) for p in place(w, q[0])) if q else False
+    assert got == {(k, i) for k, q in asked.items() for i, t in texts if near(t.split(), q)}
+
+
+def test_near_items(spark):
+    d = spark.createDataFrame([(1, "rare words stand here together"), (2, "rare x x x x x words x here"), (3, "common common common"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "rare words stand here"), (2, "unseen common"), (None, "common")], "item_id int, text string")
+    got = sorted((r["n_words"], r["n_hit"], r["n_near_items"]) for r in decontaminate.judge(d, bench, near=5).collect())
+    assert got == [(0, 0, 0), (3, 0, 1), (5, 4, 1), (9, 0, 0)]
 
 
 def test_lines(docs, rows):

@@ -15,9 +15,12 @@ ARROW_BYTES = 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one is made only where the session names none (tests)."""
+    """The shared folder of spark.checkpoint.dir. A local one is made only where the session names none and runs in one
+    process (tests); on a cluster executors would lose what each writes to its own disk, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tunerline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -30,8 +33,42 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column (columns differ by more than case)."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in there:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
+#: The scratch tables of each open Scratch, innermost last.
+_scopes: list[list] = []
+
+
+class Scratch:
+    """Deletes at its end the scratch tables that were made within it, but those that keep() names."""
+
+    def __enter__(self):
+        self.made: list[Settled] = []
+        _scopes.append(self.made)
+        return self
+
+    def keep(self, table: Settled) -> Settled:
+        self.made.remove(table)
+        return table
+
+    def __exit__(self, *_):
+        _scopes.remove(self.made)
+        for x in self.made:
+            x.drop()
+
+
 class Settled:
-    """A table written to the scratch folder: cuts lineage, survives lost executors, knows its size."""
+    """A table written to the scratch folder: cuts lineage, survives lost executors, knows its size. A result that is
+    computed later still reads such tables; whoever has written it can delete them with a Scratch around both."""
 
     def __init__(self, df: DataFrame, name: str, few: bool = False):
         """few: the rows are few for the partitions that they come from; write no more files than the cluster has cores."""
@@ -43,6 +80,8 @@ class Settled:
             df = df.coalesce(max(1, self.spark.sparkContext.defaultParallelism))
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
+        if _scopes:
+            _scopes[-1].append(self)
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -53,9 +92,9 @@ class Settled:
         fs, path = self._fs()
         return fs.getContentSummary(path).getLength()
 
-    def side(self, bound: int = BROADCAST_BYTES) -> DataFrame:
+    def side(self) -> DataFrame:
         """The table as a join's small side: with a broadcast hint if its size allows, else without (shuffle join)."""
-        return F.broadcast(self.df) if self.bytes() <= bound else self.df
+        return F.broadcast(self.df) if self.bytes() <= BROADCAST_BYTES else self.df
 
     def drop(self) -> None:
         """Delete the files; only for tables whose readers have been written already."""
