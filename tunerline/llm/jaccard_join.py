@@ -25,102 +25,140 @@ FREQUENT, PORTION = 100_000, 1 << 21
 BAND = 1.1
 #: Documents of a tile.
 TILE = 4_096
-#: Words whose hashes a worker keeps between texts.
-VOCABULARY = 1 << 18
+#: Bytes whose words are hashed at once; words from LONG bytes on are hashed one by one.
+BLOCK, LONG = 1 << 18, 1_024
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LOW = np.frombuffer(_LOWER, np.uint8)
+_BLANK = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 _ALL = (1 << 64) - 1
-
-
-class Vocabulary(dict):
-    """Word -> its place in hashes, which has two 64-bit hashes of each word; filled as asked for."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes = np.zeros((2, 1 << 12), np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self)
-        if at == self.hashes.shape[1]:
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], 1)
-        x = xxhash.xxh3_128_intdigest(word)
-        self.hashes[:, at] = x & _ALL, x >> 64
-        return at
-
-    def places(self, text: str | None) -> np.ndarray:
-        """The places of a text's words, A-Z lower-cased: equal numbers for equal words, until the vocabulary is emptied."""
-        words = text.encode("utf-8").translate(_LOWER).split() if text else []
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def vocabulary() -> Vocabulary:
-    """The worker's vocabulary, begun anew when it has grown beyond VOCABULARY."""
-    v = worker_state("shingle-words", Vocabulary)
-    if len(v) > VOCABULARY:
-        v.clear()
-    return v
-
-
-def _mixed(hashes: np.ndarray, words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    h = np.full(len(starts), width, np.uint64)
-    for k in range(width):
-        h = (h ^ hashes[words[starts + k]]) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(32)
-    return h
-
-
-def _equal(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, width: int) -> np.ndarray:
-    """Whether the shingles that start at i in x and at j in y have the same words."""
-    k = np.arange(width)
-    return (x[i[:, None] + k] == y[j[:, None] + k]).all(1)
-
-
-def shingles(words: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending 64-bit hashes of a text's distinct shingles, and where they start; of the whole sequence if it has fewer words.
-
-    What is distinct is decided by the words: two shingles of one hash both stay."""
-    width = min(WORDS, len(words))
-    if not width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = _mixed(v.hashes[0], words, np.arange(len(words) - width + 1), width)
-    order = np.argsort(h)
-    h = h[order]
-    same = h[1:] == h[:-1]
-    if same.any():
-        if _equal(words, order[1:][same], words, order[:-1][same], width).all():
-            keep = np.concatenate([[True], ~same])
-        else:
-            seen: set[tuple[int, ...]] = set()
-            keep = np.array([not (t in seen or seen.add(t)) for t in (tuple(words[i : i + width].tolist()) for i in order.tolist())])
-        h, order = h[keep], order[keep]
-    return h, order
-
-
-def digest(h: np.ndarray, starts: np.ndarray, words: np.ndarray, v: Vocabulary) -> bytes:
-    """128 bits that stand for a set, from 128 bits of each shingle."""
-    g = _mixed(v.hashes[1], words, starts, min(WORDS, len(words)))
-    order = np.lexsort((g, h)) if (h[1:] == h[:-1]).any() else slice(None)
-    return xxhash.xxh3_128_digest(h[order].tobytes() + g[order].tobytes())
-
-
-def _node(d: bytes) -> int:
-    return int.from_bytes(d[:8], "big", signed=True)
-
-
-def overlap(x: np.ndarray, y: np.ndarray, v: Vocabulary) -> tuple[int, int, int]:
-    """Shingles of the texts with words x and y, and how many both have: hashes are intersected, then compared word by word."""
-    width = min(WORDS, len(x))
-    (hx, sx), (hy, sy) = shingles(x, v), shingles(y, v)
-    if width != min(WORDS, len(y)) or not width:
-        return len(hx), len(hy), 0
+#: Two sets of random odd factors for the bytes of a word by their place, and for the words of a shingle by theirs.
+_BYTES = np.random.default_rng(41).integers(0, 1 << 63, (2, LONG), np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = np.random.default_rng(43).integers(0, 1 << 63, (2, WORDS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(2, n) hashes of words: sums of bytes times the factor of their place in the word."""
+    out, i = np.zeros((2, len(starts)), np.uint64), 0
+    while i < len(starts):
+        lo = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, lo + BLOCK, "right")))
+        if j > i + 1 or ends[i] - lo < LONG:
+            part = low[lo : ends[j - 1]]
+            value = part.astype(np.uint64) + np.uint64(1)
+            value[_BLANK[part]] = 0
+            s = starts[i:j] - lo
+            at = np.arange(len(part)) - np.repeat(s, np.diff(np.append(s, len(part))))
+            np.minimum(at, LONG - 1, out=at)
+            for k in range(2):
+                out[k, i:j] = np.add.reduceat(value * _BYTES[k][at], s)
+        i = j
+    for i in np.flatnonzero(ends - starts >= LONG).tolist():
+        x = xxhash.xxh3_128_intdigest(low[starts[i] : ends[i]].tobytes())
+        out[:, i] = x & _ALL, x >> 64
+    return _mix(out)
+
+
+class Words:
+    """The words of some texts that lie side by side in low (lower-cased bytes), with two hashes of each shingle."""
+
+    def __init__(self, low: np.ndarray, bounds: np.ndarray):
+        """bounds: where each text starts, and the end of the last."""
+        self.low = low
+        blank, edge = _BLANK[low], np.zeros(len(low) + 1, bool)
+        edge[bounds] = True
+        first, last = ~blank, ~blank
+        first[1:] &= blank[:-1] | edge[1:-1]
+        last[:-1] &= blank[1:] | edge[1:-1]
+        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.hashes = _word_hashes(low, self.starts, self.ends)
+        self.at = np.searchsorted(self.starts, bounds)
+        self.shingles = self._combined(0, len(self.starts), WORDS)
+
+    def _combined(self, a: int, b: int, width: int) -> np.ndarray:
+        out = np.full((2, max(0, b - a - width + 1)), width, np.uint64)
+        for k in range(width if out.size else 0):
+            out += self.hashes[:, a + k : b - width + 1 + k] * _PLACES[:, k : k + 1]
+        return _mix(out)
+
+    def width(self, text: int) -> int:
+        """Words of the text's shingles: WORDS, or all that it has if these are fewer."""
+        return min(WORDS, int(self.at[text + 1] - self.at[text]))
+
+    def raw(self, text: int) -> np.ndarray:
+        """(2, n) hashes of the text's shingles in their order."""
+        a, b = self.at[text], self.at[text + 1]
+        return self.shingles[:, a : b - WORDS + 1] if b - a >= WORDS else self._combined(a, b, b - a) if b > a else self.shingles[:, :0]
+
+    def words(self, text: int, numbers: dict[bytes, int]) -> np.ndarray:
+        """The words of a shingle of each place, as numbers that are equal for equal words."""
+        a, b = self.at[text], self.at[text + 1]
+        words = self.low[self.starts[a] : self.ends[b - 1]].tobytes().split()
+        ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+        return np.lib.stride_tricks.sliding_window_view(ids, self.width(text))
+
+    def distinct(self, text: int) -> np.ndarray:
+        """Where the distinct shingles start (the first of equal ones), by their first hash. What is distinct is decided by the words: two shingles of one hash both stay."""
+        h = self.raw(text)[0]
+        order = np.argsort(h, kind="stable")
+        same = h[order[1:]] == h[order[:-1]]
+        if not same.any():
+            return order
+        words = self.words(text, {})
+        if (words[order[1:][same]] == words[order[:-1][same]]).all():
+            return order[np.concatenate([[True], ~same])]
+        seen: set[bytes] = set()
+        return order[np.array([not (t in seen or seen.add(t)) for t in (words[i].tobytes() for i in order.tolist())])]
+
+    def set(self, text: int) -> tuple[np.ndarray, bytes]:
+        """Ascending 64-bit hashes, one for each distinct shingle of a text, and 128 bits that stand for the set, made of 128 bits of each shingle."""
+        h, g = self.raw(text)
+        s = np.sort(h)
+        if (s[1:] == s[:-1]).any():
+            at = self.distinct(text)
+            s, g = h[at], g[at]
+        return s, xxhash.xxh3_128_digest(s.tobytes() + g.sum(dtype=np.uint64).tobytes())
+
+
+def shingled(column: pa.Array):
+    """Of each text of an Arrow column the distinct shingles' hashes and the 128 bits of the set (Words.set); null texts have none."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK, "right")) - 1)
+        w = Words(_LOW[data[ends[i] : ends[j]]], ends[i : j + 1] - ends[i])
+        for k in range(j - i):
+            yield w.set(k)
+        i = j
+
+
+def overlap(one: bytes, other: bytes) -> tuple[int, int, int]:
+    """Shingles of two texts, and how many both have: sorted arrays of hashes are intersected, then the words are compared."""
+    w = Words(_LOW[np.frombuffer(one + other, np.uint8)], np.array([0, len(one), len(one) + len(other)]))
+    (a, b), (hx, hy) = (w.distinct(0), w.distinct(1)), (w.raw(0)[0], w.raw(1)[0])
+    if w.width(0) != w.width(1) or not w.width(0):
+        return len(a), len(b), 0
+    hx, hy = hx[a], hy[b]
     plain = not ((hx[1:] == hx[:-1]).any() or (hy[1:] == hy[:-1]).any())
+    numbers: dict[bytes, int] = {}
+    x, y = w.words(0, numbers), w.words(1, numbers)
     if plain:
         _, i, j = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
-        plain = _equal(x, sx[i], y, sy[j], width).all()
-        both = len(i)
+        plain, both = bool((x[a[i]] == y[b[j]]).all()), len(i)
     if not plain:  # a hash stands for two shingles
-        a, b = ({tuple(w[k : k + width].tolist()) for k in s.tolist()} for w, s in ((x, sx), (y, sy)))
-        both = len(a & b)
-    return len(hx), len(hy), both
+        both = len({x[p].tobytes() for p in a.tolist()} & {y[q].tobytes() for q in b.tolist()})
+    return len(a), len(b), both
+
+
+def _node(d: bytes) -> int:
+    return int.from_bytes(d[:8], "big", signed=True)
 
 
 def bitmap(hashes: np.ndarray, size: int = BITS) -> bytes:
@@ -145,14 +183,11 @@ def sets(docs: DataFrame) -> DataFrame:
         return [{"h": a, "n": b} for a, b in zip(h[keep].view(np.int64).tolist(), n[keep].tolist(), strict=True)]
 
     def run(batches):
+        worker_state("")
         portion, held = [], 0
         for b in batches:
             n, node, check, bits, frequent = [], [], [], [], []
-            for text in b.column("text"):
-                v = vocabulary()
-                words = v.places(text.as_py())
-                h, starts = shingles(words, v)
-                x = digest(h, starts, words, v)
+            for h, x in shingled(b.column("text")):
                 n.append(len(h))
                 node.append(_node(x))
                 check.append(int.from_bytes(x[8:], "big", signed=True))
@@ -201,20 +236,15 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, renamed: dict[tuple[int, int
     shared = docs.sparkSession.sparkContext.broadcast((frequent, renamed))
 
     def run(batches):
+        worker_state("")
         order, other = shared.value  # most frequent first
         by_hash = np.argsort(order, kind="stable")
         known = order[by_hash]
         seen: set[bytes] = set()
         for b in batches:
             hs, nodes, ns = [], [], []
-            for text in b.column("text"):
-                v = vocabulary()
-                words = v.places(text.as_py())
-                h, starts = shingles(words, v)
-                if not len(h):
-                    continue
-                x = digest(h, starts, words, v)
-                if x in seen:
+            for h, x in shingled(b.column("text")):
+                if not len(h) or x in seen:
                     continue
                 if len(seen) < 200_000:
                     seen.add(x)
@@ -369,11 +399,9 @@ def _made(docs: DataFrame, nodes: DataFrame, what: str, make) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             node, n, made = [], [], []
-            for k, t in zip(b.column("node").to_pylist(), b.column("text"), strict=True):
+            for k, t, (h, _) in zip(b.column("node").to_pylist(), b.column("text"), shingled(b.column("text")), strict=True):
                 if k not in seen:  # else a repeated row
                     seen.add(k)
-                    v, t = vocabulary(), t.as_py()
-                    h = shingles(v.places(t), v)[0]
                     node.append(k)
                     n.append(len(h))
                     made.append(make(t, h))
@@ -400,19 +428,14 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> Settled:
     for x in (nodes, bits, pairs):
         x.drop()
     nodes = named(close)
-    texts = Settled(_made(docs, nodes.side(), "text", lambda t, h: t.encode("utf-8")), "pair-texts")
+    texts = Settled(_made(docs, nodes.side(), "text", lambda t, h: t.as_py().encode("utf-8")), "pair-texts")
     nodes.drop()
 
     def run(batches):
-        last, words = None, None
         for b in batches:
             ok = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = x.as_py(), y.as_py()
-                v = vocabulary()
-                if x != last or not len(v):  # an emptied vocabulary gives other places
-                    last, words = x, v.places(x.decode("utf-8"))
-                nx, ny, both = overlap(words, v.places(y.decode("utf-8")), v)
+                nx, ny, both = overlap(x.as_py(), y.as_py())
                 ok.append(DEN * both >= NUM * (nx + ny - both))
             yield pa.RecordBatch.from_pydict({c: b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")})
 
