@@ -85,11 +85,11 @@ def base_rules(text):
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n
 
 
-def likelihood(rows, trusted, ending, buckets, prior, scale, threshold, bucket):
-    """[kept] by row, with bucket(list of endings) -> list of n-gram buckets for a text."""
+def likelihood(rows, trusted, buckets, prior, scale, threshold, bucket):
+    """[kept] by row, with bucket(list of words) -> list of n-gram buckets for a text."""
     import math
 
-    grams = [bucket([w[-ending:] for w in BLANK.findall(t or "")]) for _, t in rows]
+    grams = [bucket(BLANK.findall(t or "")) for _, t in rows]
     raw, target = [1] * buckets, [0] * buckets
     for (k, _), g in zip(rows, grams, strict=True):
         for x in g:
@@ -114,3 +114,45 @@ def lines(rows, chunks, least):
                 seen.add("\n".join(part))
         out.append("\n".join(v for i, v in enumerate(x) if i not in gone) if gone else text)
     return out
+
+
+def line_chunks(lines, rolled, zero_bits, least):
+    """(first line, number of lines): a chunk ends after a line if the xor of the last lines' hashes, each turned left by
+    its distance, has its low bits at zero; then the stretches from a line that isn't blank to the least-th such line."""
+    import xxhash
+
+    h = [xxhash.xxh3_64_intdigest(x.encode()) for x in lines]
+    turn = lambda x, k: ((x << k) | (x >> (64 - k))) % 2**64
+    out, first = [], 0
+    for i in range(len(lines)):
+        value = 0
+        for k in range(min(rolled, i + 1)):
+            value ^= turn(h[i - k], k)
+        if value % 2**zero_bits == 0 or i == len(lines) - 1:
+            out.append((first, i + 1 - first))
+            first = i + 1
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    return sorted({*out, *((full[k], full[k + least - 1] + 1 - full[k]) for k in range(len(full) - least + 1))})
+
+
+def byte_ngrams(data, gram):
+    """The n-grams of 1 to gram bytes, and of marks of a word said again at once."""
+    words = data.split()
+    again = [int(a == b) for a, b in zip(words, words[1:])]
+    return {("b", tuple(data[i : i + n])) for n in range(1, gram + 1) for i in range(len(data) - n + 1)} | {("w", tuple(again[i : i + n])) for n in range(1, gram + 1) for i in range(len(again) - n + 1)}
+
+
+def convolve(net, text, length, widths):
+    """Probabilities of a text by plain loops over windows, places and filters."""
+    import numpy as np
+
+    p, total, n = net.params, 0.0, max(1, -(-len(text) // length))
+    data = text + bytes(n * length + 3 - len(text))
+    for k in range(n):
+        x = p["E"][list(data[k * length : k * length + length + 3])].astype(float)
+        tops = [max(sum(float(x[t + j] @ p[f"W{w}"][j][:, f]) for j in range(w)) for t in range(length)) for w in widths for f in range(p[f"W{w}"].shape[2])]
+        logits = np.maximum(np.array(tops) + p["b"], 0) @ p["V"] + p["c"]
+        logits = logits - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+        total = total + min(length, len(text) - k * length) * logits
+    out = np.exp((total - total.max()) / max(1, len(text)))
+    return out / out.sum()

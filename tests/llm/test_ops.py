@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,24 +64,36 @@ def test_jaccard(docs, rows, monkeypatch):
     assert jaccard_join.join(docs.limit(0)).collect() == []
 
 
-def test_jaccard_of_words_that_collide(spark):
+@pytest.mark.parametrize("short", [True, False])
+def test_jaccard_of_words_that_collide(spark, short):
     """A Thue-Morse word and its complement have one polynomial hash modulo 2**64, whatever its base."""
     w = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    w = w[:1000] if short else w  # words of one kind are hashed together, long ones one by one
     cases = [(1, w), (2, w.translate(str.maketrans("ab", "ba"))), (3, w.upper())]
     assert _by_row(jaccard_join.join(spark.createDataFrame(cases, "doc_id long, text string")), cases, "n_shingles", "component_id") == [(1, 1), (1, 2), (1, 1)]
 
 
-def test_overlaps_are_of_words():
-    texts = ["a b c d e f a b c d e", "a b c d e g", "b a", "B A", "a b", "", "x"] + [" ".join(random.Random(i).choices("ab", k=40)) for i in range(3)]
+def test_overlaps_are_of_words(monkeypatch):
+    texts = ["a b c d e f a b c d e", "a b c d e g", "b a", "B A", " a\tb\n", "", "x", "x" * 3000 + " y", "a b c d é", "A b  c d é"] + [" ".join(random.Random(i).choices("ab", k=40)) for i in range(3)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (brute.BLANK.findall(t.translate(brute.LOWER)) for t in texts)]
     for broken in (False, True):
-        v = jaccard_join.Vocabulary()
-        places = [v.places(t) for t in texts]
-        if broken:
-            v.hashes[:] = 0  # all shingles of a text have one hash
-        sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
-        for x, a in zip(places, sets, strict=True):
-            for y, b in zip(places, sets, strict=True):
-                assert jaccard_join.overlap(x, y, v) == (len(a), len(b), len(a & b))
+        if broken:  # all shingles of a text have one hash
+            monkeypatch.setattr(jaccard_join, "_PLACES", np.zeros_like(jaccard_join._PLACES))
+        for x, a in zip(texts, sets, strict=True):
+            for y, b in zip(texts, sets, strict=True):
+                assert jaccard_join.overlap(x.encode(), y.encode()) == (len(a), len(b), len(a & b))
+        column = pa.array([None, *texts, None])
+        for part in (column, column.slice(3, 5)):
+            got = [len(h) for h, _ in jaccard_join.shingled(part)]
+            assert got == [len(sets[texts.index(t)]) if t is not None else 0 for t in part.to_pylist()]
+
+
+def test_shingles_by_blocks(monkeypatch):
+    column = pa.array([" ".join(random.Random(i).choices(["one", "two", "é", "four" * 300], k=30 * i)) for i in range(6)])
+    want = [x for _, x in jaccard_join.shingled(column)]
+    for block in (1, 50, 3000):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        assert [x for _, x in jaccard_join.shingled(column)] == want and len(set(want)) == 6
 
 
 def test_jaccard_threshold_is_exact(spark):
@@ -214,7 +227,9 @@ def test_near_items(spark):
 
 
 def test_lines(docs, rows):
-    want = brute.lines(sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)), line_dedup.chunks, line_dedup.LEAST_LINES)
+    chunks = lambda x: brute.line_chunks(x, line_dedup.ROLLED, line_dedup.ZERO_BITS, line_dedup.LEAST_LINES)
+    assert all(sorted(line_dedup.chunks(x)) == chunks(x) for _, t in rows for x in [(t or "").split("\n")])
+    want = brute.lines(sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)), chunks, line_dedup.LEAST_LINES)
     by_id = dict(zip([k for k, _ in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))], want, strict=True))
     out = line_dedup.dedup(docs)
     assert _by_row(out, rows, "text") == [(by_id[k],) for k, _ in rows]
@@ -223,6 +238,34 @@ def test_lines(docs, rows):
     assert line_dedup.dedup(docs.limit(0)).collect() == []
 
 
+def test_lines_with_clashing_columns(spark):
+    names = ["__d", "__h", "__drop", "__text_hash", "__N_LINES", "k1", "first", "bytes", "at"]
+    text = "one line\ntwo lines\nthree lines"
+    d = spark.createDataFrame([(i, text, *range(len(names))) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = line_dedup.dedup(d, ("a", "b", "c")).orderBy("doc_id").collect()
+    assert [(r["text"], r["a"], r["b"]) for r in out] == [(text, 3, 0), ("", 3, 3), ("", 3, 3)]
+    assert all([r[n] for n in names] == list(range(len(names))) for r in out)
+
+
+def test_recall_of_line_dedup(spark):
+    """Of the lines in runs of two or more lines that came before, as plain neighbours tell them, nearly all go."""
+    rng = random.Random(12)
+    pool = [f"pool line {i}" for i in range(300)]
+    rows = []
+    for k in range(120):
+        i, n = rng.randrange(290), rng.choice([1, 2, 2, 3, 5, 8])
+        rows.append((k, "\n".join([f"own {k} {j}" for j in range(rng.randrange(4))] + pool[i : i + n] + [f"end {k} {j}" for j in range(rng.randrange(4))])))
+    seen, want, total = set(), {}, 0
+    for k, t in rows:
+        x = t.split("\n")
+        want[k] = {j for i in range(len(x) - 1) if (x[i], x[i + 1]) in seen for j in (i, i + 1)}
+        seen |= set(zip(x, x[1:]))
+        total += len(want[k])
+    got = {r["doc_id"]: set(r["text"].split("\n")) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = sum(t.split("\n")[i] not in got[k] for k, t in rows for i in want[k])
+    assert total > 100 and gone >= 0.99 * total
+
+
 def test_chunks_resist_shifts():
     lines = [f"line {i} {i * 7919 % 13}" for i in range(200)]
     cut = lambda x: {"\n".join(x[a : a + n]) for a, n in line_dedup.chunks(x)}
@@ -256,14 +299,14 @@ def test_quality_rules(spark, docs, rows):
     got = _by_row(quality_rules.judge(docs, docs.where("doc_id % 2 = 0").select("doc_id")), rows, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     assert [g[:6] for g in got] == [brute.base_rules(t) for _, t in rows]
     pairs = lambda e: list(zip(e, e[1:], strict=False))
-    ends = {w[-quality_rules.ENDING :] for _, t in rows for w in brute.BLANK.findall(t or "")}
+    ends = {w for _, t in rows for w in brute.BLANK.findall(t or "")}
     h = {r["e"]: r["h"] for r in spark.createDataFrame([(e,) for e in ends], "e string").select("e", F.xxhash64("e").alias("h")).collect()}
-    two = {p for _, t in rows for p in pairs([h[w[-quality_rules.ENDING :]] for w in brute.BLANK.findall(t or "")])}
+    two = {p for _, t in rows for p in pairs([h[w] for w in brute.BLANK.findall(t or "")])}
     b = {(r["a"], r["b"]): r["x"] for r in spark.createDataFrame(list(two), "a long, b long").select("a", "b", F.pmod(F.xxhash64("a", "b"), F.lit(quality_rules.BUCKETS)).alias("x")).collect()}
     bucket = lambda e: [h[x] % quality_rules.BUCKETS for x in e] + [b[p] for p in pairs([h[x] for x in e])]
     trusted = {k for k, _ in rows if k is not None and k % 2 == 0}
     q = quality_rules
-    assert [g[6] for g in got] == brute.likelihood(rows, trusted, q.ENDING, q.BUCKETS, q.PRIOR, q.SCALE, q.THRESHOLD, bucket)
+    assert [g[6] for g in got] == brute.likelihood(rows, trusted, q.BUCKETS, q.PRIOR, q.SCALE, q.THRESHOLD, bucket)
     none = quality_rules.judge(docs, docs.limit(0).select("doc_id")).where("not base_failed and not kept")
     assert none.isEmpty() and quality_rules.judge(docs.limit(0), docs.select("doc_id")).collect() == []
 
@@ -279,6 +322,9 @@ def test_bpe(docs, rows):
     assert got == [(len(i), brute.sha(" ".join(map(str, i))), brute.sha(t or ""), " ".join(map(str, i))) for i, (_, t) in zip(ids, rows, strict=True)]
     assert _by_row(bpe.decode(out, ranks), rows, "text") == [(t or "",) for _, t in rows]
     assert bpe.encode(docs.limit(0), ranks, public_tokenizers.PATTERN).collect() == []
+    assert bpe.decode(out.limit(0), ranks).collect() == []
+    broken = {k: v + 1 if v > 300 else v for k, v in ranks.items()} | {b" qzx": 301}  # other ids, which decode alike
+    assert _by_row(bpe.encode(docs, broken, public_tokenizers.PATTERN), rows, "decoded_sha256") == [(brute.sha(t or ""),) for _, t in rows]
 
 
 def test_merges_of_long_pieces():
@@ -302,6 +348,28 @@ def test_token_counts(docs, rows):
     lib.pre_tokenizer = pre_tokenizers.Metaspace(split=True, prepend_scheme="always")
     got = _by_row(tokens.count(docs, tokens.load_pieces(path)), rows, "n_tokens")
     assert got == [(len(lib.encode(t or "", add_special_tokens=False).ids),) for _, t in rows]
+    assert tokens.count(docs.limit(0), tokens.load_pieces(path)).collect() == []
+
+
+def test_scores_of_segmentations(spark):
+    """n_tokens and score against all segmentations of short texts."""
+    pieces = [("▁", -1.0), ("▁a", -2.5), ("a", -1.5), ("ab", -2.0), ("b", -3.0), ("ba", -2.25), ("▁ab", -2.75)]
+    score = dict(pieces)
+
+    def best(word):
+        every = [(0.0, 0)] if not word else []
+        for n in range(1, len(word) + 1):
+            if word[:n] in score:
+                every += [(score[word[:n]] + s, k + 1) for s, k in best(word[n:])]
+        return every
+
+    texts = ["", "a", "ab", "aba b", "abab baba", "b  a"]
+    out = {r["doc_id"]: r for r in tokens.count(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), pieces).collect()}
+    for i, t in enumerate(texts):
+        found = [best("▁" + w) for w in t.split(" ")] if t else []
+        counts = [{k for v, k in x if v == max(x)[0]} for x in found]
+        assert abs(out[i]["score"] - sum(max(x)[0] for x in found)) < 1e-9
+        assert sum(map(min, counts)) <= out[i]["n_tokens"] <= sum(map(max, counts))
 
 
 def test_token_count_ties():
@@ -326,6 +394,97 @@ def test_language_id(spark):
     assert langid.identify(d.limit(0)).collect() == []
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than the sample has places for: one document of each is kept."""
+    monkeypatch.setattr(langid, "SAMPLES", 40)
+    monkeypatch.setattr(langid, "EPOCHS", 1)
+    d = spark.createDataFrame([(i, f"text {i % 70} " * 9, f"l{i % 70:02d}", 1, "x") for i in range(700)], "doc_id long, text string, lang string, count int, rank string")
+    assert langid.fit(d).languages == [f"l{i:02d}" for i in range(70)]
+    assert langid.sample(d).count() == 70
+
+
+def test_predictions_against_a_plain_convolution():
+    rng = random.Random(2)
+    net = langid.Net(["a", "b", "c"])
+    net.params["b"] += 0.1
+    net.params["c"] += np.array([0.1, -0.2, 0.3], np.float32)
+    net.tables()
+    for n in (1, 3, langid.LENGTH, langid.LENGTH + 1, 3 * langid.LENGTH + 7):
+        text = bytes(rng.randrange(256) for _ in range(n))
+        assert np.allclose(net.predict(text), brute.convolve(net, text, langid.LENGTH, langid.WIDTHS), atol=1e-4)
+
+
+def test_gradients():
+    """Against differences of the loss in some parameters of each kind."""
+    net, rng = langid.Net(["a", "b"]), np.random.default_rng(0)
+    net.params = {k: v.astype(np.float64) for k, v in net.params.items()}
+    x = rng.integers(0, 256, (5, langid.LENGTH + 3)).astype(np.uint8)
+    y = np.array([0, 1, 1, 0, 1])
+
+    def loss():
+        p, out = net.params, 0.0
+        for row, label in zip(x, y, strict=True):
+            top = np.concatenate([sum((p["E"] @ p[f"W{w}"][k])[row[k : k + langid.LENGTH]] for k in range(w)).max(0) for w in langid.WIDTHS])
+            z = np.maximum(top + p["b"], 0) @ p["V"] + p["c"]
+            out += np.log(np.exp(z - z.max()).sum()) + z.max() - z[label]
+        return out / len(y)
+
+    g = net._step(x, y)
+    for name, at in (("V", (3, 1)), ("c", (0,)), ("b", (20,)), ("W3", (1, 2, 5)), ("E", (int(x[0, 0]), 4))):
+        old = net.params[name][at]
+        net.params[name][at] = old + 1e-5
+        up = loss()
+        net.params[name][at] = old - 1e-5
+        down = loss()
+        net.params[name][at] = old
+        assert abs((up - down) / 2e-5 - g[name][at]) < 1e-4, name
+
+
+def test_indicators_against_plain_ngrams(monkeypatch):
+    monkeypatch.setattr(quality_model, "FEATURES", 1 << 17)
+    seen = np.zeros(quality_model.FEATURES, bool)
+    rng = random.Random(3)
+    for text in (b"", b"a", b"the the the cat", "é ß é é".encode(), bytes(rng.randrange(97, 100) for _ in range(200)), b"x y " * 100_000):
+        want = set()
+        for kind, g in brute.byte_ngrams(text, quality_model.GRAM):
+            key = 0
+            for v in g:
+                key = (key << (8 if kind == "b" else 1)) | v
+            key += (len(g) << 40) + (kind == "w") * (1 << 44)
+            want.add(key * 0x9E3779B97F4A7C15 % 2**64 >> 47)
+        assert quality_model.features(text, seen).tolist() == sorted(want) and not seen.any()
+
+
+def test_descent_against_a_plain_solver():
+    """The dual of the hinge loss by projected gradients over all variables at once."""
+    rng = np.random.default_rng(1)
+    n, m = 40, 12
+    dense = np.where(rng.random((n, m)) < 0.4, rng.normal(size=(n, m)), 0.0)
+    labels = (dense[:, 0] + 0.3 * rng.normal(size=n) > 0).astype(int)
+    rows = [np.flatnonzero(r) for r in dense]
+    y = 2.0 * labels - 1
+    w, b = quality_model.Model._descend(rows, [r[i] for r, i in zip(dense, rows, strict=True)], y, np.arange(n))
+    x = np.concatenate([dense, np.ones((n, 1))], 1) * y[:, None]
+    limit = np.where(y > 0, n / (2 * (y > 0).sum()), n / (2 * (y < 0).sum())) * quality_model.PENALTY
+    gram, alpha = x @ x.T, np.zeros(n)
+    for _ in range(60_000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, limit)
+    plain = x.T @ alpha
+    objective = lambda v: 0.5 * v @ v + (limit * np.maximum(0, 1 - x @ v)).sum()
+    assert objective(np.append(w[:m], b)) <= objective(plain) * 1.01
+
+
+def test_models_with_clashing_columns_and_long_texts(spark):
+    names = ["h", "rank", "quality", "count", "row", "held_out", "score", "lang_pred", "predicted"]
+    rows = [(i, ("good words here " if i % 2 else "BAD!! ") * (200_000 if i == 3 else 9), ["en", "fr"][i % 2], *["x"] * len(names)) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(i, i % 2, "x", "y") for i in range(60)], "doc_id long, quality int, h string, text string")
+    got = {r["doc_id"]: r for r in quality_model.judge(d, labels).collect()}
+    assert all(got[i]["predicted"] == i % 2 for i in range(60)) and sorted(got[3].asDict()) == ["doc_id", "held_out", "predicted", "score"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(d).collect()}
+    assert all(got[i] == ["en", "fr"][i % 2] for i in range(60))
+
+
 def test_quality_model(spark):
     rng = random.Random(4)
     good = lambda: " ".join(rng.choice(["river", "stone", "quiet", "morning"]) for _ in range(40))
@@ -356,6 +515,22 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), listed).collect() == []
 
 
+def test_large_list(spark):
+    """100,000 listed hosts and pages; the filter lets few of the others pass, and none of those is blocked."""
+    listed = spark.range(100_000).selectExpr("if(id % 2 = 0, concat('host', id, '.example.com/'), concat('pages.example.org/p', id)) as url")
+    pages = spark.range(60_000).selectExpr("id as page_id", "case id % 4 when 0 then concat('http://WWW.host', id, '.example.com/en') when 1 then concat('http://pages.example.org/p', id, '/index.html?x') when 2 then concat('http://x.host', id, '.example.com') else concat('http://other', id, '.example.org/p', id) end as url")
+    got = urls.judge(pages, listed, []).groupBy(F.col("page_id") % 4).pivot("verdict").count().collect()
+    assert sorted((r[0], r["block"] or 0, r["allow"] or 0) for r in got) == [(0, 15_000, 0), (1, 15_000, 0), (2, 15_000, 0), (3, 0, 15_000)]
+    bloom = urls.BlockedBloom(listed.select(F.xxhash64("url").alias("key")), 100_000)
+    other = spark.range(50_000).select(F.xxhash64(F.concat(F.lit("o"), "id")).alias("key")).toPandas()["key"].to_numpy()
+    assert bloom.may_hold(other).mean() < 0.02
+
+
+def test_list_from_a_file(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("# hosts\nSPAM.example.com\n\nhttp://www.a.example.org/x/index.html\n")
+    assert sorted(r["url"] for r in urls.read_list(spark, str(tmp_path / "list.txt")).collect()) == ["a.example.org/x", "spam.example.com/"]
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
     bloom = urls.BlockedBloom(keys, 5000)

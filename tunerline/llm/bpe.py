@@ -96,21 +96,16 @@ def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Seen(dict):
-    """Pre-token -> its ids as text, filled as asked for. Its ids are decoded at once; odd has what doesn't decode to the pre-token."""
+    """Pre-token -> its ids as text, filled as asked for; tokens: the bytes of an id, given as text."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.ranks, self.tokens = ranks, {v: k for k, v in ranks.items()}
-        self.odd: dict[str, str] = {}
+        self.ranks, self.tokens = ranks, {str(v): k for k, v in ranks.items()}
         self.find = regex.compile(pattern).findall
 
     def __missing__(self, text: str):
         data = text.encode("utf-8")
-        ids = merge(data, self.ranks)
-        decoded = b"".join([self.tokens[i] for i in ids]).decode("utf-8")
-        if decoded != text:
-            self.odd[text] = decoded
-        made = " ".join(map(str, ids))
+        made = " ".join(map(str, merge(data, self.ranks)))
         if len(data) <= CACHED_BYTES:
             self[text] = made
         return made
@@ -136,18 +131,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: boo
 
     def run(batches):
         seen = worker_state(key, lambda: _Seen(*shared.value))
-        sha, find = hashlib.sha256, seen.find
+        sha, find, token = hashlib.sha256, seen.find, seen.tokens.__getitem__
         for b in batches:
             n, ids_sha, text_sha, ids = [], [], [], []
             for text in b.column("text"):
-                found = find(text.as_py() or "")
-                listed = " ".join([seen[t] for t in found])
-                decoded = "".join([seen.odd.get(t, t) for t in found] if seen.odd else found)
-                n.append(listed.count(" ") + bool(listed))
+                listed = " ".join([seen[t] for t in find(text.as_py() or "")])
+                each = listed.split()
+                n.append(len(each))
                 ids_sha.append(sha(listed.encode()).hexdigest())
-                text_sha.append(sha(decoded.encode("utf-8")).hexdigest())
+                text_sha.append(sha(b"".join(map(token, each))).hexdigest())  # decoded from the ids
                 if with_ids:
-                    ids.append(pa.array(list(map(int, listed.split())), pa.int32()))
+                    ids.append(pa.array(list(map(int, each)), pa.int32()))
                 if len(seen) > CACHE:
                     seen.clear()
             cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}

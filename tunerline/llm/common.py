@@ -104,9 +104,9 @@ class Settled:
 
 def thinned(rows: DataFrame, by: str, counts: DataFrame, keep: int, h: str) -> DataFrame:
     """rows with enough of each value of by left to choose keep from: those whose hash h is in the first 4 * keep / count
-    part of its range. counts: by, count, a bounded number of rows. Windows over the result then sort few rows, however large the input."""
+    part of its range. counts: by, count. Windows over the result then sort few rows, however large the input."""
     part = F.pmod(F.col(h), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    return rows.join(F.broadcast(counts), by).where(part * F.col("count") < 4 * keep).drop("count")
+    return rows.join(counts, by).where(part * F.col("count") < 4 * keep).drop("count")
 
 
 def bucket4(col: str = "doc_id"):

@@ -8,14 +8,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunerline.llm.common import bucket4, lean, thinned
+from tunerline.llm.common import Settled, bucket4, lean, thinned
 
 #: Bytes of a window; the last one of a text is filled up with zeros.
 LENGTH = 256
 #: Filter widths, filters of each, and numbers that stand for a byte.
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 16, 8
-#: Training sample: so many documents of each language, by a hash of their ids, and so many languages at most (those with the most documents); so many windows of each document.
-SAMPLE, LANGUAGES, WINDOWS = 400, 64, 4
+#: Training sample: so many documents of each language, by a hash of their ids, and of all languages together (at least one of each: all that are labelled are learned); so many windows of each document.
+SAMPLE, SAMPLES, WINDOWS = 400, 25_600, 4
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -114,13 +114,14 @@ class Net:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """lang, text: the training sample, at most SAMPLE * LANGUAGES documents that aren't held out."""
+    """lang, text: the training sample, at most SAMPLES documents that aren't held out, or one of each language."""
     own = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).where(F.col("lang").isNotNull() & F.coalesce(bucket4() != 2, F.lit(True)) & F.col("text").isNotNull())
-    langs = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    own = thinned(own, "lang", langs, SAMPLE, "h")
+    langs = Settled(own.groupBy("lang").count(), "languages", few=True)
+    keep = max(1, min(SAMPLE, SAMPLES // max(1, langs.df.count())))
+    own = thinned(own, "lang", langs.side(), keep, "h")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = own.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id", "lang").distinct()
-    return docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    ids = own.withColumn("rank", rank).where(F.col("rank") <= keep).select("doc_id", "lang").distinct()
+    return docs.select("doc_id", "lang", "text").where("text is not null").join(Settled(ids, "sample-ids", few=True).side(), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
 
 def fit(docs: DataFrame) -> Net:
@@ -138,7 +139,7 @@ def fit(docs: DataFrame) -> Net:
                 data.append(windows(text.upper().encode("utf-8"))[0].tobytes())
             yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "bytes": pa.array(data, pa.binary())})
 
-    rows = sorted((r["lang"], bytes(r["bytes"])) for r in sample(docs).mapInArrow(cut, "lang string, bytes binary").collect())  # at most SAMPLE * LANGUAGES * (WINDOWS + 1) windows
+    rows = sorted((r["lang"], bytes(r["bytes"])) for r in sample(docs).mapInArrow(cut, "lang string, bytes binary").collect())  # SAMPLES * (WINDOWS + 1) windows at most
     net = Net(sorted({r[0] for r in rows}))
     if rows:
         x = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), LENGTH + 3)

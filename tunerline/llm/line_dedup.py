@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunerline.llm.common import Settled, worker_state
+from tunerline.llm.common import Settled, unused, worker_state
 
 #: A chunk ends after a line whose rolling hash, over so many lines, has this many low bits at zero (4 lines on average).
 ROLLED, ZERO_BITS = 2, 2
@@ -100,8 +100,8 @@ def _bytes_of(docs: DataFrame, places: DataFrame) -> DataFrame:
     return _same_row(rows, places, "inner").select("text", "at").mapInArrow(run, "k1 long, k2 long, bytes binary").dropDuplicates(["k1", "k2"])
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """All rows and columns of docs, text without the chunks that came before, and __n_lines, __n_removed, __n_chunks.
+def dedup(docs: DataFrame, counts: tuple[str, str, str] = ("__n_lines", "__n_removed", "__n_chunks")) -> DataFrame:
+    """All rows and columns of docs, text without the chunks that came before, and counts: lines, removed lines, removed chunks.
 
     A chunk of LEAST_LINES lines or more whose bytes are those of an earlier chunk, in the order of doc_id (null first),
     the hash of the text, and the line, is removed; the first stays. So every run of lines that came before goes, from
@@ -109,7 +109,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     go if they came before in another chunk, but of each removed line an earlier equal one stays. A hash of 128 bits
     finds the candidates, and each goes only if its bytes equal the kept chunk's. A text that loses all its lines becomes empty; null and empty texts
     stay. Rows that equal another in id and text count as one place: each loses the same. Tables may be empty, and
-    further columns may have any names but those three, which are replaced.
+    further columns may have any names; those with the names of counts are replaced.
 
     Counting by chunk adds up in tasks first. Joins by chunk go through a broadcast where the written table is small by
     its measured size; else they shuffle, and runtime skew splitting takes care of frequent chunks. The texts are shuffled once, by row.
@@ -125,14 +125,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     plan = Settled(plan, "chunk-removals")
     for x in (found, kept, sources, texts):
         x.drop()
-    return _cut(docs, plan.df)  # the removed bytes are in it: its size follows the input's, so the texts are shuffled to it
+    return _cut(docs, plan.df, list(counts))  # the removed bytes are in it: its size follows the input's, so the texts are shuffled to it
 
 
-def _cut(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    extra = ["__n_lines", "__n_removed", "__n_chunks"]
-    names = [c for c in docs.columns if c not in extra]
-    rows = docs.select(*names).withColumn("__text_hash", F.xxhash64("text"))
-    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__text_hash") == F.col("__h")), "left").select(*names, "__drop")
+def _cut(docs: DataFrame, plan: DataFrame, extra: list[str]) -> DataFrame:
+    names = [c for c in docs.columns if c.lower() not in {x.lower() for x in extra}]
+    k, d, h, drop = unused(docs, "__text_hash", "__d", "__h", "__drop")
+    rows = docs.select(*names).withColumn(k, F.xxhash64("text"))
+    plan = plan.select(F.col("__d").alias(d), F.col("__h").alias(h), F.col("__drop").alias(drop))
+    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(k) == F.col(h)), "left").select(*names, drop)
     schema = docs.select(*names).schema
     for c in extra:
         schema = schema.add(c, "long")
@@ -140,7 +141,7 @@ def _cut(docs: DataFrame, plan: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             texts, counts = [], ([], [], [])
-            drops = b.column("__drop")
+            drops = b.column(drop)
             for r, text in enumerate(b.column("text").to_pylist()):
                 lines, gone, cut = (text or "").split("\n") if text else [], set(), 0
                 for x in drops[r].as_py() or ():

@@ -1,4 +1,4 @@
-"""Quality classifier: naive Bayes support vectors over byte n-gram indicators, fitted by dual coordinate descent."""
+"""Quality classifier: naive Bayes support vectors over n-gram indicators, fitted by dual coordinate descent."""
 
 from __future__ import annotations
 
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tunerline.llm.common import bucket4, lean, thinned
 
-#: N-grams of 1 to 4 bytes, and word 2-grams of one word twice, share so many indicators, by a hash.
+#: N-grams of 1 to GRAM bytes, and of 1 to GRAM marks of a word said again at once, share so many indicators, by a hash.
 FEATURES = 1 << 17
+GRAM = 4
 #: Training sample: so many labelled documents of each class, by a hash of their ids.
 SAMPLE = 1_500
 #: A training text also counts by these first bytes of its second half, as short texts are rare among the labelled.
@@ -22,25 +23,20 @@ EXCERPTS = (24, 96, 384)
 ALPHA, PENALTY, ROUNDS, SEED = 1.0, 1.0, 30, 11
 #: Score from which a document counts as good.
 GOOD = 0.7
-#: Word 2-grams of one word twice are told apart by their share of the words only; each share that is exceeded is an indicator.
-TWINS = (0.02, 0.05, 0.1, 0.2, 0.4)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def features(text: bytes, seen: np.ndarray) -> np.ndarray:
-    """The distinct indicators of a whole text, ascending. seen: FEATURES booleans, all false before and after."""
-    x = np.frombuffer(text, np.uint8).astype(np.uint64)
-    key = np.zeros(len(x), np.uint64)
-    for n in range(1, 5):
-        if len(x) < n:
-            break
-        key = (key[: len(x) - n + 1] << np.uint64(8)) | x[n - 1 :]
-        seen[(((key + np.uint64(n << 40)) * _M) >> np.uint64(47)).astype(np.int64)] = True
+    """The distinct indicators of a whole text, ascending. seen: FEATURES booleans, all false before and after.
+
+    Two sequences give n-grams: the bytes, and for each word but the first whether it is the word before it (0 or 1)."""
     words = text.split()
-    twins = sum(map(eq, words, words[1:]))
-    for k, share in enumerate(TWINS):
-        if twins > share * len(words):
-            seen[k] = True
+    again = np.fromiter(map(eq, words, words[1:]), np.uint64, max(0, len(words) - 1))
+    for x, bits, kind in ((np.frombuffer(text, np.uint8).astype(np.uint64), 8, 0), (again, 1, 1 << 44)):
+        key = np.zeros(len(x), np.uint64)
+        for n in range(1, min(GRAM, len(x)) + 1):
+            key = (key[: len(x) - n + 1] << np.uint64(bits)) | x[n - 1 :]
+            seen[(((key + np.uint64(kind + (n << 40))) * _M) >> np.uint64(47)).astype(np.int64)] = True
     out = np.flatnonzero(seen)
     seen[out] = False
     return out
@@ -122,7 +118,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a sample, bounded by SAMPLE for each class, of labelled documents (labels: doc_id, quality) outside the held-out fold."""
     own = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & (bucket4() != 2)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    own = thinned(own.withColumn("h", F.xxhash64("doc_id")), "quality", own.groupBy("quality").count(), SAMPLE, "h")
+    own = thinned(own.withColumn("h", F.xxhash64("doc_id")), "quality", F.broadcast(own.groupBy("quality").count()), SAMPLE, "h")
     rank = F.row_number().over(Window.partitionBy("quality").orderBy("h", "doc_id"))
     ids = own.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).drop("rank", "h")
 

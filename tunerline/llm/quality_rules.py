@@ -11,15 +11,13 @@ from tunerline.llm.common import Settled
 
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Hash buckets of the multinomials: what goes to the driver and back in the plan is at most this many numbers.
-BUCKETS = 16_384
-#: A word's last code points stand for it in the n-grams, so that words never seen before still have known n-grams.
-ENDING = 3
+BUCKETS = 65_536
 #: Weight of the raw corpus in the smoothed target multinomial, in n-grams.
 PRIOR = 2_000
 #: Log ratios are kept as whole millionths, so that sums don't depend on the order of their terms.
 SCALE = 1_000_000
 #: A document is rejected if its log-likelihood ratio for each n-gram is below this.
-THRESHOLD = -0.25
+THRESHOLD = -0.1
 
 
 def let(value: Column, use) -> Column:
@@ -50,11 +48,11 @@ def split_words(docs: DataFrame, row: bool = False) -> DataFrame:
 
 
 def ngrams(words: DataFrame) -> DataFrame:
-    """Adds grams: the buckets of each word's ending, and of each two neighbouring endings."""
-    ends = words.withColumn("ends", F.transform("words", lambda w: F.xxhash64(F.right(w, F.lit(ENDING)))))
-    pair = F.transform("ends", lambda e, i: F.pmod(F.xxhash64(e, F.get("ends", i + 1)), F.lit(BUCKETS)).cast("int"))
-    one = F.transform("ends", lambda e: F.pmod(e, F.lit(BUCKETS)).cast("int"))
-    return ends.withColumn("grams", F.when(F.size("ends") > 0, F.concat(one, F.slice(pair, F.lit(1), F.size("ends") - 1))).otherwise(F.array().cast("array<int>"))).drop("ends")
+    """Adds grams: the buckets of each word, and of each two neighbouring words."""
+    hashed = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    pair = F.transform("hashes", lambda h, i: F.pmod(F.xxhash64(h, F.get("hashes", i + 1)), F.lit(BUCKETS)).cast("int"))
+    one = F.transform("hashes", lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
+    return hashed.withColumn("grams", F.when(F.size("hashes") > 0, F.concat(one, F.slice(pair, F.lit(1), F.size("hashes") - 1))).otherwise(F.array().cast("array<int>"))).drop("hashes")
 
 
 def base(words: DataFrame) -> DataFrame:

@@ -54,10 +54,97 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(F.col("quality") == 1))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_language_id, op4_ngram_jaccard, op5_quality_classifier, op6_url_filters, op7_decontamination, op8_line_dedup, op9_suffix_dedup, op10_quality_rules)}
+def llm_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures of op10, which SQL can express; the hashes of its n-grams it can't."""
+    return quality_rules.base(quality_rules.split_words(table(spark, sf_dir, "documents"))).drop("words")
+
+
+def llm_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of what op2 decodes from its ids."""
+    return op2_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_language_id, op4_ngram_jaccard, op5_quality_classifier, op6_url_filters, op7_decontamination, op8_line_dedup, op9_suffix_dedup, op10_quality_rules, llm_base_rules, llm_bpe_round_trip)}
 
 SQL = {}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"[^\x20\x09-\x0D]+"
+_TERMS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+SQL["llm_bpe_round_trip"] = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"
+
+SQL["op4_ngram_jaccard"] = rf"""
+WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {jaccard_join.WORDS} THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {jaccard_join.WORDS} + 2), lambda i: array_to_string(w[i:i + {jaccard_join.WORDS} - 1], ' ')))) END AS s FROM cut),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s) AS n_shingles, component_id, CASE WHEN len(s) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY s) END AS class_size
+FROM sets JOIN least ON a = doc_id
+"""
+
+SQL["op7_decontamination"] = rf"""
+WITH doc AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_TERMS}') AS w FROM documents),
+item AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_TERMS}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+wins AS (
+  SELECT item, array_to_string(w[i:i + {decontaminate.WINDOW} - 1], ' ') AS g, least(len(w), {decontaminate.WINDOW}) AS n
+  FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - {decontaminate.WINDOW} + 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM wins),
+grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM doc, sizes WHERE len(w) >= n)),
+hits AS (SELECT DISTINCT doc_id, i, n, item FROM grams JOIN wins USING (g, n)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY doc_id),
+post AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM doc),
+freq AS (SELECT term, count(*) AS c FROM post GROUP BY term),
+rare AS (
+  SELECT item, term, row_number() OVER (PARTITION BY item ORDER BY c, term) AS k
+  FROM (SELECT DISTINCT item, unnest(w) AS term FROM item) JOIN freq USING (term)),
+place AS (SELECT item, k, doc_id, p FROM rare JOIN post USING (term) WHERE k <= {decontaminate.ANCHORS}),
+near AS (
+  SELECT DISTINCT a.item, a.doc_id FROM place a JOIN (SELECT item, least(max(k), {decontaminate.ANCHORS}) AS most FROM rare GROUP BY item) m USING (item)
+  WHERE a.k = 1 AND (most < 2 OR EXISTS (SELECT 1 FROM place b WHERE b.item = a.item AND b.doc_id = a.doc_id AND b.k = 2 AND abs(b.p - a.p) < {decontaminate.NEAR}))
+    AND (most < 3 OR EXISTS (SELECT 1 FROM place b WHERE b.item = a.item AND b.doc_id = a.doc_id AND b.k = 3 AND abs(b.p - a.p) < {decontaminate.NEAR}))),
+close AS (SELECT doc_id, count(*) AS n_near_items FROM near GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN close USING (doc_id)
+"""
+
+_L = suffix_dedup.LENGTH
+SQL["op9_suffix_dedup"] = rf"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+every AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, {2 * _L})) AS g FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - {_L} + 1)) AS i FROM h WHERE length(x) >= {2 * _L})),
+twice AS (SELECT g FROM every GROUP BY g HAVING count(*) > 1),
+marked AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM every SEMI JOIN twice USING (g)),
+runs AS (SELECT doc_id, i, sum(CASE WHEN step <= {_L} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(i) AS lo, max(i) + {_L} AS hi FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM spans),
+kept AS (
+  SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(x, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS head
+  FROM gaps JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN x ELSE head || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM h LEFT JOIN kept USING (doc_id)
+"""
+
+SQL["llm_base_rules"] = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w))),
+again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE c > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '{_WORDS}') GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(lines.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(again.n, 0) > 50 * len(w) AS base_failed
+FROM w LEFT JOIN again USING (doc_id) LEFT JOIN lines USING (doc_id)
+"""
+
 _RULES = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}|{v}'" for h, p, v in sorted(urls.RULES, key=lambda r: -len(r[0] + r[1])))
 _LISTED = ", ".join(f"('{x}')" for x in urls.LISTED)
 SQL["op6_url_filters"] = rf"""

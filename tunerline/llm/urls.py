@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunerline.llm.common import Settled
@@ -62,6 +62,13 @@ def _blocks(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (k & np.uint64((1 << 40) - 1)) % np.uint64(n), mask
 
 
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """url: canonical URLs from a file of a URL or host a line; blank lines and those that begin with # don't count."""
+    line = F.btrim("value")
+    url = F.when(F.locate("://", line) > 0, line).otherwise(F.concat(F.lit("http://"), line))
+    return spark.read.text(path).where((line != "") & ~line.startswith("#")).select(canonical(host_of(url), path_of(url)).alias("url"))
+
+
 class BlockedBloom:
     """A Bloom filter whose keys each touch one 64-bit block. Built by tasks over the list; the union is at most 8 MB."""
 
@@ -91,8 +98,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     is the longest such entry, else null. A null url, or one without ://, has empty host and path, no rule and verdict
     allow. Equal page ids are judged row by row. Other columns are not read.
 
-    Pages that no rule decides look up each of their canonical URLs in the filter; only possible hits go into the exact
-    hash join, so what is shuffled is about the listed pages. The list is read by tasks, never held whole by one.
+    Pages that no rule decides look up each of their canonical URLs in the filter, on the scan; only possible hits are
+    shuffled, made distinct and go into the exact hash join. The list is read by tasks, never held whole by one.
     """
     spark = pages.sparkSession
     entries = listed.select(F.col("url").alias("entry")).where("entry is not null").distinct()
@@ -106,9 +113,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
 
     judged = pages.select("page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = judged.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    asked = judged.where("fit is null and host <> ''").select("host", "path").distinct()
-    asked = asked.select("host", "path", F.explode(lookups(F.col("host"), F.col("path"))).alias("entry"))
-    hits = asked.where(may_hold(F.xxhash64("entry"))).join(settled.side(), "entry")
+    asked = judged.where("fit is null and host <> ''").select("host", "path", F.explode(lookups(F.col("host"), F.col("path"))).alias("entry"))
+    hits = asked.where(may_hold(F.xxhash64("entry"))).distinct().join(settled.side(), "entry")
     hits = hits.groupBy("host", "path").agg(F.max_by("entry", F.struct(F.length("entry"), "entry")).alias("listed_as"))
     out = judged.join(Settled(hits, "url-hits").side(), ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(F.col("listed_as").isNotNull(), "block").otherwise("allow")).alias("verdict"), F.when(F.col("fit").isNull(), F.col("listed_as")).alias("listed_as"))
