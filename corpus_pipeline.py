@@ -7,13 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunerline.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
-from tunerline.llm.common import Settled
-
-
-def _rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id (null-safe) and text are among verdicts (doc_id, text_hash); joined by broadcast only if that table is small."""
-    v = Settled(verdicts.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct(), "kept").side()
-    return docs.withColumn("__text_hash", F.xxhash64("text")).join(v, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__text_hash") == F.col("__h")), "left_semi").drop("__text_hash")
+from tunerline.llm.common import Scratch, Settled, unused
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,20 +21,21 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go; n_chars follows the text."""
-    out = line_dedup.dedup(docs).select(*docs.columns)
+    out = line_dedup.dedup(docs, tuple(unused(docs, "lines", "removed", "chunks"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    found = jaccard_join.join(docs)
-    return _rows(docs, found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    """Of each group of near copies one row stays, that of the smallest doc_id (null ids last); repeated rows are copies."""
+    return jaccard_join.representatives(docs, Settled(jaccard_join.join(docs), "components").df)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of the benchmark go."""
     found = decontaminate.judge(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _rows(docs, found.where("not contaminated"))
+    (key,) = unused(docs, "text_key")
+    bad = Settled(found.where("contaminated").select(F.col("key").alias(key)).distinct(), "contaminated", few=True)
+    return docs.join(bad.side(), decontaminate.text_key(docs["text"]) == F.col(key), "left_anti")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again. The last one gives ids and hashes, without the lists of ids."""
+    """All stages over documents; each stage's rows are written and read again, and its scratch tables deleted. The last
+    one gives ids and hashes, without the lists of ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = Settled(stage(spark, docs, sf_dir), f"stage-{name}").df
+        with Scratch() as scratch:
+            docs = scratch.keep(Settled(stage(spark, docs, sf_dir), f"stage-{name}")).df
     return STAGES[-1][1](spark, docs, sf_dir).drop("token_ids")
