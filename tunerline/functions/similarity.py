@@ -119,6 +119,46 @@ def network_family(name: Column) -> Column:
     return out
 
 
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letters(s: Column) -> Column:
+    """array of two longs: a bit for the first, second and third time that a letter, digit or blank occurs in s.
+
+    Two texts differ in at least as many letters as their bits do, so lengths and bits bound from above how many letters they share."""
+
+    def places(chars: Column) -> Column:
+        at = F.transform(chars, lambda c, i: F.struct(F.position(c, F.lit(_ALPHABET)).alias("c"), (i + 1 - F.array_position(chars, c)).alias("again")))
+        return F.transform(F.filter(at, lambda x: (x["c"] > 0) & (x["again"] < 3)), lambda x: (x["c"] - 1 + len(_ALPHABET) * x["again"]).cast("int"))
+
+    def bits(places: Column) -> Column:
+        one = lambda lo: F.aggregate(F.filter(places, lambda x: (x >= lo) & (x < lo + 63)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x - lo)))
+        return F.array(one(0), one(63))
+
+    chars = F.array_sort(F.filter(F.split(s, ""), lambda c: c != ""))
+    return let(let(chars, places), bits)
+
+
+def sides(s: Column) -> Column:
+    """What bounded() needs to know of a name: its length and letters, and those of its distinct tokens, sorted and joined."""
+    own = F.array_join(F.sort_array(tokens(s)), " ")
+    return let(own, lambda t: F.struct(F.length(s).alias("n"), letters(s).alias("bits"), F.length(t).alias("set_n"), letters(t).alias("set_bits")))
+
+
+def bounded(a: Column, b: Column, x: Column, y: Column, threshold: float) -> Column:
+    """False only for pairs a, b (x, y: their sides) whose score can't reach the threshold.
+
+    With m letters in common Jaro is at most (m / |a| + m / |b| + 1) / 3, and the bonus for a common prefix needs the less
+    of it. A token-set ratio of t needs t * the shorter token text in common letters: of two texts with edit ratio t all but
+    1 - t of the longer one's letters are shared, and the common tokens alone are part of both sides."""
+    differ = lambda k: F.bit_count(x[k][0].bitwiseXOR(y[k][0])) + F.bit_count(x[k][1].bitwiseXOR(y[k][1]))
+    shared = F.least(F.least(x["n"], y["n"]), (x["n"] + y["n"] - differ("bits")) / 2)
+    p = common_prefix(a, b) * F.lit(WEIGHT)
+    by_jaro = (shared / F.greatest(x["n"], F.lit(1)) + shared / F.greatest(y["n"], F.lit(1)) + 1) / 3 >= (F.lit(threshold) - p) / (F.lit(1.0) - p) - 1e-9
+    by_set = (x["set_n"] + y["set_n"] - differ("set_bits")) / 2 >= F.lit(threshold) * F.least(x["set_n"], y["set_n"]) - 1e-9
+    return by_jaro | ((length_ratio(a, b) >= SHORT) & by_set)
+
+
 def may_reach(a: Column, b: Column, threshold: float) -> Column:
     """False only for pairs whose score can't reach the threshold. Jaro is at most (2 + r) / 3 for a length ratio r; the
     bonus needs jaro >= (t - 0.1 p) / (1 - 0.1 p) for a common prefix of p; from r >= SHORT on the token sets may decide."""

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tunerline.functions import links, text, titles
-from tunerline.operators import categories, incremental, lookup, metrics, resolve
+from tunerline.operators import categories, incremental, lookup, metrics, resolve, scratch
 from tunerline.plans import frames
 from tunerline.plans.catalog import query, table
 from tunerline.plans.frames import duck, view
@@ -398,8 +396,7 @@ def _rooted(frames_):
 @query("""SELECT 'ch' || (user_id % 50) AS channel_ref, date_trunc('second', ts) + CASE WHEN event_id % 3 = 1 THEN INTERVAL 5 HOUR ELSE INTERVAL 0 HOUR END AS start, date_trunc('second', ts) - INTERVAL 90 MINUTE AS stop, event_type || ' & ' || event_id AS title,
  CASE WHEN event_id % 2 = 0 THEN 's' END AS sub_title, CASE WHEN event_id % 2 = 0 THEN 'c1' END AS category, value > 50 AS previously_shown FROM events WHERE event_id % 7 <> 0""")
 def q_xmltv_parse(spark, sf_dir):
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.scratch"
-    path = f"{root.rstrip('/')}/guide-{uuid.uuid4().hex}"
+    path = scratch.place(spark, "guide")
     table(spark, sf_dir, "events").select(F.expr(_XML).alias("value")).mapInPandas(_rooted, "value string").write.text(path)
     return xmltv.read(spark, path).select("channel_ref", "start", "stop", "title", "sub_title", "category", "previously_shown")
 

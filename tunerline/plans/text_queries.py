@@ -248,7 +248,8 @@ def _g(i: int) -> str:
 
 @query(f"WITH {CHAN}, {ROWS}, {TITLES} SELECT id, league AS league_prefix, num AS channel_number, trim(a) AS team_a, trim(b) AS team_b, CASE WHEN a IS NULL THEN nullif(body, '') END AS event_name FROM t6 WHERE event")
 def q_event_parse(spark, sf_dir):
-    p = _titles(spark, sf_dir).select("id", titles.parse_event(F.col("name")).alias("p")).where("p is not null")
+    # a condition on p alone would be computed once more below the projection; a generator keeps it above
+    p = _titles(spark, sf_dir).select("id", F.explode_outer(F.array(titles.parse_event(F.col("name")))).alias("p")).where("p is not null")
     return p.select("id", "p.league_prefix", "p.channel_number", "p.team_a", "p.team_b", "p.event_name")
 
 
@@ -256,7 +257,7 @@ def q_event_parse(spark, sf_dir):
 def q_event_time(spark, sf_dir):
     name = text.trim_ws(F.col("name"))
     t = titles.event_time(F.substr(name, F.length(F.regexp_extract(name, titles._PREFIX, 0)) + 1))
-    return _titles(spark, sf_dir).select("id", t.alias("t")).where("t is not null").select("id", "t.*")
+    return _titles(spark, sf_dir).select("id", F.explode_outer(F.array(t)).alias("t")).where("t is not null").select("id", "t.*")
 
 
 @query(f"WITH {CHAN}, {ROWS}, {TITLES} SELECT id, event OR {' OR '.join(f'''contains(lower(coalesce(group_name, '')), '{g}')''' for g in titles.EVENT_GROUPS)} AS is_event FROM t6")
