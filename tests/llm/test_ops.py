@@ -192,9 +192,10 @@ def test_decontamination_without_broadcast(docs, rows, spark, monkeypatch):
     assert got == [(w[1],) for w in brute.contamination(rows, items)]
 
 
-def test_decontamination_filter_may_err(docs, rows, spark, monkeypatch):
-    """A Bloom filter that lets every word pass changes nothing."""
-    monkeypatch.setattr(decontaminate, "filter_of", lambda terms: None)
+@pytest.mark.parametrize("every", [True, False])
+def test_decontamination_filter_may_err(docs, rows, spark, monkeypatch, every):
+    """A filter that lets every word pass, or the Bloom filter of a large benchmark, changes nothing."""
+    monkeypatch.setattr(decontaminate, "filter_of", (lambda terms: None) if every else lambda terms: urls.BlockedBloom(terms.df.select(F.xxhash64("term").alias("key")), 2))
     items = [(1, "spam spam spam"), (2, "a b c d e")]
     got = _by_row(decontaminate.judge(docs, spark.createDataFrame(items, "item_id long, text string")), rows, "n_hit")
     assert got == [(w[1],) for w in brute.contamination(rows, items)]
@@ -213,7 +214,7 @@ def test_proximity(spark):
     docs, postings = decontaminate.index(d)
     asked = {"two": ["alpha", "beta"], "one": ["alpha"], "none": ["delta"], "three": ["alpha", "beta", "gamma"], "empty": []}
     queries = spark.createDataFrame(list(asked.items()), "item string, picked array<string>")
-    got = {(r["item"], r["doc_id"]) for r in decontaminate.proximity_matches(postings.df, queries, 4).join(docs.df, "key").collect()}
+    got = {(r["item"], r["doc_id"]) for r in decontaminate.proximity_matches(postings.df, queries, 4, 3).join(docs.df, "key").collect()}
     place = lambda w, t: [i for i, x in enumerate(w) if x == t]
     near = lambda w, q: any(all(any(abs(p - o) < 4 for o in place(w, t)) for t in q[1:]) for p in place(w, q[0])) if q else False
     assert got == {(k, i) for k, q in asked.items() for i, t in texts if near(t.split(), q)}

@@ -11,13 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tunerline.llm import common
 from tunerline.llm.common import Settled, worker_state
 from tunerline.llm.urls import BlockedBloom
 
 #: Words of a window.
 WINDOW = 10
 #: Terms of a window, and of an item, whose postings are intersected, rarest first.
-ANCHORS = 3
+ANCHORS = 2
 #: An item is near a document if its rarest terms lie within so many words of one another.
 NEAR = 20
 #: Slices that the postings of a term are stored in.
@@ -52,9 +53,9 @@ def windows(benchmark: DataFrame) -> DataFrame:
 
 
 class Asked(dict):
-    """Word -> whether it may be among the terms of a Bloom filter (None: all words are); remembers up to ASKED words."""
+    """Word -> whether it may be among the terms of a Bloom filter; remembers up to ASKED words."""
 
-    def __init__(self, bloom: BlockedBloom | None):
+    def __init__(self, bloom: BlockedBloom):
         super().__init__()
         self.bloom = bloom
 
@@ -62,28 +63,36 @@ class Asked(dict):
         if len(self) > ASKED:
             self.clear()
         key = xxhash.xxh64_intdigest(word, seed=42)  # as Spark's xxhash64
-        found = self[word] = self.bloom is None or bool(self.bloom.may_hold(np.array([key], np.uint64).view(np.int64))[0])
+        found = self[word] = bool(self.bloom.may_hold(np.array([key], np.uint64).view(np.int64))[0])
         return found
 
 
-def filter_of(terms: DataFrame) -> BlockedBloom:
-    """A Bloom filter of terms (a settled table with a column term), of at most 8 MB however many there are."""
-    return BlockedBloom(terms.select(F.xxhash64("term").alias("key")), terms.count())
+def filter_of(terms: Settled) -> frozenset | BlockedBloom:
+    """For the workers: the terms themselves (column term) if their table is small by its measured size, else a Bloom
+    filter of them, of at most 8 MB however many there are. What it lets pass is joined with the terms, so either gives the same."""
+    if terms.bytes() <= common.BROADCAST_BYTES:
+        return frozenset(r["term"].encode("utf-8") for r in terms.df.collect())
+    return BlockedBloom(terms.df.select(F.xxhash64("term").alias("key")), terms.df.count())
+
+
+def _asks(passed: frozenset | BlockedBloom | None):
+    """Whether a word may be asked for, as a function; without a filter all are."""
+    return (lambda w: True) if passed is None else passed.__contains__ if isinstance(passed, frozenset) else Asked(passed).__getitem__
 
 
 def frequencies(docs: DataFrame, terms: Settled) -> DataFrame:
     """term, n: occurrences over all texts of the terms that any text has. Tasks add up before anything is shuffled."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(filter_of(terms.df)), f"asked:{uuid.uuid4().hex}"
+    shared, key = docs.sparkSession.sparkContext.broadcast(filter_of(terms)), f"asked:{uuid.uuid4().hex}"
 
     def run(batches):
-        asked, seen = worker_state(key, lambda: Asked(shared.value)), Counter()
+        asked, seen = worker_state(key, lambda: _asks(shared.value)), Counter()
 
         def out():
             return pa.RecordBatch.from_pydict({"term": pa.array([t.decode() for t in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
         for b in batches:
             for text in b.column("text"):
-                seen.update(filter(asked.__getitem__, words(text.as_py())))
+                seen.update(filter(asked, words(text.as_py())))
                 if len(seen) > 500_000:
                     yield out()
                     seen.clear()
@@ -116,24 +125,25 @@ def index(docs: DataFrame, terms: Settled | None = None) -> tuple[Settled, Settl
     (term, key, positions: ascending array), stored by term in SLICES slices of texts, so that no frequent term makes one
     large piece. terms (column term) asks for these only; a Bloom filter of bounded size thins the words before an exact join."""
     spark, kind, made = docs.sparkSession, dict(docs.dtypes)["doc_id"], f"postings:{uuid.uuid4().hex}"
-    shared = spark.sparkContext.broadcast(None if terms is None else filter_of(terms.df))
-    posting = pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32()))])
+    shared = spark.sparkContext.broadcast(None if terms is None else filter_of(terms))
 
     def run(batches):
-        asked = worker_state(made, lambda: Asked(shared.value))
+        asked = worker_state(made, lambda: _asks(shared.value))
         for b in batches:
-            n, lists = [], []
+            n, terms, lengths, places, sizes = [], [], [], [], []
             for text in b.column("text"):
                 ws, found = words(text.as_py()), {}
                 n.append(len(ws))
-                for i, w in enumerate(ws):
-                    if asked[w]:
-                        if w in found:
-                            found[w].append(i)
-                        else:
-                            found[w] = [i]
-                lists.append([{"term": w.decode(), "positions": p} for w, p in found.items()])
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "key": b.column("key"), "n_words": pa.array(n, pa.int64()), "postings": pa.array(lists, pa.list_(posting))})
+                for i in [i for i, w in enumerate(ws) if asked(w)]:
+                    found.setdefault(ws[i], []).append(i)
+                sizes.append(len(found))
+                terms += found
+                for p in found.values():
+                    lengths.append(len(p))
+                    places += p
+            ends = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32))
+            own = pa.StructArray.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(ends(lengths), pa.array(places, pa.int32()))], names=["term", "positions"])
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "key": b.column("key"), "n_words": pa.array(n, pa.int64()), "postings": pa.ListArray.from_arrays(ends(sizes), own)})
 
     rows = docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key binary, n_words long, postings array<struct<term:string,positions:array<int>>>")
     texts = Settled(rows, "texts")
@@ -190,17 +200,17 @@ def phrase_matches(docs: DataFrame, candidates: DataFrame, phrases: DataFrame) -
     return rows.mapInArrow(run, "key binary, n_hit long, phrase_ids array<string>").dropDuplicates(["key"])
 
 
-def proximity_matches(postings: DataFrame, queries: DataFrame, span: int) -> DataFrame:
+def proximity_matches(postings: DataFrame, queries: DataFrame, span: int, terms: int = ANCHORS) -> DataFrame:
     """item, key: the texts in which all terms of a query lie near one of its first term's places: fewer than span words
-    away from it. queries: item, picked (array of at most ANCHORS terms, the rarest first); none match an empty array.
+    away from it. queries: item, picked (array of at most so many terms, the rarest first); none match an empty array.
 
     Places are dealt into stretches of span words; a place meets those of its own stretch and of the two beside it."""
     place = lambda i: postings.join(queries.select("item", F.get("picked", F.lit(i)).alias("term")), "term").select("item", "key", F.explode("positions").alias("p"))
-    out = place(0).join(queries.select("item", F.size("picked").alias("terms")), "item").withColumn("stretch", F.floor(F.col("p") / span))
-    for i in range(1, ANCHORS):
+    out = place(0).join(queries.select("item", F.size("picked").alias("size")), "item").withColumn("stretch", F.floor(F.col("p") / span))
+    for i in range(1, terms):
         near = place(i).select(F.col("item").alias("item2"), F.col("key").alias("key2"), F.col("p").alias("q"), F.explode(F.array(*[F.floor(F.col("p") / span) + d for d in (-1, 0, 1)])).alias("stretch2"))
-        met = out.where(F.col("terms") > i).join(near, (F.col("item") == F.col("item2")) & (F.col("key") == F.col("key2")) & (F.col("stretch") == F.col("stretch2")) & (F.abs(F.col("p") - F.col("q")) < span), "left_semi")
-        out = out.where(F.col("terms") <= i).unionByName(met)
+        met = out.where(F.col("size") > i).join(near, (F.col("item") == F.col("item2")) & (F.col("key") == F.col("key2")) & (F.col("stretch") == F.col("stretch2")) & (F.abs(F.col("p") - F.col("q")) < span), "left_semi")
+        out = out.where(F.col("size") <= i).unionByName(met)
     return out.select("item", "key").distinct()
 
 
