@@ -150,8 +150,9 @@ def index(docs: DataFrame, terms: Settled | None = None) -> tuple[Settled, Settl
     posted = texts.df.select("key", F.explode("postings").alias("p")).select("p.term", "key", "p.positions")
     if terms is not None:
         posted = posted.join(terms.side(), "term", "left_semi")
-    posted = posted.dropDuplicates(["term", "key"]).withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(SLICES)))
-    return texts, Settled(posted.repartition("term", "slice").sortWithinPartitions("term").drop("slice"), "postings")
+    posted = posted.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(SLICES))).repartition("term", "slice")
+    # equal texts are in one slice, so this needs no further shuffle
+    return texts, Settled(posted.dropDuplicates(["term", "slice", "key"]).drop("slice"), "postings", few=True)
 
 
 def phrase_candidates(postings: DataFrame, anchored: DataFrame) -> DataFrame:
