@@ -156,7 +156,7 @@ def bounded(a: Column, b: Column, x: Column, y: Column, threshold: float) -> Col
     p = common_prefix(a, b) * F.lit(WEIGHT)
     by_jaro = (shared / F.greatest(x["n"], F.lit(1)) + shared / F.greatest(y["n"], F.lit(1)) + 1) / 3 >= (F.lit(threshold) - p) / (F.lit(1.0) - p) - 1e-9
     by_set = (x["set_n"] + y["set_n"] - differ("set_bits")) / 2 >= F.lit(threshold) * F.least(x["set_n"], y["set_n"]) - 1e-9
-    return by_jaro | ((length_ratio(a, b) >= SHORT) & by_set)
+    return (a == b) | by_jaro | ((length_ratio(a, b) >= SHORT) & by_set)
 
 
 def may_reach(a: Column, b: Column, threshold: float) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tunerline.functions.text import trim_ws
@@ -31,6 +31,12 @@ def classified(categories: DataFrame, overrides: DataFrame | None = None) -> Dat
     return out.withColumn("_k", F.lower(trim_ws(F.col("category_name")))).join(o, "_k", "left").withColumn("classification", F.coalesce("forced", "classification")).drop("_k", "forced")
 
 
+def observed(classes: DataFrame, observation: Observation | str) -> DataFrame:
+    """The same rows; when an action has read them, the counts of included and excluded categories are in the observation, or reach query listeners by its name."""
+    included = F.col("classification") != "not-sports"
+    return classes.observe(observation, F.count_if(included).alias("included"), F.count_if(~included).alias("excluded"))
+
+
 def included_streams(streams: DataFrame, categories: DataFrame) -> DataFrame:
     """Streams of categories that aren't excluded, with the category's name (its id where it has none)."""
     c = classified(categories).where(F.col("classification") != "not-sports").select("category_id", "category_name")

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def content_hash(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """by, n, digest: order-independent. The digest adds up 8 hex digits of each row's md5, so equal rows don't cancel and tasks sum before the shuffle."""
+    """by, n, digest: order-independent. 120 bits of each row's md5 in two halves: both are added up (38 digits), so equal
+    rows don't cancel, and the first is combined by exclusive or as well; tasks do so before the shuffle."""
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")).alias("digest"))
+    half = lambda at: F.conv(F.substring(F.md5(text), at, 15), 16, 10)
+    total = lambda at: F.sum(half(at).cast("decimal(28,0)"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.concat_ws("-", F.bit_xor(half(1).cast("long")).cast("string"), total(1).cast("string"), total(16).cast("string")).alias("digest"))
 
 
 def changed(now: DataFrame, stored: DataFrame, by: list[str]) -> DataFrame:
@@ -23,6 +26,18 @@ def replace_source(table: DataFrame, new: DataFrame, replaced: DataFrame) -> Dat
     return table.join(replaced.select("source_id").distinct(), "source_id", "left_anti").unionByName(new.join(replaced.select("source_id").distinct(), "source_id", "left_semi"))
 
 
+def ingest(table: DataFrame, rows: DataFrame, attempts: DataFrame, stored: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(table, hashes, replaced) after a cycle: one job over all sources, each failing alone.
+
+    rows: what was read; attempts: source_id, error; stored: source_id, n, digest of the last cycle. Sources without an
+    error whose content differs are replaced, those that gave no rows end empty; failed and unchanged ones keep their
+    last good rows and hashes. replaced: source_id of those that changed."""
+    good = attempts.where("error is null").select("source_id").distinct()
+    now = good.join(content_hash(rows, ["source_id"], columns), "source_id", "left").select("source_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("digest", F.lit("")).alias("digest"))
+    new = changed(now, stored, ["source_id"])
+    return replace_source(table, rows, new), upsert(stored, new.select(*stored.columns), ["source_id"]), new.select("source_id")
+
+
 def write_replacing(new: DataFrame, path: str, replaced: list[str]) -> None:
     """The same on a Parquet table partitioned by source_id: partitions of the replaced sources are overwritten, and removed where new has no rows."""
     spark = new.sparkSession
@@ -56,6 +71,11 @@ def merge_memo(memo: DataFrame, fresh: DataFrame) -> DataFrame:
     return memo.unionByName(fresh.join(memo.select("normalized_key"), "normalized_key", "left_anti").select(*memo.columns))
 
 
+def put(meta: DataFrame, key: str, value: str) -> DataFrame:
+    """The key/value table (key, value) with one entry set."""
+    return upsert(meta, meta.sparkSession.createDataFrame([(key, value)], "key string, value string"), ["key"])
+
+
 def bump(version: DataFrame, changed_sources: DataFrame) -> DataFrame:
     """version: one row; one more if any source changed."""
     return version.select((F.col("version") + F.lit(0 if changed_sources.isEmpty() else 1)).alias("version"))

@@ -33,10 +33,10 @@ def seed_stations(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*s, i) for i, s in enumerate(STATIONS)], "callsign string, network string, city string, pos int")
 
 
-def last_by_key(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
+def last_by_key(df: DataFrame, *keys: str, pos: str = "pos") -> DataFrame:
     """One row for each key: the last by position."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max(F.struct(pos, *[c for c in rest if c != pos])).alias("m")).select(key, "m.*")
+    rest = [c for c in df.columns if c not in (*keys, pos)]
+    return df.groupBy(*keys).agg(F.max(F.struct(pos, *rest)).alias("m")).select(*keys, "m.*")
 
 
 def by_callsign(names: DataFrame, candidates: Column, stations: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tunerline.functions.similarity import FAMILIES, bounded, combined_of, jaro, may_reach, network_family, sides, winkler
 from tunerline.functions.text import normalize
 from tunerline.functions.titles import callsigns, is_event, network_city, parse_event
-from tunerline.operators.lookup import by_callsign
+from tunerline.operators.lookup import by_callsign, last_by_key
 from tunerline.operators.scratch import settle
 
 # Confidence by method, and the least score of a fuzzy match.
@@ -71,7 +71,7 @@ def decide(rows: DataFrame, reference: DataFrame, index: DataFrame, aliases: Dat
     k = k.join(by_callsign(k, callsigns(F.col("name")), stations).withColumnRenamed("callsign", "_sign"), "key", "left")
     city = network_city(F.col("name"))
     k = k.withColumn("_net", city["network"]).withColumn("_city", F.lower(city["city"]))
-    places = stations.groupBy(F.upper("network").alias("_net"), F.lower("city").alias("_city")).agg(F.max_by("callsign", "pos").alias("_place"))
+    places = last_by_key(stations.select(F.upper("network").alias("_net"), F.lower("city").alias("_city"), F.col("callsign").alias("_place"), "pos"), "_net", "_city").drop("pos")
     k = k.join(places, ["_net", "_city"], "left")
     got = F.coalesce(
         _hit(F.col("tvg_id"), "tvg_id", F.col("_id")), _hit(F.col("_ref"), "alias", F.col("_ref").isNotNull()), _hit(F.col("_alias"), "alias", F.col("_alias").isNotNull()),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tunerline.functions import links, text, titles
-from tunerline.operators import categories, incremental, lookup, metrics, resolve, scratch
+from tunerline.operators import categories, health, incremental, lookup, metrics, resolve, scratch, tables
 from tunerline.plans import frames
 from tunerline.plans.catalog import query, table
 from tunerline.plans.frames import duck, view
@@ -57,13 +57,12 @@ def q_alias_index(spark, sf_dir):
 @query(f"WITH {CAT}, leagues AS (SELECT category_id, unnest(['a/' || category_id, 'b/' || category_id || '/x']) AS path FROM cat) SELECT category_id, path FROM leagues")
 def q_flatten(spark, sf_dir):
     tree = cats(spark, sf_dir).select("category_id", F.array(F.concat(F.lit("a/"), F.col("category_id").cast("string")), F.concat(F.lit("b/"), F.col("category_id").cast("string"), F.lit("/x"))).alias("leagues"))
-    return tree.select("category_id", F.explode("leagues").alias("path"))
+    return tables.flatten(tree, "leagues", "path")
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' END AS code FROM events")
 def q_map_lookup(spark, sf_dir):
-    m = F.create_map(F.lit("click"), F.lit("c"), F.lit("view"), F.lit("v"))
-    return table(spark, sf_dir, "events").select("event_id", F.try_element_at(m, F.col("event_type")).alias("code"))
+    return table(spark, sf_dir, "events").select("event_id", tables.lookup(F.col("event_type"), {"click": "c", "view": "v"}).alias("code"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'seg-' || c_mktsegment ELSE 'default' END AS agent, 'json' AS accept FROM customer")
@@ -75,8 +74,7 @@ def q_map_merge(spark, sf_dir):
 
 @query("SELECT page_id, split_part(substr(url, 9), '/', 1) AS head, CASE WHEN strpos(substr(url, 9), '/') > 0 THEN substr(url, 9 + strpos(substr(url, 9), '/')) ELSE '' END AS rest FROM pages")
 def q_path_split(spark, sf_dir):
-    parts = F.split(F.substr("url", F.lit(9)), "/")
-    return table(spark, sf_dir, "pages").select("page_id", F.get(parts, F.lit(0)).alias("head"), F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "/").alias("rest"))
+    return table(spark, sf_dir, "pages").select("page_id", tables.split_path(F.substr("url", F.lit(9))).alias("p")).select("page_id", "p.*")
 
 
 # --- joins
@@ -158,12 +156,9 @@ def q_disable_failed(spark, sf_dir):
 
 @query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 4, '0') || '_' || lower(n_name) || '.sql' AS file, row_number() OVER (ORDER BY n_nationkey) AS step FROM nation WHERE n_nationkey > 17")
 def q_pending_migrations(spark, sf_dir):
-    from pyspark.sql import Window
-
     n = table(spark, sf_dir, "nation")
     files = n.select("n_nationkey", F.concat(F.lpad(F.col("n_nationkey").cast("string"), 4, "0"), F.lit("_"), F.lower("n_name"), F.lit(".sql")).alias("file"))
-    pending = files.join(files.where("n_nationkey <= 17").select("file"), "file", "left_anti")
-    return pending.select("file", F.row_number().over(Window.orderBy("file")).cast("long").alias("step"))
+    return tables.pending(files, files.where("n_nationkey <= 17"))
 
 
 # --- resolution
@@ -268,7 +263,7 @@ def q_backoff(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 4")
 def q_top_n(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(4)
+    return tables.top(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 4, F.desc("o_totalprice"), "o_orderkey")
 
 
 # --- aggregates
@@ -309,7 +304,8 @@ def q_path_audit(spark, sf_dir):
 # --- incremental: two snapshots, the second differs for one source
 
 SNAP2 = "snap2 AS (SELECT source_id, stream_key, CASE WHEN k % 4 = 1 THEN name || '!' ELSE name END AS name FROM chan WHERE k % 4 <> 1 OR k % 8 = 1)"
-HASH = "SELECT source_id, count(*) AS n, CAST(sum(('0x' || substr(md5(coalesce(stream_key, chr(0)) || chr(31) || coalesce(name, chr(0))), 1, 8))::BIGINT) AS BIGINT) AS digest FROM {} GROUP BY source_id"
+HASH = """SELECT source_id, count(*) AS n, bit_xor(a) || '-' || sum(a::HUGEINT) || '-' || sum(b::HUGEINT) AS digest FROM (
+  SELECT source_id, ('0x' || substr(h, 1, 15))::BIGINT AS a, ('0x' || substr(h, 16, 15))::BIGINT AS b FROM (SELECT source_id, md5(coalesce(stream_key, chr(0)) || chr(31) || coalesce(name, chr(0))) AS h FROM {}) q) r GROUP BY source_id"""
 
 
 def snapshots(spark, sf_dir):
@@ -339,6 +335,48 @@ def q_replace_source(spark, sf_dir):
     return incremental.replace_source(a, b, incremental.changed(_hash(b), _hash(a), ["source_id"]))
 
 
+def _attempts(spark):
+    """The second source fails, with credentials in its error; the third was read and gave no rows."""
+    return spark.createDataFrame([("m3u-0", "m3u", None), ("m3u-1", "m3u", None), ("m3u-2", "m3u", "GET http://h/live/me/secret/9.ts?password=x failed (500)"), ("m3u-3", "m3u", None)], "source_id string, kind string, error string")
+
+
+@query(f"WITH {CHAN}, {SNAP2} SELECT source_id, stream_key, name FROM chan WHERE source_id IN ('m3u-0', 'm3u-2') UNION ALL SELECT * FROM snap2 WHERE source_id = 'm3u-1'")
+def q_quarantine(spark, sf_dir):
+    a, b = snapshots(spark, sf_dir)
+    rows = b.where("source_id <> 'm3u-3'").withColumn("name", F.when(F.col("source_id") == "m3u-2", "half a page").otherwise(F.col("name")))
+    return incremental.ingest(a, rows, _attempts(spark), _hash(a), ["stream_key", "name"])[0]
+
+
+@query("""SELECT source_id, CASE WHEN source_id = 'epg-0' THEN 'epg' ELSE 'm3u' END AS kind, CASE WHEN source_id IN ('m3u-2', 'epg-0') THEN 'known' END AS label, source_id NOT IN ('m3u-2', 'epg-0') AS healthy,
+ CASE source_id WHEN 'm3u-2' THEN 'GET http://h/live/**/**/9.ts?password=** failed (500)' WHEN 'epg-0' THEN 'old' END AS last_error, source_id <> 'epg-0' AS tried FROM (VALUES ('m3u-0'), ('m3u-1'), ('m3u-2'), ('m3u-3'), ('epg-0')) AS v(source_id)""")
+def q_source_health(spark, sf_dir):
+    known = spark.createDataFrame([("m3u-2", "x", "known", True, None, None), ("epg-0", "epg", "known", False, "old", None)], health.SOURCES)
+    return health.mark(known, _attempts(spark), F.lit(NOW).cast("timestamp")).withColumn("tried", F.col("updated_at").isNotNull()).drop("updated_at")
+
+
+@query("SELECT 'degraded' AS status, 7 AS data_version, 5 AS sources, 2 AS unhealthy")
+def q_health_status(spark, sf_dir):
+    known = spark.createDataFrame([("m3u-2", "x", "known", True, None, None), ("epg-0", "epg", "known", False, "old", None)], health.SOURCES)
+    return health.status(health.mark(known, _attempts(spark), F.lit(NOW).cast("timestamp")), spark.createDataFrame([(7,)], "version long"))
+
+
+PROGRAMMES = "SELECT concat('epg-', CAST(user_id % 3 AS VARCHAR(10))) AS source_id, concat('ch', CAST(user_id % 50 AS VARCHAR(10))) AS channel_ref, event_id, event_type AS title FROM events"
+
+
+def _programmes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("epg-"), (F.col("user_id") % 3).cast("string")).alias("source_id"), F.concat(F.lit("ch"), (F.col("user_id") % 50).cast("string")).alias("channel_ref"), "event_id", F.col("event_type").alias("title"))
+
+
+@query(f"WITH p AS ({PROGRAMMES}) SELECT source_id, channel_ref, event_id, CASE WHEN source_id = 'epg-1' THEN title || ' (new)' ELSE title END AS title FROM p WHERE source_id <> 'epg-1' OR event_id % 2 = 0")
+def q_replace_programmes(spark, sf_dir):
+    old = _programmes(spark, sf_dir)
+    new = old.where("source_id = 'epg-0' or event_id % 2 = 0").withColumn("title", F.when(F.col("source_id") == "epg-1", F.concat("title", F.lit(" (new)"))).otherwise(F.col("title")))
+    columns = ["channel_ref", "event_id", "title"]
+    attempts = spark.createDataFrame([("epg-0", "epg", None), ("epg-1", "epg", None), ("epg-2", "epg", "timeout")], "source_id string, kind string, error string")
+    return incremental.ingest(old, new, attempts, incremental.content_hash(old, ["source_id"], columns), columns)[0]
+
+
 @query("WITH o AS (SELECT n_nationkey AS id, 'epg' AS kind, n_name AS label, 'ok' AS health FROM nation WHERE n_nationkey < 15), n AS (SELECT n_nationkey AS id, 'channel' AS kind, lower(n_name) AS label, 'new' AS health FROM nation WHERE n_nationkey >= 10) SELECT coalesce(n.id, o.id) AS id, coalesce(n.kind, o.kind) AS kind, coalesce(n.label, o.label) AS label, coalesce(o.health, n.health) AS health FROM o FULL JOIN n ON o.id = n.id")
 def q_upsert_partial(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
@@ -374,6 +412,28 @@ def q_m3u_parse(spark, sf_dir):
     return m3u.parse(_playlists(spark, sf_dir)).drop("attrs", "logo")
 
 
+PANEL = """SELECT CONCAT('acc-', CAST(p_partkey % 25 AS VARCHAR(5))) AS source_id, CAST(p_partkey AS VARCHAR(20)) AS stream_key, p_name AS name, CASE WHEN p_partkey % 7 = 0 THEN CONCAT('ref-', CAST(p_partkey AS VARCHAR(20))) END AS tvg_id,
+  CASE WHEN p_partkey % 5 = 0 THEN 'Kids' WHEN p_partkey % 3 = 0 THEN CONCAT('US Sports ', n_name) ELSE 'PPV' END AS group_name, CASE WHEN p_partkey % 25 % 3 = 0 THEN 'm3u8' ELSE 'ts' END AS ext, p_partkey % 2 = 0 AS tv_archive, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 25 AS INT) END AS hours
+FROM part JOIN nation ON n_nationkey = p_partkey % 25 WHERE p_partkey % 25 % 4 <> 0 AND p_partkey % 3 <> 1"""
+
+
+@query(f"SELECT source_id, stream_key, name, tvg_id, NULL AS logo, group_name, concat('{{server}}/live/{{username}}/{{password}}/', stream_key, '.', ext) AS url_template, ext AS container_ext, tv_archive, hours AS tv_archive_hours FROM ({PANEL}) q")
+def q_panel_channels(spark, sf_dir):
+    account = lambda key: F.concat(F.lit("acc-"), key.cast("string"))
+    n = table(spark, sf_dir, "nation").select(account(F.col("n_nationkey")).alias("source_id"), F.col("n_nationkey").alias("n"), "n_name")
+    user = F.struct(F.when(F.col("n") % 4 == 0, "Banned").otherwise("Active").alias("status"), F.when(F.col("n") % 3 == 0, F.array(F.lit("m3u8"), F.lit("ts"))).alias("allowed_output_formats"))
+    probes = n.select("source_id", F.lit("").alias("output"), tables.render(user.alias("user_info"), F.struct(F.lit("u").alias("url")).alias("server_info")).alias("body"))
+    one = lambda id_, name: F.struct(F.lit(id_).alias("category_id"), name.alias("category_name"))
+    cats_ = n.select("source_id", F.to_json(F.array(one("0", F.concat(F.lit("US Sports "), "n_name")), one("1", F.lit("Kids")), one("2", F.lit("PPV")))).alias("body"))
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    category = (k % 3).cast("string")
+    stream = F.struct(k.alias("stream_id"), F.col("p_name").alias("name"), F.lit("").alias("stream_icon"), F.when(k % 7 == 0, F.concat(F.lit("ref-"), k.cast("string"))).otherwise("").alias("epg_channel_id"), F.when(k % 5 == 0, "1").otherwise(category).alias("category_id"), F.when(k % 2 == 0, 1).otherwise(0).alias("tv_archive"), F.when(k % 2 == 0, k % 25).alias("tv_archive_duration"))
+    # a panel answers in lists; these are pages of them, of bounded length
+    pages = p.groupBy(account(k % 25).alias("source_id"), category.alias("category_id"), F.floor(k / 2500).alias("page")).agg(F.to_json(F.collect_list(stream)).alias("body"))
+    rows, _, _ = panel.scan(probes, cats_, pages.drop("page"), F.lit(NOW).cast("timestamp"))
+    return rows
+
+
 @query(f"WITH {CHAN} SELECT stream_key, coalesce(tvg_id, '') AS tvg_id, name AS tvg_name, coalesce(group_name, '') AS group_title, CAST(3 AS INT) AS n FROM chan")
 def q_m3u_attrs(spark, sf_dir):
     c = chan(spark, sf_dir).select("stream_key", m3u.attributes(F.expr(_LINES.format(name="name"))).alias("m"))
@@ -426,12 +486,12 @@ def q_short_epg_decode(spark, sf_dir):
 
 @query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
 def q_json_extract(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", tables.parse(F.col("props"), "k long")["k"].alias("k"))
 
 
 @query("SELECT event_id, '{\"event_type\":\"' || event_type || '\"' || CASE WHEN event_id % 2 = 0 THEN ',\"user_id\":' || user_id ELSE '' END || '}' AS body FROM events")
 def q_json_roundtrip(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_type", F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("user_id"))).alias("body"))
+    return table(spark, sf_dir, "events").select("event_id", tables.render("event_type", F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("user_id")).alias("body"))
 
 
 @query(f"""SELECT c_custkey, (c_custkey % 5 <> 0 AND c_custkey % 3 = 1) AS healthy, CASE WHEN c_custkey % 5 = 0 THEN 'malformed account-check response (missing user_info/server_info)' WHEN c_custkey % 3 = 1 THEN NULL ELSE 'status=' || CASE WHEN c_custkey % 3 = 0 THEN 'Banned' ELSE 'Active (expired)' END END AS reason, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS max_connections FROM customer""")

@@ -13,6 +13,7 @@ SCHEMAS = {
     "logos": "channel string, feed string, url string",
     "guides": "channel string, feed string, site string, site_id string, site_name string",
 }
+TEAMS = "sports array<struct<leagues:array<struct<teams:array<struct<team:struct<id:string,displayName:string,shortDisplayName:string,abbreviation:string,location:string,logos:array<struct<href:string>>>>>>>>>"
 SCOREBOARD = "events array<struct<id:string,name:string,date:string,competitions:array<struct<id:string,status:struct<type:struct<state:string>>,competitors:array<struct<homeAway:string,team:struct<id:string,displayName:string,abbreviation:string>>>>>>>"
 
 
@@ -28,6 +29,49 @@ def choose_snapshot(snapshots: DataFrame, now, ttl_seconds: int = 86_400) -> Dat
     return last.select("path", (~fresh(F.col("fetched_at"), now, ttl_seconds)).alias("stale"))
 
 
+def refresh(spark: SparkSession, root: str, fetch, now, ttl_seconds: int = 86_400) -> tuple[str, bool]:
+    """(path, stale) of the snapshot to read. The newest one under root (a folder for each, named by its time in seconds)
+    if it is within its time to live; else fetch(path) lands a new one. If that fails the newest is served, marked stale;
+    without any the error is raised. A folder without the mark that fetching ended doesn't count."""
+    from tunerline.operators.state import _fs
+
+    fs, top = _fs(spark, root)
+    found = []
+    for s in fs.listStatus(top) if fs.exists(top) else []:
+        name = s.getPath().getName()
+        if name.isdigit() and fs.exists(_fs(spark, f"{root}/{name}/_SUCCESS")[1]):
+            found.append(int(name))
+    last = max(found, default=None)
+    if last is not None and now - last < ttl_seconds:
+        return f"{root}/{last}", False
+    path = f"{root}/{int(now)}"
+    try:
+        fetch(path)
+        fs.create(_fs(spark, f"{path}/_SUCCESS")[1], True).close()
+        return path, False
+    except Exception:
+        fs.delete(_fs(spark, path)[1], True)
+        if last is None:
+            raise
+        return f"{root}/{last}", True
+
+
+def conditional(stored: DataFrame, responses: DataFrame) -> DataFrame:
+    """url, status, etag, body after conditional requests (responses: the same columns). 200 replaces body and tag, 304
+    keeps the stored ones, any other status keeps them too and is noted; urls that weren't asked stay."""
+    r = responses.select("url", F.col("status").alias("_s"), F.col("etag").alias("_e"), F.col("body").alias("_b"))
+    fresh_ = F.coalesce(F.col("_s") == 200, F.lit(False))
+    return stored.join(r, "url", "full").select("url", F.coalesce("_s", "status").alias("status"), F.when(fresh_, F.col("_e")).otherwise(F.col("etag")).alias("etag"), F.when(fresh_, F.col("_b")).otherwise(F.col("body")).alias("body"))
+
+
+def teams(rows: DataFrame, body: str = "body") -> DataFrame:
+    """team_id, name, short_name, abbreviation, location, logo of team documents. All columns but body stay."""
+    keep = [c for c in rows.columns if c != body]
+    t = rows.select(*keep, F.explode_outer(F.from_json(body, TEAMS)["sports"]).alias("s")).select(*keep, F.explode_outer("s.leagues").alias("l")).select(*keep, F.explode_outer("l.teams").alias("t")).where("t.team is not null")
+    t = t.select(*keep, "t.team.*")
+    return t.select(*keep, F.col("id").alias("team_id"), F.col("displayName").alias("name"), F.col("shortDisplayName").alias("short_name"), "abbreviation", "location", F.get(F.col("logos"), F.lit(0))["href"].alias("logo"))
+
+
 def scoreboard(rows: DataFrame, body: str = "body") -> DataFrame:
     """event_id, name, start, state, home, away of scoreboard documents. All columns but body stay."""
     keep = [c for c in rows.columns if c != body]
