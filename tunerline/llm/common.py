@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -80,6 +81,7 @@ class Settled:
             df = df.coalesce(max(1, self.spark.sparkContext.defaultParallelism))
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
+        _left[self.path] = self
         if _scopes:
             _scopes[-1].append(self)
 
@@ -100,6 +102,23 @@ class Settled:
         """Delete the files; only for tables whose readers have been written already."""
         fs, path = self._fs()
         fs.delete(path, True)
+        _left.pop(self.path, None)
+
+
+#: Tables not yet deleted, by path.
+_left: dict[str, Settled] = {}
+
+
+def clear() -> None:
+    """Delete all scratch tables that are left; results that still read them must have been written. Also done at exit, while Spark still runs."""
+    for x in list(_left.values()):
+        try:
+            x.drop()
+        except Exception:  # Spark has been stopped
+            return
+
+
+atexit.register(clear)
 
 
 def thinned(rows: DataFrame, by: str, counts: DataFrame, keep: int, h: str) -> DataFrame:
