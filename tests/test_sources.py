@@ -166,3 +166,76 @@ def test_scratch(spark):
     assert os.path.isdir(path.removeprefix("file://"))
     scratch.clear()
     assert not os.path.isdir(path.removeprefix("file://"))
+
+
+@pytest.fixture
+def server():
+    """A local server of fixed answers; asked has the paths in their order."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    answers, asked = {}, []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            status, body = answers.get(self.path, (404, ""))
+            tag = f'"{len(body)}"'
+            if self.headers.get("If-None-Match") == tag:
+                status, body = 304, ""
+            self.send_response(status)
+            self.send_header("ETag", tag)
+            self.end_headers()
+            self.wfile.write(body.encode("utf-8"))
+
+        def log_message(self, *_):
+            pass
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}", answers, asked
+    s.shutdown()
+
+
+def test_sources_over_http(spark, server, tmp_path):
+    from tunerline.sources import fetch
+
+    url, answers, asked = server
+    folder = str(tmp_path)
+    guide = '<tv><programme start="20260115173000 +0000" stop="20260115200000 +0000" channel="c"><title>Café</title></programme></tv>'
+    key = "username=me&password=a+b%26c"
+    answers |= {
+        "/list.m3u": (200, "#EXTM3U\n#EXTINF:-1 tvg-id=\"t\",ESPN\nhttp://h/live/u/p/1.ts\n"), "/broken.m3u": (500, "x"), "/guide.xml": (200, guide), f"/player_api.php?{key}": (200, GOOD),
+        f"/player_api.php?{key}&action=get_live_categories": (200, CATEGORIES), f"/player_api.php?{key}&action=get_live_streams&category_id=1": (200, STREAMS), f"/xmltv.php?{key}": (200, guide),
+        "/player_api.php?username=x&password=y": (200, GOOD.replace("Active", "Banned")),
+    }
+    good, bad = ({"id": i, "server_url": f"{url}/", "username": u, "password": p} for i, u, p in (("acc", "me", "a b&c"), ("bad", "x", "y")))
+    channels, epg = fetch.of_account(good, folder)
+    rows, attempts = registry.collect(spark, [fetch.Playlist("m3u-0", f"{url}/list.m3u", folder), fetch.Playlist("m3u-1", f"{url}/broken.m3u", folder), channels, fetch.of_account(bad, folder)[0]])
+    got = sorted((r["source_id"], r["name"], r["url_template"], r["container_ext"]) for r in rows.collect())
+    template = "{server}/live/{username}/{password}/%s.m3u8"
+    assert got == [("acc", "ESPN", template % 7, "m3u8"), ("acc", "TUDN", template % 8, "m3u8"), ("acc", "Z", template % 9, "m3u8"), ("m3u-0", "ESPN", "http://h/live/**/**/1.ts", "ts")]
+    errors = {r["source_id"]: r["error"] for r in attempts.collect()}
+    assert errors == {"m3u-0": None, "m3u-1": "request failed (500)", "acc": None, "bad": "account bad is unhealthy: status=Banned"}
+    assert [p for p in asked if "username=x" in p] == ["/player_api.php?username=x&password=y"]
+    assert not any("category_id=2" in p for p in asked)
+    programmes, attempts = registry.collect(spark, [fetch.Guide("epg-0", f"{url}/guide.xml", folder), epg, fetch.Guide("epg-1", f"{url}/none.xml", folder)], registry.PROGRAMMES)
+    assert sorted((r["source_id"], r["channel_ref"], r["title"]) for r in programmes.collect()) == [("acc", "c", "Café"), ("epg-0", "c", "Café")]
+    assert {r["source_id"] for r in health.succeeded(attempts).collect()} == {"acc", "epg-0"}
+
+
+def test_conditional_landing(spark, server, tmp_path):
+    from tunerline.sources import fetch
+
+    url, answers, _ = server
+    answers["/a"] = (200, "one" * 1_000_000)
+    path = str(tmp_path / "a.txt")
+    first = fetch.land(spark, f"{url}/a", path)
+    assert first.status == 200 and (tmp_path / "a.txt").read_text() == "one" * 1_000_000
+    assert fetch.land(spark, f"{url}/a", path, etag=first.etag) == (304, first.etag)
+    answers["/a"] = (503, "down")
+    with pytest.raises(fetch.FetchError, match=r"^request failed \(503\)$"):
+        fetch.land(spark, f"{url}/a", path)
+    assert (tmp_path / "a.txt").read_text() == "one" * 1_000_000
+    answers["/a"] = (200, "new")
+    assert fetch.land(spark, f"{url}/a", path, etag=first.etag).status == 200 and (tmp_path / "a.txt").read_text() == "new"
