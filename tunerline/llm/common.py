@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,6 +130,15 @@ def thinned(rows: DataFrame, by: str, counts: DataFrame, keep: int, h: str) -> D
     return rows.join(counts, by).where(part * F.col("count") < 4 * keep).drop("count")
 
 
+def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text or binary Arrow array, side by side, and where each value begins, with the end of the last; null values have none."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    ends = np.frombuffer(column.buffers()[1], np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), ends.astype(np.int64)
+
+
 def bucket4(col: str = "doc_id"):
     """crc32 of the id as text, modulo 4; the fold with remainder 2 is held out."""
     return F.crc32(F.col(col).cast("string")) % 4

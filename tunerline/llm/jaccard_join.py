@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunerline.llm.common import Settled, unused, worker_state
+from tunerline.llm.common import Settled, joined_bytes, unused, worker_state
 from tunerline.llm.components import components
 
 #: Words of a shingle.
@@ -128,8 +128,7 @@ class Words:
 
 def shingled(column: pa.Array):
     """Of each text of an Arrow column the distinct shingles' hashes and the 128 bits of the set (Words.set); null texts have none."""
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    data, ends = joined_bytes(column)
     i = 0
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK, "right")) - 1)

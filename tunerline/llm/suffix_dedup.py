@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunerline.llm.common import Settled, worker_state
+from tunerline.llm.common import Settled, joined_bytes, worker_state
 
 #: Bytes of a repeated string.
 LENGTH = 400
@@ -169,8 +169,7 @@ def repeated(left: Suffixes, right: Suffixes, first: np.ndarray, count: np.ndarr
 
 def _matrices(ctx: pa.Array, before: np.ndarray) -> tuple[Suffixes, Suffixes]:
     """The bytes before the marks, backwards, and from the marks on."""
-    ends = np.frombuffer(ctx.buffers()[1], np.int32)[ctx.offset : ctx.offset + len(ctx) + 1].astype(np.int64)
-    data = np.frombuffer(ctx.buffers()[2], np.uint8)
+    data, ends = joined_bytes(ctx)
     mark = ends[:-1] + before
     back = data[np.maximum(mark[:, None] - 1 - np.arange(LEFT), 0)]
     on = data[np.minimum(mark[:, None] + np.arange(LENGTH), len(data) - 1)]
