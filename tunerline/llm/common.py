@@ -73,14 +73,16 @@ class Settled:
     """A table written to the scratch folder: cuts lineage, survives lost executors, knows its size. A result that is
     computed later still reads such tables; whoever has written it can delete them with a Scratch around both."""
 
-    def __init__(self, df: DataFrame, name: str, few: bool = False):
-        """few: the rows are few for the partitions that they come from; write no more files than the cluster has cores."""
+    def __init__(self, df: DataFrame, name: str, few: bool = False, share: int = 0):
+        """few: the rows are few for the partitions that they come from; write no more files than the cluster has cores.
+        share: write one file for so many shuffle partitions, but at least one for each core."""
         self.spark = df.sparkSession
         lean(self.spark)
         self.path = f"{scratch_root(self.spark)}/tunerline/{name}-{uuid.uuid4().hex}"
         schema = df.schema
-        if few:
-            df = df.coalesce(max(1, self.spark.sparkContext.defaultParallelism))
+        if few or share:
+            files = int(self.spark.conf.get("spark.sql.shuffle.partitions")) // share if share else 1
+            df = df.coalesce(max(files, self.spark.sparkContext.defaultParallelism))
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
         _left[self.path] = self

@@ -152,7 +152,7 @@ def index(docs: DataFrame, terms: Settled | None = None) -> tuple[Settled, Settl
         posted = posted.join(terms.side(), "term", "left_semi")
     posted = posted.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(SLICES))).repartition("term", "slice")
     # equal texts are in one slice, so this needs no further shuffle
-    return texts, Settled(posted.dropDuplicates(["term", "slice", "key"]).drop("slice"), "postings", few=True)
+    return texts, Settled(posted.dropDuplicates(["term", "slice", "key"]).drop("slice"), "postings", share=4)
 
 
 def phrase_candidates(postings: DataFrame, anchored: DataFrame) -> DataFrame:
