@@ -116,10 +116,10 @@ def dedup(docs: DataFrame, counts: tuple[str, str, str] = ("__n_lines", "__n_rem
     """
     found = Settled(chunk_table(docs), "chunks")
     place = F.struct("doc_id", "text_hash", "first")
-    kept = Settled(found.df.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keep"), F.min_by("lines", place).alias("lines")).where("n > 1"), "repeated", few=True)
+    kept = Settled(found.df.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keep"), F.min_by("lines", place).alias("lines")).where("n > 1"), "repeated", share=4)
     again = found.df.join(kept.side().select("k1", "k2", "keep"), ["k1", "k2"]).where(~place.eqNullSafe(F.col("keep"))).select(*_KEYS, "first", "lines", "k1", "k2").distinct()
     sources = kept.df.groupBy(F.col("keep.doc_id").alias("__d"), F.col("keep.text_hash").alias("__h")).agg(F.collect_list(F.struct(F.col("keep.first").alias("first"), "lines", "k1", "k2")).alias("at"))
-    sources = Settled(sources, "chunk-sources", few=True)
+    sources = Settled(sources, "chunk-sources", share=4)
     texts = Settled(_bytes_of(docs, sources.side()), "chunk-bytes")
     plan = again.join(texts.side(), ["k1", "k2"]).groupBy(*[F.col(k).alias(n) for k, n in zip(_KEYS, ("__d", "__h"), strict=True)]).agg(F.collect_list(F.struct("first", "lines", "bytes")).alias("__drop"))
     plan = Settled(plan, "chunk-removals")
