@@ -97,7 +97,9 @@ def score(docs: DataFrame, ratios: list[int], row: bool = False) -> DataFrame:
     total = F.aggregate("grams", F.lit(0).cast("long"), lambda a, g: a + F.get(table, g))
     out = grams.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.size("grams").cast("long").alias("n_grams"), total.alias("sum"))
     kept = ~F.col("base_failed") & (F.col("sum") >= F.lit(round(THRESHOLD * SCALE)) * F.col("n_grams"))
-    return out.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_grams", F.coalesce(F.col("sum") / F.lit(float(SCALE)) / F.nullif("n_grams", F.lit(0)), F.lit(0.0)).alias("llr"))
+    out = out.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_grams", F.coalesce(F.col("sum") / F.lit(float(SCALE)) / F.nullif("n_grams", F.lit(0)), F.lit(0.0)).alias("llr"))
+    # a caller's condition on a measure would be pushed below and compute it, and what it is made of, once more at each step; a generator keeps it above
+    return out.select(F.explode_outer(F.array(F.struct(*out.columns))).alias("__out")).select("__out.*")
 
 
 def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
