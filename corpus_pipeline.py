@@ -14,9 +14,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents that the rules reject go. The trusted target is the documents labelled good."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
     ratios = quality_rules.fit(docs, trusted)
-    # a condition on kept would be computed in a nested way below the projections that make it; a generator keeps it above
-    judged = quality_rules.score(docs, ratios, row=True).select(F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("r"))
-    return judged.where("r is not null").select("r.*")
+    return quality_rules.score(docs, ratios, row=True).where("kept").select("__row.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
