@@ -21,6 +21,8 @@ WIDE, MOST_BITS = 4, 1 << 18
 #: The shingles counted as frequent: at most so many, the most frequent ones. They come last in the order of prefixes,
 #: which only saves work; every order gives the same links. Shingles are counted by portions of so many.
 FREQUENT, PORTION = 100_000, 1 << 21
+#: Tasks among which the rows of a frequent shingle are dealt.
+SALTS = 64
 #: Ratio of sizes that have a leader in common.
 BAND = 1.1
 #: Documents of a tile.
@@ -228,7 +230,7 @@ def _renamed(own: dict[tuple[int, int], int]):
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, renamed: dict[tuple[int, int], int]) -> DataFrame:
-    """h, node, n: for each document the rarest shingles, so many that any set similar enough has one of them among its own.
+    """h, node, n, hot (whether h is among the frequent): for each document the rarest shingles, so many that any set similar enough has one of them among its own.
 
     A set of n needs an overlap of ceil(NUM * n / DEN), so n minus that, plus one, first shingles do. Copies within a
     partition are given once."""
@@ -241,7 +243,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, renamed: dict[tuple[int, int
         known = order[by_hash]
         seen: set[bytes] = set()
         for b in batches:
-            hs, nodes, ns = [], [], []
+            hs, nodes, ns, hot = [], [], [], []
             for h, x in shingled(b.column("text")):
                 if not len(h) or x in seen:
                     continue
@@ -252,37 +254,41 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, renamed: dict[tuple[int, int
                     node = other.get((node, int.from_bytes(x[8:], "big", signed=True)), node)
                 n = len(h)
                 k = n - -(-NUM * n // DEN) + 1
+                many = n
                 if len(known):
                     at = np.searchsorted(known, h)
                     at[at == len(known)] = 0
                     common = known[at] == h
                     rare = h[~common]
-                    if len(rare) < k:
+                    many = len(rare)
+                    if many < k:
                         late = h[common][np.argsort(-by_hash[at[common]], kind="stable")]
                         rare = np.concatenate([rare, late])
                     h = rare
                 hs.append(h[:k])
+                hot.append(np.arange(k) >= many)
                 nodes.append(np.full(k, node, np.int64))
                 ns.append(np.full(k, n, np.int64))
             if hs:
-                yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(hs).view(np.int64)), "node": pa.array(np.concatenate(nodes)), "n": pa.array(np.concatenate(ns))})
+                yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(hs).view(np.int64)), "node": pa.array(np.concatenate(nodes)), "n": pa.array(np.concatenate(ns)), "hot": pa.array(np.concatenate(hot))})
 
-    return docs.select("text").mapInArrow(run, "h long, node long, n long")
+    return docs.select("text").mapInArrow(run, "h long, node long, n long, hot boolean")
 
 
 def shared_prefixes(prefix: DataFrame) -> DataFrame:
-    """h, node, n: the rows whose shingle another row has too. Rows of a shingle pass by in order; none is gathered."""
+    """h, node, n: the rows whose shingle another row has too, and all of hot shingles, which are dealt into SALTS tasks
+    each. Rows of a shingle pass by in order; none is gathered."""
 
     def run(batches):
         last, first = None, None  # the last row so far, and whether it is the first of its shingle
         for b in batches:
-            t = [b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "node", "n")]
+            t = [b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "node", "n", "hot")]
             if last is not None:
                 t = [np.concatenate([x, y]) for x, y in zip(last, t, strict=True)]
             if not len(t[0]):
                 continue
             same = t[0][1:] == t[0][:-1]
-            keep = np.zeros(len(t[0]), bool)
+            keep = t[3].copy()
             keep[:-1] |= same
             keep[1:] |= same
             if last is not None and not first:
@@ -290,11 +296,13 @@ def shared_prefixes(prefix: DataFrame) -> DataFrame:
             first = not bool(keep[-1])
             last = [x[-1:] for x in t]
             out = keep[:-1]
-            yield pa.RecordBatch.from_pydict({c: pa.array(x[:-1][out]) for c, x in zip(("h", "node", "n"), t, strict=True)})
+            yield pa.RecordBatch.from_pydict({c: pa.array(x[:-1][out]) for c, x in zip(("h", "node", "n"), t)})
         if last is not None and not first:
-            yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in zip(("h", "node", "n"), last, strict=True)})
+            yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in zip(("h", "node", "n"), last)})
 
-    return prefix.repartition("h").sortWithinPartitions("h").select("h", "node", "n").mapInArrow(run, "h long, node long, n long").distinct()
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    dealt = prefix.withColumn("salt", salt).repartition("h", "salt").sortWithinPartitions("h").select("h", "node", "n", "hot")
+    return dealt.mapInArrow(run, "h long, node long, n long").distinct()
 
 
 def leaders(shared: DataFrame) -> DataFrame:
