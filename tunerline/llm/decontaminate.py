@@ -196,7 +196,7 @@ def phrase_matches(docs: DataFrame, candidates: DataFrame, phrases: DataFrame) -
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "n_hit": pa.array(hits, pa.int64()), "phrase_ids": pa.array(ids, pa.list_(pa.string()))})
 
     asked = candidates.join(phrases.select("phrase_id", "terms"), "phrase_id").groupBy("key").agg(F.collect_list(F.struct("phrase_id", "terms", "starts")).alias("asked"))
-    asked = Settled(asked, "phrase-candidates", few=True)
+    asked = Settled(asked, "phrase-candidates", share=4)
     rows = docs.select(text_key().alias("key"), "text").join(asked.side(), "key").select("key", "text", "asked")
     return rows.mapInArrow(run, "key binary, n_hit long, phrase_ids array<string>").dropDuplicates(["key"])
 
@@ -238,14 +238,14 @@ def judge(docs: DataFrame, benchmark: DataFrame, near: int | None = None) -> Dat
         wanted = wanted.unionByName(items.df.select(F.explode("picked").alias("term")))
     wanted = Settled(wanted.distinct(), "wanted-terms", few=True)
     texts, postings = index(docs, wanted)
-    found = Settled(phrase_matches(docs, phrase_candidates(postings.df, anchored.side()), phrases.side()), "phrase-matches", few=True)
+    found = Settled(phrase_matches(docs, phrase_candidates(postings.df, anchored.side()), phrases.side()), "phrase-matches", share=4)
     named = found.df.select("key", F.explode("phrase_ids").alias("phrase_id")).join(phrases.side().select("phrase_id", "items"), "phrase_id")
     named = named.groupBy("key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"))
-    hits = Settled(found.df.select("key", "n_hit").join(named, "key"), "hits", few=True)
+    hits = Settled(found.df.select("key", "n_hit").join(named, "key"), "hits", share=4)
     out = texts.df.select("doc_id", "key", "n_words").join(hits.side(), "key", "left")
     if near is not None:
         close = proximity_matches(postings.df, items.side(), near).groupBy("key").agg(F.count(F.lit(1)).alias("near"))
-        out = out.join(Settled(close, "near-items", few=True).side(), "key", "left")
+        out = out.join(Settled(close, "near-items", share=4).side(), "key", "left")
     for x in (phrases, terms, counts, anchored, wanted, postings, found):
         x.drop()
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
