@@ -150,6 +150,16 @@ def test_suffixes_of_edited_passages(spark, monkeypatch):
         assert _by_row(suffix_dedup.dedup(d), cases, *cols) == want
 
 
+def test_suffixes_of_periodic_texts(spark):
+    """Every place of a text of one letter is marked; its contexts are few."""
+    cases = [(1, "x" * 60_000), (2, "ab" * 1_000), (3, "abc" * 150 + "d" + "abc" * 140), (4, "x" * 399), (5, "y" * 400), (6, "y" * 401), (7, "z" + "ab" * 200)]
+    d = spark.createDataFrame(cases, "doc_id long, text string")
+    assert _by_row(suffix_dedup.dedup(d), cases, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(cases)
+    texts = spark.createDataFrame([(0, 1, "x" * 60_000)], "tid long, w long, text string")
+    found = suffix_dedup.contexts(texts, suffix_dedup.marked(texts).groupBy("tid").agg(F.collect_list("pos").alias("at")))
+    assert found.count() > 50_000 and found.where("ctx is not null").count() < 2_000
+
+
 def _suffixes(parts):
     width = max(1, max(map(len, parts)))
     return suffix_dedup.Suffixes(np.array([list(p.ljust(width, b"\0")) for p in parts], np.uint8), np.array([len(p) for p in parts]))

@@ -275,17 +275,23 @@ def marked(texts: DataFrame) -> DataFrame:
 
 def contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """gram, h1, h2 (the context's name: hashes of its gram and of all of it), before, ctx, tid, pos, w: LEFT bytes at
-    most before, and LENGTH at most from each place of wanted (tid, at: array of pos) on."""
+    most before, and LENGTH at most from each place of wanted (tid, at: array of pos) on.
+
+    A text of one letter has a mark at each place, and few different contexts: of one that comes
+    again only the first two places carry its bytes and weight, which show that it is repeated."""
 
     def run(batches):
         out = [[] for _ in range(7)]
         for b in batches:
             for tid, w, text, at in zip(*[b.column(c) for c in ("tid", "w", "text", "at")], strict=True):
-                tid, w, data = tid.as_py(), w.as_py(), text.as_py().encode("utf-8")
+                tid, w, data, seen = tid.as_py(), w.as_py(), text.as_py().encode("utf-8"), {}
                 for p in at.as_py():
                     before = min(p, LEFT)
                     ctx = data[p - before : p + LENGTH]
-                    for x, v in zip(out, (xxhash.xxh3_64_intdigest(data[p : p + GRAM]), xxhash.xxh3_128_digest(ctx, seed=before), before, ctx, tid, p, w), strict=True):
+                    n = seen[before, ctx] = seen.get((before, ctx), 0) + 1
+                    if len(seen) > SORTED:
+                        seen.clear()
+                    for x, v in zip(out, (xxhash.xxh3_64_intdigest(data[p : p + GRAM]), xxhash.xxh3_128_digest(ctx, seed=before), before, ctx if n < 3 else None, tid, p, w if n < 3 else 0), strict=True):
                         x.append(v)
                     if len(out[0]) >= 8_192:
                         yield made(out)
@@ -307,7 +313,7 @@ def verdicts(found: DataFrame) -> Settled:
 
     Groups of up to BUCKET contexts are sorted. Larger ones are halved by places: a half has less of each context, so
     that more of them are equal and count as one; with a single place left all of a group are. Verdicts then go back up."""
-    rows = found.groupBy(*_ID, "before", "ctx").agg(F.sum("w").alias("n"))
+    rows = found.where("ctx is not null").groupBy(*_ID, "before", "ctx").agg(F.sum("w").alias("n"))
     rows = rows.select("*", F.col("gram").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).alias("low"), F.lit(LEFT).alias("high"))
     levels, halves = [], []
     while True:
