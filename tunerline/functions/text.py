@@ -7,13 +7,14 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space in the wide sense (Java's \s lacks NBSP and the Unicode blanks).
+WS = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
 # Codes, tags and words that the results depend on.
 COUNTRY_CODES = ["US", "USA", "UK", "GB", "CA", "CANADA", "MX", "AU", "NZ", "DE", "FR", "ES", "IT", "NL", "LATAM", "ARABIC", "AR", "IN", "PK", "BR"]
-QUALITY_TAGS = r"FHD|UHD|SD|HD[0-9]?|4K|8K|RAW|HEVC|H%s*26[45]"
+QUALITY_TAGS = rf"FHD|UHD|SD|HD[0-9]?|4K|8K|RAW|HEVC|H{WS}*26[45]"
 FEED_HINTS = ["East", "West", "Pacific", "Mountain", "Central", "Atlantic"]
 
-#: White space in the wide sense (Java's \s lacks NBSP and the Unicode blanks).
-WS = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 WORD = "[A-Za-z0-9_]"
 #: Word boundaries by ASCII word characters; Java's \b also counts accented letters.
 START, END = f"(?<!{WORD})", f"(?!{WORD})"
@@ -22,7 +23,7 @@ EDGE = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 _CODES = "|".join(COUNTRY_CODES)
 _PREFIX = rf"(?i)^{WS}*(?:\[(?:{_CODES})\]{WS}*|(?:{_CODES})(?:{WS}*[:|]{WS}*|{WS}+-{WS}+))"
 _BACKUP = rf"(?i){START}back{WS}*-?up{WS}*[0-9]*{END}"
-_QUALITY = rf"(?i){START}(?:{QUALITY_TAGS.replace('%s', WS)}){END}"
+_QUALITY = rf"(?i){START}(?:{QUALITY_TAGS}){END}"
 _FEED = rf"(?i)[(\[]?{WS}*({'|'.join(FEED_HINTS)}){WS}*[)\]]?{WS}*\z"
 
 
