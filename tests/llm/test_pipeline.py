@@ -23,7 +23,7 @@ def test_pipeline(spark):
     rows = [r for r in rows if verdict[r[0]]]
     assert all(not brute.base_rules(t)[5] for _, t in rows)
     texts = brute.lines(rows, lambda x: brute.line_chunks(x, line_dedup.ROLLED, line_dedup.ZERO_BITS, line_dedup.LEAST_LINES), line_dedup.LEAST_LINES)
-    rows = [(k, t) for (k, _), t in zip(rows, texts, strict=True)]
+    rows = [(k, t) for (k, old), t in zip(rows, texts, strict=True) if t == old or brute.BLANK.search(t)]
     rows = [r for r, (_, c) in zip(rows, brute.jaccard(rows), strict=True) if c == r[0]]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     rows = [r for r, x in zip(rows, brute.contamination(rows, items), strict=True) if not x[4]]
@@ -65,3 +65,10 @@ def test_scratch_tables_go(spark):
     assert kept.df.count() == 3 and kept.bytes() > 0
     fs, path = gone._fs()
     assert not fs.exists(path)
+
+
+def test_copies_of_lines_leave_no_empty_documents(spark):
+    text = "\n".join(f"line {i} of a text that is there three times" for i in range(8))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text + "\nand one line more"), (4, ""), (5, None), (6, " \n ")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, DATA).collect()}
+    assert out == {1: text, 3: "and one line more", 4: "", 5: None, 6: " \n "}
