@@ -18,8 +18,9 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; n_chars follows the text."""
-    out = line_dedup.dedup(docs, tuple(unused(docs, "lines", "removed", "chunks"))).select(*docs.columns)
+    """Repeated chunks of lines go; n_chars follows the text. A document that has no word left goes: all its lines came before."""
+    counts = unused(docs, "lines", "removed", "chunks")
+    out = line_dedup.dedup(docs, tuple(counts)).where((F.col(counts[1]) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
