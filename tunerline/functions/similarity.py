@@ -57,8 +57,8 @@ def jaro(a: Column, b: Column) -> Column:
 def common_prefix(a: Column, b: Column) -> Column:
     """Equal leading characters, PREFIX at most."""
     n = F.lit(0)
-    for k in range(PREFIX, 0, -1):
-        n = F.when((F.length(a) >= k) & (F.length(b) >= k) & (F.substring(a, 1, k) == F.substring(b, 1, k)) & (n == 0), k).otherwise(n)
+    for k in range(1, PREFIX + 1):  # an equal beginning has equal shorter ones
+        n = n + F.when((F.length(a) >= k) & (F.length(b) >= k) & (F.substring(a, 1, k) == F.substring(b, 1, k)), 1).otherwise(0)
     return n
 
 
@@ -154,7 +154,8 @@ def bounded(a: Column, b: Column, x: Column, y: Column, threshold: float) -> Col
     differ = lambda k: F.bit_count(x[k][0].bitwiseXOR(y[k][0])) + F.bit_count(x[k][1].bitwiseXOR(y[k][1]))
     shared = F.least(F.least(x["n"], y["n"]), (x["n"] + y["n"] - differ("bits")) / 2)
     p = common_prefix(a, b) * F.lit(WEIGHT)
-    by_jaro = (shared / F.greatest(x["n"], F.lit(1)) + shared / F.greatest(y["n"], F.lit(1)) + 1) / 3 >= (F.lit(threshold) - p) / (F.lit(1.0) - p) - 1e-9
+    jaro_most = (shared / F.greatest(x["n"], F.lit(1)) + shared / F.greatest(y["n"], F.lit(1)) + 1) / 3
+    by_jaro = (jaro_most >= (threshold - PREFIX * WEIGHT) / (1 - PREFIX * WEIGHT) - 1e-9) & (jaro_most >= (F.lit(threshold) - p) / (F.lit(1.0) - p) - 1e-9)  # numbers first, then the names
     by_set = (x["set_n"] + y["set_n"] - differ("set_bits")) / 2 >= F.lit(threshold) * F.least(x["set_n"], y["set_n"]) - 1e-9
     return (a == b) | by_jaro | ((length_ratio(a, b) >= SHORT) & by_set)
 

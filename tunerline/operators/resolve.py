@@ -48,7 +48,7 @@ def best_fuzzy(keys: DataFrame, candidates: DataFrame, threshold: float = THRESH
     k = k.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
     pairs = k.join(c, ["family", "part"]).drop("family", "part")
     if prune:
-        pairs = pairs.where(may_reach(F.col("key"), F.col("name_key"), threshold) & bounded(F.col("key"), F.col("name_key"), F.col("x"), F.col("y"), threshold))
+        pairs = pairs.where(bounded(F.col("key"), F.col("name_key"), F.col("x"), F.col("y"), threshold) & may_reach(F.col("key"), F.col("name_key"), threshold))
     pairs = pairs.drop("x", "y")
     scored = pairs.withColumn("j", jaro(F.col("key"), F.col("name_key")))
     scored = scored.withColumn("score", combined_of(winkler(F.col("j"), F.col("key"), F.col("name_key")), F.col("key"), F.col("name_key")))
