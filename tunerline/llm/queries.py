@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunerline.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, quality_model, quality_rules, suffix_dedup, tokens, urls
+from tunerline.llm import bpe, collocations, decontaminate, fingerprints, jaccard_join, langid, line_dedup, quality_model, quality_rules, spelling, suffix_dedup, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(F.col("quality") == 1))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.judge(table(spark, sf_dir, "documents"))
+
+
+def llm_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op13 edits, which SQL can express."""
+    return op13_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def llm_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base measures of op10, which SQL can express; the hashes of its n-grams it can't."""
     return quality_rules.base(quality_rules.split_words(table(spark, sf_dir, "documents"))).drop("words")
@@ -64,7 +81,7 @@ def llm_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_language_id, op4_ngram_jaccard, op5_quality_classifier, op6_url_filters, op7_decontamination, op8_line_dedup, op9_suffix_dedup, op10_quality_rules, llm_base_rules, llm_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_language_id, op4_ngram_jaccard, op5_quality_classifier, op6_url_filters, op7_decontamination, op8_line_dedup, op9_suffix_dedup, op10_quality_rules, op11_spelling_variants, op12_collocations, op13_fingerprints, llm_base_rules, llm_bpe_round_trip, llm_edited_texts)}
 
 SQL = {}
 
@@ -135,6 +152,64 @@ SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM h LEFT JOIN kept USING (doc_id)
 """
 
+
+def _crc_table() -> list[int]:
+    """The remainders of the 256 bytes, as crc32 has them."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [x >> 1 ^ 0xEDB88320 * (x & 1) for x in out]
+    return out
+
+
+SQL["op11_spelling_variants"] = rf"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, r, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS r FROM documents) WHERE length(r) >= {spelling.LEAST_LENGTH} GROUP BY ALL),
+hex AS (SELECT r, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS x FROM run),
+crc AS (
+  SELECT r, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: 16 * (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1)),
+    lambda c, b: xor(c >> 8, list_extract({_crc_table()}::BIGINT[], (xor(c, b) & 255) + 1)))) AS h FROM hex),
+word AS (
+  SELECT w, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % {spelling.DAMAGE} = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w, n FROM crc)
+  WHERE length(w) >= {spelling.LEAST_LENGTH} GROUP BY w HAVING sum(n) >= {spelling.LEAST_COUNT}),
+place AS (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM word),
+wild AS (SELECT w, substr(w, 1, i - 1) || '*' || substr(w, i + 1) AS g FROM place),
+gone AS (SELECT DISTINCT w, substr(w, 1, i - 1) || substr(w, i + 1) AS g FROM place),
+pair AS (
+  SELECT a.w AS a, b.w AS b FROM wild a JOIN wild b ON a.g = b.g AND a.w <> b.w
+  UNION SELECT gone.w, word.w FROM gone JOIN word ON word.w = g UNION SELECT word.w, gone.w FROM gone JOIN word ON word.w = g),
+near AS (SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k, count(*) OVER (PARTITION BY a) AS n_near FROM pair JOIN word ON w = b),
+form AS (SELECT a, b, near.n AS form_n FROM near JOIN word ON w = a WHERE k = 1 AND near.n >= {spelling.RATIO} * word.n),
+way AS (SELECT w, w AS root, 0 AS steps FROM word UNION ALL SELECT way.w, b, steps + 1 FROM way JOIN form ON a = root),
+last AS (SELECT w, max_by(root, steps) AS root FROM way GROUP BY w)
+SELECT word.w AS word, b AS form, root, word.n, coalesce(n_near, 0) AS n_near, form_n
+FROM word JOIN last USING (w) LEFT JOIN form ON form.a = word.w LEFT JOIN (SELECT a, n_near FROM near WHERE k = 1) c ON c.a = word.w
+"""
+
+SQL["op12_collocations"] = rf"""
+WITH piece AS (SELECT lang, unnest(regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+')) AS p FROM (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents)),
+cut AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+gram AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM cut, range(1, {collocations.WORDS + 1}) t(k) WHERE len(w) >= k)) GROUP BY ALL),
+size AS (SELECT lang, sum(f)::BIGINT AS n FROM gram WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM gram WHERE k > 1 AND f >= {collocations.LEAST}),
+scored AS (
+  SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, c.m, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS m FROM cand) c
+  JOIN gram x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:m], ' ') JOIN gram y ON y.lang = c.lang AND y.phrase = array_to_string(w[m + 1:c.k], ' ')),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, m) = 1),
+held AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS most FROM (SELECT lang, w, a, s, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM cand)) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN held USING (lang, phrase) WHERE most IS NULL OR 100 * most < {collocations.INSIDE} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN size USING (lang) QUALIFY rank <= {collocations.TOP}
+"""
+
+SQL["llm_edited_texts"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first(t) OVER (ORDER BY doc_id)) AS follows FROM d)
+SELECT doc_id, n AS n_chars, sha256(substr(t, 1, n - n // 4) || substr(follows, 1, n // 4)) AS edited_sha256 FROM n
+"""
+
 SQL["llm_base_rules"] = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
 grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w))),
