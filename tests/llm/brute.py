@@ -156,3 +156,65 @@ def convolve(net, text, length, widths):
         total = total + min(length, len(text) - k * length) * logits
     out = np.exp((total - total.max()) / max(1, len(text)))
     return out / out.sum()
+
+
+def spelling(rows, least_length=6, least=5, damage=199, ratio=5):
+    """{word: (form, root, n, n_near, form_n)}: all pairs. Rows are (doc_id, text)."""
+    import zlib
+
+    n = Counter()
+    for k, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if k is None else k}:{run}".encode())
+            n[run if h % damage else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    n = {w: c for w, c in n.items() if len(w) >= least_length and c >= least}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    around = {w: [v for v in n if near(w, v)] for w in n}
+    best = {w: min(v, key=lambda x: (-n[x], x)) for w, v in around.items() if v}
+    form = {w: v for w, v in best.items() if n[v] >= ratio * n[w]}
+    out = {}
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out[w] = (form.get(w), root, n[w], len(around[w]), n.get(form.get(w)))
+    return out
+
+
+def collocations(rows, words=3, least=10, inside=50, top=2000):
+    """[(lang, rank, phrase, a, l, r, n, score)], sorted. Rows are (lang, text)."""
+    f, size = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            size[lang] += len(w)
+            f.update((lang, *w[i : i + k]) for k in range(1, words + 1) for i in range(len(w) - k + 1))
+    found, longer = [], {}
+    for (lang, *w), a in f.items():
+        if len(w) > 1 and a >= least:
+            score, k = min((1_000_000 * a * a // (f[lang, *w[:k]] * f[lang, *w[k:]]), k) for k in range(1, len(w)))
+            found.append((lang, w, a, f[lang, *w[:k]], f[lang, *w[k:]], score))
+            for s in range(2, len(w)):
+                for i in range(len(w) - s + 1):
+                    longer[lang, *w[i : i + s]] = max(a, longer.get((lang, *w[i : i + s]), 0))
+    found = [x for x in found if 100 * longer.get((x[0], *x[1]), 0) < inside * x[2]]
+    out = []
+    for lang in size:
+        own = sorted((x for x in found if x[0] == lang), key=lambda x: (-x[5], -x[2], " ".join(x[1]).encode()))
+        out += [(lang, i + 1, " ".join(w), a, left, right, size[lang], score) for i, (_, w, a, left, right, score) in enumerate(own[:top])]
+    return sorted(out)
+
+
+def likeness(a, b):
+    """Of the different pieces of both texts' lines those that are in both equally often, as a part of all."""
+    a, b = (Counter(p for line in (x or "").split("\n") for p in re.findall(r"[^.!?]{0,119}[.!?]|[^.!?]{1,120}", line)) for x in (a, b))
+    n, differ = len(a) + len(b), sum(a[p] != b[p] for p in a | b)
+    return max(0, n - differ) / max(1, n + differ)

@@ -97,9 +97,9 @@ def written(x: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """How many of two texts' different pieces are in both, as a part of all (0 to 1), told from their fingerprints alone; 1 for equal ones.
+    """How many of two texts' different pieces are in both equally often, as a part of all (0 to 1), told from their fingerprints alone; 1 for equal ones.
 
-    Lanes that differ hold pieces that only one text has, lanes that aren't 0 those of a text: of LANES lanes into which d
+    Lanes that differ hold pieces that one text has more often, lanes that aren't 0 those of a text: of LANES lanes into which d
     pieces go, about LANES * exp(-d / LANES) are left. A level with hardly a lane left is too full to tell; those above it, with
     one piece in 2, 4, 8, stand for all. Where the last level is full (some 200,000 different pieces), likeness is 0."""
     table = F.array(*[F.lit(-LANES * math.log1p(-min(c, LANES - 1) / LANES)) for c in range(LANES + 1)])

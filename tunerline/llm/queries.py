@@ -194,9 +194,9 @@ gram AS (
 size AS (SELECT lang, sum(f)::BIGINT AS n FROM gram WHERE k = 1 GROUP BY lang),
 cand AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM gram WHERE k > 1 AND f >= {collocations.LEAST}),
 scored AS (
-  SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, c.m, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
-  FROM (SELECT *, unnest(range(1, k)) AS m FROM cand) c
-  JOIN gram x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:m], ' ') JOIN gram y ON y.lang = c.lang AND y.phrase = array_to_string(w[m + 1:c.k], ' ')),
+  SELECT lang, phrase, a, x.f AS l, y.f AS r, m, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, [lang, array_to_string(w[1:m], ' ')] AS x, [lang, array_to_string(w[m + 1:k], ' ')] AS y FROM (SELECT *, unnest(range(1, k)) AS m FROM cand)) c
+  JOIN (SELECT [lang, phrase] AS x, f FROM gram) x USING (x) JOIN (SELECT [lang, phrase] AS y, f FROM gram) y USING (y)),
 low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, m) = 1),
 held AS (
   SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS most FROM (SELECT lang, w, a, s, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM cand)) GROUP BY ALL),
