@@ -100,39 +100,49 @@ def likelihood(rows, trusted, buckets, prior, scale, threshold, bucket):
     return [not base_rules(t)[5] and sum(ratio[x] for x in g) >= round(threshold * scale) * len(g) for (_, t), g in zip(rows, grams, strict=True)]
 
 
-def lines(rows, chunks, least):
-    """[text] by row, rows in the order of their ids: later copies of chunks of lines go."""
-    seen, out = set(), []
+def lines(rows, chunks, reach):
+    """[text] by row, rows in the order of their ids: later copies of chunks of lines go, with equal lines beside them."""
+    seen, out = {}, []
     for _, text in rows:
         x = (text or "").split("\n")
         gone = set()
-        for at, n in chunks(x) if len(x) >= least else []:
-            part = x[at : at + n]
-            if n >= least and sum(bool(p.strip()) for p in part) >= least:
-                if "\n".join(part) in seen:
-                    gone |= set(range(at, at + n))
-                seen.add("\n".join(part))
+        for at, n in chunks(x):
+            part = "\n".join(x[at : at + n])
+            if part in seen:
+                y, first = seen[part]
+                gone |= set(range(at, at + n))
+                for step, i, j in ((-1, at - 1, first - 1), (1, at + n, first + n)):
+                    for _ in range(reach):
+                        if not (0 <= i < len(x) and 0 <= j < len(y) and x[i] == y[j]):
+                            break
+                        gone.add(i)
+                        i, j = i + step, j + step
+            else:
+                seen[part] = (x, at)
         out.append("\n".join(v for i, v in enumerate(x) if i not in gone) if gone else text)
     return out
 
 
-def line_chunks(lines, rolled, zero_bits, least):
-    """(first line, number of lines): a chunk ends after a line if the xor of the last lines' hashes, each turned left by
-    its distance, has its low bits at zero; then the stretches from a line that isn't blank to the least-th such line."""
+def line_chunks(lines, widths, bits, least):
+    """(first line, number of lines): for each width the xor of so many lines' hashes, each turned left by its distance from
+    the last, says whether a place before them and a place after them is a boundary: if not all of its own bits are set."""
     import xxhash
 
     h = [xxhash.xxh3_64_intdigest(x.encode()) for x in lines]
     turn = lambda x, k: ((x << k) | (x >> (64 - k))) % 2**64
-    out, first = [], 0
-    for i in range(len(lines)):
-        value = 0
-        for k in range(min(rolled, i + 1)):
-            value ^= turn(h[i - k], k)
-        if value % 2**zero_bits == 0 or i == len(lines) - 1:
-            out.append((first, i + 1 - first))
-            first = i + 1
-    full = [i for i, x in enumerate(lines) if x.strip()]
-    return sorted({*out, *((full[k], full[k + least - 1] + 1 - full[k]) for k in range(len(full) - least + 1))})
+    out = set()
+    for width in widths:
+        at = {0, len(lines)}
+        for i in range(len(lines) - width + 1):
+            value = 0
+            for k in range(width):
+                value ^= turn(h[i + k], width - 1 - k)
+            at |= {i} if value % 2**bits != 2**bits - 1 else set()
+            at |= {i + width} if value // 2**bits % 2**bits != 2**bits - 1 else set()
+        for a in at:
+            ends = [b for b in at if b > a and sum(bool(x.strip()) for x in lines[a:b]) >= least]
+            out |= {(a, min(ends) - a)} if ends else set()
+    return sorted(out)
 
 
 def byte_ngrams(data, gram):

@@ -184,3 +184,30 @@ def test_fingerprints_add_up(spark):
     ).collect():
         assert r["t"] == r["turned"] == r["whole"] and r["head"] == r["less"] and r["other"] != r["t"] and r["same"] == 1
         assert r["text"] != r["other_text"] and set(r["text"]) <= set("0123456789abcdef") and len(r["text"]) == 16 + 8 * fingerprints.WIDE + 7 * len(r["t"]["lanes"])
+
+
+def test_boundaries_decide_what_lines_go(spark, monkeypatch):
+    """Passages of 2 to 9 lines in other surroundings: without the boundaries none goes; with fewer, fewer do; never a line that didn't come before."""
+    from tunerline.llm import line_dedup
+
+    rng, rows = random.Random(21), []
+    pool = [f"pool {i}" for i in range(200)]
+    for k in range(150):
+        i, n = rng.randrange(190), rng.randint(2, 9)
+        rows.append((k, "\n".join([f"own {k} {j}" for j in range(rng.randint(1, 4))] + pool[i : i + n] + [f"end {k} {j}" for j in range(rng.randint(1, 4))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {}
+    for k, t in rows:
+        for x in t.split("\n"):
+            first.setdefault(x, k)
+
+    def gone():
+        got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup(df).collect()}
+        out = {(k, x) for k, t in rows for x in t.split("\n") if x not in got[k]}
+        assert all(first[x] < k for k, x in out)
+        return len(out)
+
+    every = gone()
+    table = line_dedup.chunk_table  # only the beginnings of texts are left as boundaries
+    monkeypatch.setattr(line_dedup, "chunk_table", lambda docs: table(docs).where("first = 0"))
+    assert gone() < every / 2

@@ -238,9 +238,9 @@ def test_near_items(spark):
 
 
 def test_lines(docs, rows):
-    chunks = lambda x: brute.line_chunks(x, line_dedup.ROLLED, line_dedup.ZERO_BITS, line_dedup.LEAST_LINES)
+    chunks = lambda x: brute.line_chunks(x, line_dedup.WIDTHS, line_dedup.BITS, line_dedup.LEAST_LINES)
     assert all(sorted(line_dedup.chunks(x)) == chunks(x) for _, t in rows for x in [(t or "").split("\n")])
-    want = brute.lines(sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)), chunks, line_dedup.LEAST_LINES)
+    want = brute.lines(sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)), chunks, line_dedup.REACH)
     by_id = dict(zip([k for k, _ in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))], want, strict=True))
     out = line_dedup.dedup(docs)
     assert _by_row(out, rows, "text") == [(by_id[k],) for k, _ in rows]

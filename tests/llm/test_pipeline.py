@@ -22,7 +22,7 @@ def test_pipeline(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     rows = [r for r in rows if verdict[r[0]]]
     assert all(not brute.base_rules(t)[5] for _, t in rows)
-    texts = brute.lines(rows, lambda x: brute.line_chunks(x, line_dedup.ROLLED, line_dedup.ZERO_BITS, line_dedup.LEAST_LINES), line_dedup.LEAST_LINES)
+    texts = brute.lines(rows, lambda x: brute.line_chunks(x, line_dedup.WIDTHS, line_dedup.BITS, line_dedup.LEAST_LINES), line_dedup.REACH)
     rows = [(k, t) for (k, old), t in zip(rows, texts, strict=True) if t == old or brute.BLANK.search(t)]
     rows = [r for r, (_, c) in zip(rows, brute.jaccard(rows), strict=True) if c == r[0]]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
