@@ -20,7 +20,7 @@ INSIDE = 50
 #: Phrases returned for each language.
 TOP = 2_000
 #: Words and separators of a shard; a suffix array is made of each.
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: Bits of the filter that tells shards which pairs of words are frequent: 16 MB, whatever the input.
 FILTER_BITS = 1 << 27
 #: Parts that a language's phrases are ranked in before the foremost of all are.
@@ -33,15 +33,15 @@ _KEY = "lang string, phrase string, n long"
 
 
 #: Bytes of text that go into a shard at most, if no single text is longer, and that are cut into words at once.
-SHARD_BYTES, BLOCK = 1 << 25, 1 << 22
+SHARD_BYTES, BLOCK = 1 << 25, 1 << 20
 #: Rows of an Arrow batch.
-BATCH = 1 << 18
+BATCH = 1 << 16
 
 
 class _Ids(dict):
     """Numbers of a language's words within a shard, from 1 on; what ends a piece is 0."""
 
-    def __init__(self, lang: str, words: list[bytes], langs: list[str]):
+    def __init__(self, lang: int, words: list[bytes], langs: list[int]):
         super().__init__()
         self.lang, self.words, self.langs = lang, words, langs
 
@@ -109,8 +109,9 @@ def intervals(ids: np.ndarray, least: int, most: int, starts: int):
         yield k, order[heads[whole]], counts[whole]
 
 
-def _hashes(words: list[bytes], langs: list[str]) -> np.ndarray:
-    seeds = {x: xxhash.xxh3_64_intdigest(x.encode()) for x in set(langs)}
+def _hashes(words: list[bytes], langs: list[int], names: list[str]) -> np.ndarray:
+    """Hashes of words; langs: for each word the place of its language's name."""
+    seeds = [xxhash.xxh3_64_intdigest(x.encode()) for x in names]
     return np.fromiter((xxhash.xxh3_64_intdigest(w, seed=seeds[x]) for w, x in zip(words, langs, strict=True)), np.uint64, len(words))
 
 
@@ -140,30 +141,31 @@ def counts(docs: DataFrame, least: int, most: int, frequent=None) -> DataFrame:
 
     def run(batches):
         worker_state("")
-        held, size, number, words, langs, dicts = [], 0, 0, [b""], [""], {}
+        held, size, number, words, langs, dicts = [], 0, 0, [b""], [0], {"": None}  # word 0 is none, of no language
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
+            for name, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
                 data = (text.as_py() or "").encode().translate(_LOWER)
-                ids = dicts.setdefault(lang, _Ids(lang, words, langs))
+                if dicts.get(name) is None:
+                    dicts[name] = _Ids(0 if name == "" else len(dicts), words, langs)
+                ids = dicts[name]
                 for tokens in _tokens(data):
                     held.append(np.fromiter(map(ids.__getitem__, tokens), np.int32, len(tokens)))
                     number += len(tokens)
                 held.append(np.zeros(1, np.int32))
                 size += len(data)
                 if number >= SHARD or size >= SHARD_BYTES:
-                    yield from shard(np.concatenate(held), words, langs)
-                    held, size, number, words, langs, dicts = [], 0, 0, [b""], [""], {}
+                    yield from shard(np.concatenate(held), words, langs, list(dicts))
+                    held, size, number, words, langs, dicts = [], 0, 0, [b""], [0], {"": None}
         if held:
-            yield from shard(np.concatenate(held), words, langs)
+            yield from shard(np.concatenate(held), words, langs, list(dicts))
 
-    def shard(ids, words, langs):
-        lang, text = pa.array(langs, pa.string()), pa.array(words, pa.string())
+    def shard(ids, words, langs, names):
+        of, name, text = np.array(langs, np.int32), pa.array(names, pa.string()), pa.array(words, pa.string())
         if least == 1:
-            names, at = np.unique(np.array(langs[1:], object), return_inverse=True) if len(langs) > 1 else ([], [])
-            total = np.bincount(at, np.bincount(ids, minlength=len(words))[1:]) if len(langs) > 1 else []
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(list(names), pa.string()), "phrase": pa.array([""] * len(names), pa.string()), "n": pa.array(np.array(total, np.int64))})
+            total = np.bincount(of, np.bincount(ids, minlength=len(words)) * (np.arange(len(words)) > 0), len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"lang": name, "phrase": pa.array([""] * len(names), pa.string()), "n": pa.array(total)}).filter(pa.array(total > 0))
         if frequent is not None:
-            ids = _cut(ids, _hashes(words, langs), frequent.value)
+            ids = _cut(ids, _hashes(words, langs, names), frequent.value)
         for lo in range(0, len(ids), SHARD):  # only a single text can be longer; what its part shares with the next is behind the starts
             part = np.append(ids[lo : lo + SHARD + most - 1], np.int32(0))
             for k, places, n in intervals(part, least, most, min(SHARD, len(ids) - lo)):
@@ -171,7 +173,7 @@ def counts(docs: DataFrame, least: int, most: int, frequent=None) -> DataFrame:
                     own = places[i : i + BATCH]
                     parts = [text.take(pa.array(part[own + j])) for j in range(k)]
                     phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
-                    yield pa.RecordBatch.from_pydict({"lang": lang.take(pa.array(part[own])), "phrase": phrase, "n": pa.array(n[i : i + BATCH].astype(np.int64))})
+                    yield pa.RecordBatch.from_pydict({"lang": name.take(pa.array(of[part[own]])), "phrase": phrase, "n": pa.array(n[i : i + BATCH].astype(np.int64))})
 
     return docs.select("lang", "text").mapInArrow(run, _KEY).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
@@ -182,8 +184,9 @@ def pair_filter(pairs: DataFrame):
     def run(batches):
         for b in batches:
             words = [x.encode().split(b" ") for x in b.column("phrase").to_pylist()]
-            langs = b.column("lang").to_pylist()
-            bit = _bit(_hashes([w[0] for w in words], langs), _hashes([w[1] for w in words], langs))
+            lang = b.column("lang").dictionary_encode()
+            langs, names = lang.indices.to_pylist(), lang.dictionary.to_pylist()
+            bit = _bit(_hashes([w[0] for w in words], langs, names), _hashes([w[1] for w in words], langs, names))
             yield pa.RecordBatch.from_pydict({"cell": pa.array((bit >> np.uint64(6)).astype(np.int32)), "bits": pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))})
 
     cells = np.zeros(FILTER_BITS >> 6, np.uint64)
@@ -199,11 +202,11 @@ def grams(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     Words and pairs are counted first. Longer phrases can only be frequent if each pair in them is, so the shards leave
     out what holds another: by a filter of fixed size, which lets some through, whose counts then show that they are rare."""
     size = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1)
-    short = Settled(counts(docs, 1, min(2, words)).where((F.col("n") >= least) | (F.col("phrase") == "")).withColumn("words", size), "phrases", share=4)
+    short = Settled(counts(docs, 1, min(2, words)).where((F.col("n") >= least) | (F.col("phrase") == "")).withColumn("words", size), "phrases", share=1)
     if words < 3:
         return short.df
     frequent = pair_filter(short.df.where("words = 2"))
-    long_ = Settled(counts(docs, 3, words, frequent).where(F.col("n") >= least).withColumn("words", size), "long-phrases", share=4)
+    long_ = Settled(counts(docs, 3, words, frequent).where(F.col("n") >= least).withColumn("words", size), "long-phrases", share=1)
     frequent.unpersist()
     return short.df.unionByName(long_.df)
 
