@@ -79,7 +79,7 @@ def transliterate(s: Column) -> Column:
 
 def fold(s: Column) -> Column:
     """Punctuation to blanks, lower case, single blanks."""
-    return F.btrim(F.regexp_replace(F.lower(F.regexp_replace(s, r"[^a-zA-Z0-9\t-\r ]", " ")), r"[\t-\r ]+", " "))
+    return F.lower(F.btrim(F.regexp_replace(s, r"[^a-zA-Z0-9]+", " ")))
 
 
 def normalize(name: Column) -> Column:

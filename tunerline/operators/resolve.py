@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunerline.functions.similarity import FAMILIES, bounded, combined_of, jaro, may_reach, network_family, sides, winkler
@@ -29,8 +29,9 @@ def prepare(channels: DataFrame) -> DataFrame:
 
 def first_per_key(prepared: DataFrame) -> DataFrame:
     """The row that decides for its key: the first by source and stream that is no event."""
-    rank = F.row_number().over(Window.partitionBy("normalized_key").orderBy("source_id", "stream_key"))
-    return prepared.where(~F.col("is_event")).withColumn("_r", rank).where("_r = 1").drop("_r")
+    row = F.struct("source_id", "stream_key", *[c for c in prepared.columns if c not in ("source_id", "stream_key", "normalized_key")])
+    first = prepared.where(~F.col("is_event")).groupBy("normalized_key").agg(F.min_by(row, F.struct("source_id", "stream_key")).alias("_r"))  # adds up in tasks: a hot key is a row for each
+    return first.select("_r.*", "normalized_key").select(*prepared.columns)
 
 
 def best_fuzzy(keys: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD, prune: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from tunerline.plans import frames
 from tunerline.plans.catalog import query, table
 from tunerline.plans.frames import duck, view
 from tunerline.plans.text_queries import CHAN, COMBINED, LEAGUES, T_MATCH, T_PREFIX, T_CUT, chan, duck_family, duck_hint, duck_normal, duck_token_ratio
-from tunerline.sources import m3u, panel, xmltv
+from tunerline.sources import m3u, panel, remote, xmltv
 
 NOW = "2024-01-15 00:00:00"
 
@@ -347,17 +347,58 @@ def q_quarantine(spark, sf_dir):
     return incremental.ingest(a, rows, _attempts(spark), _hash(a), ["stream_key", "name"])[0]
 
 
-@query("""SELECT source_id, CASE WHEN source_id = 'epg-0' THEN 'epg' ELSE 'm3u' END AS kind, CASE WHEN source_id IN ('m3u-2', 'epg-0') THEN 'known' END AS label, source_id NOT IN ('m3u-2', 'epg-0') AS healthy,
- CASE source_id WHEN 'm3u-2' THEN 'GET http://h/live/**/**/9.ts?password=** failed (500)' WHEN 'epg-0' THEN 'old' END AS last_error, source_id <> 'epg-0' AS tried FROM (VALUES ('m3u-0'), ('m3u-1'), ('m3u-2'), ('m3u-3'), ('epg-0')) AS v(source_id)""")
+#: Customers are sources; the last event of the user with a customer's key is its attempt.
+_TRIED = """last AS (SELECT user_id, max_by(event_type, event_id) AS what, max(event_id) AS seq FROM events GROUP BY user_id)"""
+_SEEN = f"""{_TRIED}, s AS (
+  SELECT concat('src-', CAST(coalesce(c_custkey, user_id) AS VARCHAR(20))) AS source_id, CASE WHEN user_id IS NULL THEN 'm3u' ELSE 'epg' END AS kind, c_name AS label,
+    CASE WHEN user_id IS NULL THEN c_acctbal >= 0 ELSE what <> 'error' END AS healthy,
+    CASE WHEN user_id IS NULL AND c_acctbal < 0 THEN 'old' WHEN what = 'error' THEN concat('GET http://h/live/**/**/', CAST(seq AS VARCHAR(20)), '.ts?password=** failed (500)') END AS last_error, user_id IS NOT NULL AS tried
+  FROM (SELECT * FROM customer WHERE c_custkey % 3 > 0) FULL JOIN last ON user_id = c_custkey)"""
+
+
+def _source_attempts(spark, sf_dir):
+    """A source fails if its last event is an error, with credentials in the message."""
+    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("what"), F.max("event_id").alias("at"))
+    error = F.when(F.col("what") == "error", F.concat(F.lit("GET http://h/live/me/secret/"), F.col("at").cast("string"), F.lit(".ts?password=x failed (500)")))
+    return last.select(F.concat(F.lit("src-"), F.col("user_id").cast("string")).alias("source_id"), F.lit("epg").alias("kind"), error.alias("error"))
+
+
+def _known_sources(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0")
+    good = F.col("c_acctbal") >= 0
+    return c.select(F.concat(F.lit("src-"), F.col("c_custkey").cast("string")).alias("source_id"), F.lit("m3u").alias("kind"), F.col("c_name").alias("label"), good.alias("healthy"), F.when(~good, "old").alias("last_error"), F.lit(None).cast("timestamp").alias("updated_at"))
+
+
+def _marked(spark, sf_dir):
+    return health.mark(_known_sources(spark, sf_dir), _source_attempts(spark, sf_dir), F.lit(NOW).cast("timestamp"))
+
+
+@query(f"WITH {_SEEN} SELECT * FROM s")
 def q_source_health(spark, sf_dir):
-    known = spark.createDataFrame([("m3u-2", "x", "known", True, None, None), ("epg-0", "epg", "known", False, "old", None)], health.SOURCES)
-    return health.mark(known, _attempts(spark), F.lit(NOW).cast("timestamp")).withColumn("tried", F.col("updated_at").isNotNull()).drop("updated_at")
+    return _marked(spark, sf_dir).withColumn("tried", F.col("updated_at").isNotNull()).drop("updated_at")
 
 
-@query("SELECT 'degraded' AS status, 7 AS data_version, 5 AS sources, 2 AS unhealthy")
+@query(f"WITH {_SEEN} SELECT CASE WHEN count(*) FILTER (WHERE NOT healthy) > 0 THEN 'degraded' ELSE 'ok' END AS status, (SELECT max(event_id) FROM events) AS data_version, count(*) AS sources, count(*) FILTER (WHERE NOT healthy) AS unhealthy FROM s")
 def q_health_status(spark, sf_dir):
-    known = spark.createDataFrame([("m3u-2", "x", "known", True, None, None), ("epg-0", "epg", "known", False, "old", None)], health.SOURCES)
-    return health.status(health.mark(known, _attempts(spark), F.lit(NOW).cast("timestamp")), spark.createDataFrame([(7,)], "version long"))
+    return health.status(_marked(spark, sf_dir), table(spark, sf_dir, "events").select(F.col("event_id").alias("version")))
+
+
+_GUIDE = """SELECT concat('epg-', CAST(user_id % 7 AS VARCHAR(10))) AS source_id, concat('ch', CAST(user_id % 50 AS VARCHAR(10))) AS channel_ref, event_id, event_type, ts FROM events"""
+
+
+@query(f"WITH g AS ({_GUIDE}) SELECT source_id, channel_ref, strftime(ts, '%Y-%m-%d %H:%M:%S') AS start, concat(event_type, ' & ', CAST(event_id AS VARCHAR(20))) AS title FROM g WHERE source_id <> 'epg-3' AND event_id % 11 <> 0")
+def q_guide_documents(spark, sf_dir):
+    """Guides made of events, a document for 1,000 of them; one source's request failed, and elements are broken here and there."""
+    g = table(spark, sf_dir, "events").withColumn("source_id", F.concat(F.lit("epg-"), (F.col("user_id") % 7).cast("string")))
+    time = F.date_format("ts", "yyyyMMddHHmmss")
+    element = F.concat(
+        F.lit('<programme start="'), time, F.lit(' +0000" stop="'), time, F.lit(' +0000" channel="ch'), (F.col("user_id") % 50).cast("string"), F.lit('"><title lang="en">'), F.col("event_type"),
+        F.when(F.col("event_id") % 11 == 0, " & <br").otherwise(" &amp; "), F.col("event_id").cast("string"), F.lit("</title></programme>\n"),
+    )
+    part = F.floor(F.col("event_id") / 1000)
+    docs = g.select("source_id", part.alias("part"), element.alias("x")).groupBy("source_id", "part").agg(F.concat(F.lit("<tv>\n"), F.array_join(F.collect_list("x"), ""), F.lit("<programme start=")).alias("body"))
+    docs = docs.select("source_id", F.lit("epg").alias("kind"), F.col("body").cast("binary").alias("body"), F.when(F.col("source_id") == "epg-3", "request failed (500)").alias("error"))
+    return remote.guides(docs).select("source_id", "channel_ref", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "title")
 
 
 PROGRAMMES = "SELECT concat('epg-', CAST(user_id % 3 AS VARCHAR(10))) AS source_id, concat('ch', CAST(user_id % 50 AS VARCHAR(10))) AS channel_ref, event_id, event_type AS title FROM events"

@@ -14,14 +14,23 @@ from tunerline.sources import xmltv
 RESOLUTIONS = "source_id string, stream_key string, normalized_key string, feed_hint string, is_event boolean, canonical_id string, method string, confidence double"
 
 
-def ingest_guides(spark: SparkSession, inbox: str, table: str, checkpoint: str) -> StreamingQuery:
-    """New guide files become programme rows; one row for each channel, start and title of a batch."""
+#: How long after its own time a programme may come again and still be known.
+REMEMBERED = "14 days"
+
+
+def ingest_guides(spark: SparkSession, inbox: str, table: str, checkpoint: str, remembered: str = REMEMBERED) -> StreamingQuery:
+    """New guide files become programme rows; of each channel, start and title one row, however many files and runs it comes in.
+
+    What has been seen is keyed state: it is kept until the latest start of all guides is more than remembered past a programme's, so its
+    size follows the guides' time span and not the history. A programme that comes later than that is left out as too late.
+    One without a valid start is taken to start when it comes. The state and its place in the inbox are in the checkpoint."""
 
     def put(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(["channel_ref", "start_raw", "title"]).withColumn("batch", F.lit(number))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
 
-    return xmltv.read_stream(spark, inbox).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = xmltv.read_stream(spark, inbox).withColumn("_at", F.coalesce("start", F.current_timestamp())).withWatermark("_at", remembered)
+    rows = rows.dropDuplicatesWithinWatermark(["channel_ref", "start_raw", "title"]).drop("_at")
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def resolve_channels(channels: DataFrame, dims: dict[str, DataFrame], memo_root: str, out_root: str, checkpoint: str) -> StreamingQuery:
@@ -30,12 +39,10 @@ def resolve_channels(channels: DataFrame, dims: dict[str, DataFrame], memo_root:
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         memo = state.read(spark, memo_root, MEMO)
-        rows, fresh = resolve(batch, **dims, memo=memo)
-        state.write(merge_memo(memo, fresh), memo_root)
-        known = state.read(spark, memo_root, MEMO)  # what was just decided is read, not decided again
-        rows, _ = resolve(batch, **dims, memo=known)
+        rows, fresh = resolve(batch, **dims, memo=memo)  # what it decides is written, and read by both that follow
         old = state.read(spark, out_root, RESOLUTIONS)
         state.write(upsert(old, rows.select(*old.columns), ["source_id", "stream_key"]), out_root)
+        state.write(merge_memo(memo, fresh), memo_root)
 
     return channels.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
