@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tunerline.operators.scratch import settle
+
 
 def content_hash(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """by, n, digest: order-independent. 120 bits of each row's md5 in two halves: both are added up (38 digits), so equal
@@ -34,7 +36,7 @@ def ingest(table: DataFrame, rows: DataFrame, attempts: DataFrame, stored: DataF
     last good rows and hashes. replaced: source_id of those that changed."""
     good = attempts.where("error is null").select("source_id").distinct()
     now = good.join(content_hash(rows, ["source_id"], columns), "source_id", "left").select("source_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("digest", F.lit("")).alias("digest"))
-    new = changed(now, stored, ["source_id"])
+    new = settle(changed(now, stored, ["source_id"]), "changed-sources")  # all three results read it
     return replace_source(table, rows, new), upsert(stored, new.select(*stored.columns), ["source_id"]), new.select("source_id")
 
 

@@ -39,6 +39,16 @@ class _Out:
         self.stream.write(bytearray(data))
 
 
+def _put(spark: SparkSession, part, target) -> None:
+    """Rename over what is there, in one step of the file system: a crash leaves the old document or the new one."""
+    context = spark.sparkContext
+    kind = getattr(context._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = context._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), context._jsc.hadoopConfiguration())
+    files.rename(files.makeQualified(part), files.makeQualified(target), options)
+
+
 def land(spark: SparkSession, url: str, path: str, headers: dict[str, str] | None = None, etag: str | None = None, timeout: float = 60) -> Landed:
     """Write a document's body to path, piece by piece and then at once in place. With an etag the request is conditional:
     304 leaves path as it is. Any other status but success raises, and path stays too. The URL isn't part of the message."""
@@ -52,8 +62,7 @@ def land(spark: SparkSession, url: str, path: str, headers: dict[str, str] | Non
                 shutil.copyfileobj(answer, _Out(out), 1 << 20)
             finally:
                 out.close()
-            fs.delete(target, False)
-            fs.rename(part, target)
+            _put(spark, part, target)
             return Landed(answer.status, answer.headers.get("ETag"))
     except urllib.error.HTTPError as e:
         if e.code == 304:
